@@ -151,20 +151,28 @@ def pick_by_flag(df: DataFrame, stem: str, flag_col: str = "snap") -> DataFrame:
 
 
 def regular_grid(df: DataFrame, key: str, ts_col: str, value_col: str, step: str = "hour",
-                 agg: str = "sum") -> DataFrame:
+                 agg: str = "sum", span: str = "global") -> DataFrame:
     """W14 (first half): aggregate onto a regular grid per key, missing steps null.
 
-    The grid spans each key's own first..last step; it is generated per key with
-    ``explode(sequence(...))`` and left-joined with the aggregates, both sides
-    keyed on (key, slot).
+    ``span='global'`` gives every key the common first..last step (the
+    pandas pivot-then-resample behaviour); ``'key'`` uses each key's own span.
+    The grid is generated per key with ``explode(sequence(...))`` - the global
+    bounds enter as scalar subqueries, so there is no cross join - and
+    left-joined with the aggregates on (key, slot).  The slot aggregation is
+    algebraic, so a key holding most rows is pre-aggregated per task.
     """
     slot = F.date_trunc(step, F.col(ts_col)).cast("timestamp_ntz") if step != "day" \
         else F.col(ts_col).cast("date")
     fn = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count}[agg]
     vals = df.groupBy(key, slot.alias("slot")).agg(fn(value_col).alias(value_col))
-    interval = {"hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE", "day": "INTERVAL 1 DAY"}[step]
-    span = vals.groupBy(key).agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"))
-    grid = span.select(key, F.explode(F.sequence("_a", "_b", F.expr(interval))).alias("slot"))
+    interval = F.expr({"hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE",
+                       "day": "INTERVAL 1 DAY"}[step])
+    if span == "global":
+        lo, hi = vals.select(F.min("slot")).scalar(), vals.select(F.max("slot")).scalar()
+        grid = vals.select(key).distinct().select(key, F.explode(F.sequence(lo, hi, interval)).alias("slot"))
+    else:
+        b = vals.groupBy(key).agg(F.min("slot").alias("_a"), F.max("slot").alias("_b"))
+        grid = b.select(key, F.explode(F.sequence("_a", "_b", interval)).alias("slot"))
     return grid.join(vals, [key, "slot"], "left")
 
 

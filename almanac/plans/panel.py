@@ -139,3 +139,31 @@ def sameweekday_features(df: DataFrame) -> DataFrame:
     out = ts.add_samesnap(ts.add_sameweekday(df))
     feats = [c for c in out.columns if "_sameweekday" in c]
     return out.select("id", "date", *feats)
+
+
+def feature_input(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+    """Dense panel after the null rules, with weekday and day number: the
+    input of every time-series feature (the reference computes its features
+    on this, before dropping rows)."""
+    df = null_rules(base_panel(spark, sf_dir, spec))
+    df = df.select("id", *fx.HIERARCHY, "date", "fold", "myfold", "snap", "demand",
+                   F.weekday("date").alias("dayofweek"))
+    return ts.with_day_number(df)
+
+
+STAT_NAMES = ("mean", "sd", "median", "upperlimit", "iqr")
+
+
+def series_stats_table(df: DataFrame, col: str = "demand", by: str = "id") -> DataFrame:
+    """A2 as one aggregate per series (the table the reference joins back)."""
+    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75), F.lit(0.99)))
+    return (df.groupBy(by).agg(F.avg(col).alias(f"{col}_mean"), F.stddev_samp(col).alias(f"{col}_sd"),
+                               F.median(col).alias(f"{col}_median"), q.alias("_q"))
+            .withColumns({f"{col}_upperlimit": F.col("_q")[2],
+                          f"{col}_iqr": F.col("_q")[1] - F.col("_q")[0]})
+            .drop("_q"))
+
+
+def rounded_stats(df: DataFrame, col: str = "demand") -> DataFrame:
+    from almanac.plans.registry import r6
+    return df.withColumns({f"{col}_{s}": r6(f"{col}_{s}") for s in STAT_NAMES})

@@ -192,3 +192,33 @@ wp AS (
                                THEN pow(demand - lagdemand, 2) END) OVER (PARTITION BY id)), 0) AS weight_rmse
   FROM wp0
 )"""
+
+# null rules (P10) + weekday on top of bp, as CTE "fp": the feature input
+FEATURE_PANEL = BASE_PANEL + """,
+fp AS (
+  SELECT id, item_id, dept_id, cat_id, store_id, state_id, date, fold, myfold, snap,
+         isodow(date) - 1 AS dayofweek,
+         CASE WHEN NOT (sell_price_isna = 1 OR COALESCE(holiday_name = 'Christmas', FALSE))
+              THEN demand END AS demand
+  FROM bp
+)"""
+
+
+def level_union(src: str, select_aggs: str, extra_keys: list[str] | None = None) -> str:
+    """12-level aggregate as a UNION ALL of GROUP BYs (independent of grouping sets)."""
+    from almanac.operators.hierarchy import DIMS, LEVELS
+    extra = extra_keys or []
+    parts = []
+    for lvl, used in LEVELS.items():
+        dims = ", ".join(d if d in used else f"CAST(NULL AS VARCHAR) AS {d}" for d in DIMS)
+        keys = [*used, *extra]
+        gb = f" GROUP BY {', '.join(keys)}" if keys else ""
+        ex = "".join(f", {e}" for e in extra)
+        parts.append(f"SELECT {lvl} AS level, {dims}{ex}, {select_aggs} FROM {src}{gb}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def ns_join(a: str, b: str) -> str:
+    from almanac.operators.hierarchy import DIMS
+    return " AND ".join([f"{a}.level = {b}.level"] +
+                        [f"{a}.{d} IS NOT DISTINCT FROM {b}.{d}" for d in DIMS])
