@@ -440,8 +440,7 @@ class SparseMatrixModel(_Mod):
 def group_derive(df: DataFrame, prefix_of: tuple[str, str] | None = None,
                  count_sum: tuple[Sequence[str], str] | None = None,
                  group_mean: tuple[str, str, str] | None = None) -> DataFrame:
-    """First letter of a code, sum of counts + 1, mean of a value per group
-    (a window aggregate, no join back)."""
+    """First letter of a code, sum of counts + 1, mean of a value per group."""
     out = df
     if prefix_of:
         src, name = prefix_of
@@ -454,7 +453,10 @@ def group_derive(df: DataFrame, prefix_of: tuple[str, str] | None = None,
         out = out.withColumn(name, s)
     if group_mean:
         val, grp, name = group_mean
-        out = out.withColumn(name, F.avg(val).over(Window.partitionBy(grp)))
+        # W8 group transform as aggregate + join back: the aggregate is
+        # combined map-side, so a hot group never lands whole on one task
+        m = out.groupBy(grp).agg(F.avg(val).alias(name))
+        out = out.join(m, grp, "left")
     return out
 
 

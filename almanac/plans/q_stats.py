@@ -326,22 +326,24 @@ def auc_rank(spark, sf_dir):
     return rounded(st.auc(long, "y", "score", by=["target"]))
 
 
-# orders with rule-based class scores (FIXTURES 2.5)
+# orders with rule-based class scores (FIXTURES 2.5): s_j = (key + 3 j) % 7 + 1,
+# normalised to sum 1 (the rotation makes the argmax vary between classes)
 CLASSES = ["F", "O", "P"]
 
 
 def class_probs(spark, sf_dir):
-    """Long (o_orderkey, class, p): p_j = (key % 7 + j + 1) / sum over classes."""
+    """Long (o_orderkey, y, class, p)."""
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
-    m = F.col("o_orderkey") % 7
-    tot = 3 * m + 6
-    arr = F.array(*[F.struct(F.lit(c).alias("class"), ((m + j + 1) / tot).alias("p")) for j, c in enumerate(CLASSES)])
+    s = [((F.col("o_orderkey") + 3 * j) % 7 + 1).cast("double") for j in range(len(CLASSES))]
+    tot = s[0] + s[1] + s[2]
+    arr = F.array(*[F.struct(F.lit(c).alias("class"), (s[j] / tot).alias("p")) for j, c in enumerate(CLASSES)])
     return o.select("o_orderkey", "o_orderstatus", F.explode(arr).alias("s")).select(
         "o_orderkey", F.col("o_orderstatus").alias("y"), "s.class", "s.p")
 
 
+_S = [f"CAST((o_orderkey + {3 * j}) % 7 + 1 AS DOUBLE)" for j in range(3)]
 CLASS_SQL = "cp AS (" + _union([
-    f"SELECT o_orderkey, o_orderstatus AS y, '{c}' AS class, (o_orderkey % 7 + {j + 1}) / (3 * (o_orderkey % 7) + 6.0) AS p FROM orders"
+    f"SELECT o_orderkey, o_orderstatus AS y, '{c}' AS class, {_S[j]} / ({_S[0]} + {_S[1]} + {_S[2]}) AS p FROM orders"
     for j, c in enumerate(CLASSES)]) + ")"
 
 
