@@ -66,27 +66,27 @@ def cumulative(df: DataFrame, value: str | Column, sums: Mapping[str, Column],
            .groupBy(*by, vcol.cast("double").alias("value"))
            .agg(*[c.alias(n) for n, c in sums.items()]))
     key = (-F.col("value")) if descending else F.col("value")
-    agg = agg.withColumn("_k", key)
+    agg = agg.withColumn("__k", key)
     nb = n_buckets or default_buckets(df)
     fr = [i / nb for i in range(1, nb)]
     if by:
-        bounds = agg.groupBy(*by).agg(F.percentile_approx("_k", fr, 10000).alias("_bounds"))
+        bounds = agg.groupBy(*by).agg(F.percentile_approx("__k", fr, 10000).alias("__bounds"))
         agg = agg.join(bounds, by)
     else:
-        agg = agg.withColumn("_bounds", agg.select(F.percentile_approx("_k", fr, 10000)).scalar())
-    agg = agg.withColumn("_b", count_less(F.col("_bounds"), F.col("_k"), nb)).drop("_bounds")
+        agg = agg.withColumn("__bounds", agg.select(F.percentile_approx("__k", fr, 10000)).scalar())
+    agg = agg.withColumn("__b", count_less(F.col("__bounds"), F.col("__k"), nb)).drop("__bounds")
 
     names = list(sums)
-    tot = agg.groupBy(*by, "_b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    w_before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = agg.groupBy(*by, "__b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    w_before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     w_group = Window.partitionBy(*by)
-    off = tot.select(*by, "_b",
+    off = tot.select(*by, "__b",
                      *[F.coalesce(F.sum(f"_t_{n}").over(w_before), F.lit(0)).alias(f"_o_{n}") for n in names],
                      *[F.sum(f"_t_{n}").over(w_group).alias(f"tot_{n}") for n in names])
-    w_run = Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = agg.join(off, [*by, "_b"])
+    w_run = Window.partitionBy(*by, "__b").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    out = agg.join(off, [*by, "__b"])
     out = out.withColumns({f"cum_{n}": F.col(f"_o_{n}") + F.sum(n).over(w_run) for n in names})
-    return out.drop("_k", "_b", *[f"_o_{n}" for n in names])
+    return out.drop("__k", "__b", *[f"_o_{n}" for n in names])
 
 
 def average_rank_table(df: DataFrame, col: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

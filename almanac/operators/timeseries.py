@@ -19,6 +19,7 @@ partition is bounded by the calendar span whatever the data volume.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,42 +64,92 @@ def rolling_days(col: str, days: int, agg: str = "mean", partition: Sequence[str
                  following: int = 0) -> Column:
     """Aggregate over the calendar range ``(t - days, t]`` (right-closed).
 
-    ``following`` > 0 shifts the frame end forward (W13).
+    ``following`` > 0 shifts the frame end forward (W13).  Spark evaluates a
+    moving frame by re-aggregating the whole frame for every row, i.e.
+    O(rows x frame); on gap-free grids ``add_trailing`` does the same in
+    O(rows x log frame).
     """
     return AGGS[agg](col).over(_w(partition).rangeBetween(-(days - 1), following))
 
 
+def add_trailing(df: DataFrame, specs: Sequence[tuple[str, str, int, str]],
+                 partition: Sequence[str], order: str = DAYNO) -> DataFrame:
+    """Trailing aggregates over the last ``n`` rows (current row included) of a
+    gap-free ordered partition: ``specs`` = [(out, col, n, agg)], agg in
+    mean/max/min, nulls ignored, null when the frame has no value.
+
+    * mean: prefix sums and counts over an unbounded frame (incremental, O(1)
+      per row) minus their values ``n`` rows back (an offset ``lag``);
+    * max/min: a doubling table - level k holds the extreme of the last 2**k
+      rows, built from level k-1 and its lag by 2**(k-1) - and the answer
+      combines two overlapping power-of-two blocks.
+
+    Every step is a window over the same partition and order, so the chain
+    adds Window operators but no shuffle and no re-sort.
+    """
+    w = Window.partitionBy(*partition).orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    out: dict[str, Column] = {}
+    tmp: list[str] = []
+    means = [s for s in specs if s[3] == "mean"]
+    for c in sorted({s[1] for s in means}):
+        df = df.withColumns({f"_S_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(run),
+                             f"_C_{c}": F.count(c).over(run)})
+        tmp += [f"_S_{c}", f"_C_{c}"]
+    for name, c, n, _ in means:
+        s = F.col(f"_S_{c}") - F.coalesce(F.lag(f"_S_{c}", n).over(w), F.lit(0.0))
+        k = F.col(f"_C_{c}") - F.coalesce(F.lag(f"_C_{c}", n).over(w), F.lit(0))
+        out[name] = s / F.nullif(k, F.lit(0))
+    for agg, comb in (("max", F.greatest), ("min", F.least)):
+        sel = [s for s in specs if s[3] == agg]
+        for c in sorted({s[1] for s in sel}):
+            top = max(int(math.floor(math.log2(s[2]))) for s in sel if s[1] == c)
+            prev = c
+            for lvl in range(1, top + 1):
+                name = f"_{agg}{lvl}_{c}"
+                df = df.withColumn(name, comb(F.col(prev), F.lag(prev, 2 ** (lvl - 1)).over(w)))
+                tmp.append(name)
+                prev = name
+            for oname, cc, n, _ in [s for s in sel if s[1] == c]:
+                lvl = int(math.floor(math.log2(n)))
+                base = c if lvl == 0 else f"_{agg}{lvl}_{c}"
+                rest = n - 2 ** lvl
+                out[oname] = F.col(base) if rest == 0 else comb(F.col(base), F.lag(base, rest).over(w))
+    return df.withColumns(out).drop(*tmp)
+
+
 def add_rolling_weeks(df: DataFrame, spec: dict[str, dict[int, Sequence[str]]] | None = None,
-                      partition: Sequence[str] = ("id",)) -> DataFrame:
+                      partition: Sequence[str] = ("id",), gap_free: bool = True) -> DataFrame:
     """``{col}_{agg}{w}week`` over calendar weeks.
 
     Default spec is the reference's: demand mean/max/min over 1, 2, 4, 12 and
-    48 weeks; snap mean over 1 and 2 weeks.
+    48 weeks; snap mean over 1 and 2 weeks.  On a gap-free daily grid the
+    ``7w``-day range is the last ``7w`` rows (``add_trailing``); otherwise a
+    range frame on the day number.
     """
     spec = spec or {
         "demand": {w: ("mean", "max", "min") for w in (1, 2, 4, 12, 48)},
         "snap": {1: ("mean",), 2: ("mean",)},
     }
-    cols = {}
-    for c, by_w in spec.items():
-        for w, aggs in by_w.items():
-            for a in aggs:
-                cols[f"{c}_{a}{w}week"] = rolling_days(c, 7 * w, a, partition)
-    return df.withColumns(cols)
+    items = [(f"{c}_{a}{w}week", c, 7 * w, a) for c, by_w in spec.items() for w, aggs in by_w.items() for a in aggs]
+    if gap_free:
+        return add_trailing(df, items, partition)
+    return df.withColumns({o: rolling_days(c, n, a, partition) for o, c, n, a in items})
 
 
 def add_sameweekday(df: DataFrame, col: str = "demand", weeks: Iterable[int] = (2, 4, 12, 48),
                     aggs: Sequence[str] = ("mean", "max", "min"), id_col: str = "id",
-                    dow_col: str = "dayofweek") -> DataFrame:
+                    dow_col: str = "dayofweek", gap_free: bool = True) -> DataFrame:
     """Same-weekday rolling aggregates, ``{col}_{agg}{w}week_sameweekday``.
 
     Inside (id, weekday) the rows are 7 days apart, so a ``7w``-day range frame
-    holds the last ``w`` same-weekday values.
+    holds the last ``w`` same-weekday rows.
     """
     part = (id_col, dow_col)
-    return df.withColumns({
-        f"{col}_{a}{w}week_sameweekday": rolling_days(col, 7 * w, a, part)
-        for w in weeks for a in aggs})
+    items = [(f"{col}_{a}{w}week_sameweekday", col, w, a) for w in weeks for a in aggs]
+    if gap_free:
+        return add_trailing(df, items, part)
+    return df.withColumns({o: rolling_days(c, 7 * n, a, part) for o, c, n, a in items})
 
 
 def add_samesnap(df: DataFrame, col: str = "demand", weeks: Iterable[int] = (2, 4, 12, 48),
@@ -109,13 +160,14 @@ def add_samesnap(df: DataFrame, col: str = "demand", weeks: Iterable[int] = (2,
 
     Strict variant: only the series' own rows count (SURVEY 7.5).
     """
-    w0 = Window.partitionBy(id_col, dow_col, snap_col).orderBy(DAYNO)
+    weeks = list(weeks)
+    items = [(f"_ss{w}", col, w, "mean") for w in weeks]
+    df = add_trailing(df, items, (id_col, dow_col, snap_col))
     cols = {}
     for w in weeks:
-        m = F.avg(col).over(w0.rowsBetween(-(w - 1), 0))
         for s in (0, 1):
-            cols[f"{col}_mean{w}week_sameweekday_samesnap{s}"] = F.when(F.col(snap_col) == s, m)
-    return df.withColumns(cols)
+            cols[f"{col}_mean{w}week_sameweekday_samesnap{s}"] = F.when(F.col(snap_col) == s, F.col(f"_ss{w}"))
+    return df.withColumns(cols).drop(*[f"_ss{w}" for w in weeks])
 
 
 def week_rounded(h: int) -> int:
