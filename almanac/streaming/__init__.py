@@ -1,0 +1,8 @@
+"""Structured Streaming.
+
+The reference has no streaming path: every input is a finite file and no
+watermark, window, state or late-data handling exists (SURVEY 2.12), so this
+package intentionally provides no streaming operators.  The batch operators
+are plain DataFrame -> DataFrame functions, so a caller can apply them inside
+``foreachBatch`` if files arrive incrementally.
+"""
