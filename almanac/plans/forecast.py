@@ -69,7 +69,7 @@ def from_submission(sub: DataFrame, first_day: str, horizon: int = HORIZON,
 
 def holdout_frame(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
     """Weighted panel with a naive t-28 forecast, restricted to the inner test fold."""
-    wp = pl.weighted_panel(pl.base_panel(spark, sf_dir, spec))
+    wp = pl.weighted_panel_table(spark, sf_dir, spec)
     return naive_forecast(wp).where(F.col("myfold") == "test")
 
 
@@ -79,7 +79,7 @@ def holdout_eval(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAU
     Submission of a naive forecast -> melt -> drop zero forecasts -> join truth
     and ids -> RMSE, means, ratio and WRMSSE over the 12 levels.
     """
-    wp = pl.weighted_panel(pl.base_panel(spark, sf_dir, spec))
+    wp = pl.weighted_panel_table(spark, sf_dir, spec)
     pred = naive_forecast(wp)
     sub = to_submission(pred.where(F.col("myfold") == "test"), spec.inner_test_start)
     long = from_submission(sub, spec.inner_test_start).where(F.col("yhat") != 0)

@@ -29,21 +29,39 @@ def calendar_table(spark: SparkSession, spec: fx.PanelSpec = fx.DEFAULT_SPEC) ->
     return enrich_calendar(fx.raw_calendar(fx.calendar_dates(spark, spec), spec))
 
 
-def price_table(keyed: DataFrame, series: DataFrame, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def price_table(daily: DataFrame, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
     """8-row rolling mean price (min_periods=1) and the ratio to it."""
-    p = fx.weekly_prices(keyed, series, spec).where(F.col("sell_price").isNotNull())
+    p = fx.weekly_prices(daily, spec).where(F.col("sell_price").isNotNull())
     w = Window.partitionBy("store_id", "item_id").orderBy("wm_yr_wk").rowsBetween(-7, 0)
     return p.withColumn("price_ratio_to_8week_rolling", F.col("sell_price") / F.avg("sell_price").over(w))
 
 
-def base_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
-    keyed = fx.keyed_lineitem(spark, sf_dir, spec)
-    panel = fx.sales_panel(spark, sf_dir, spec, keyed)
-    series = panel.select("store_id", "item_id").distinct()
+def price_maps(prices: DataFrame) -> DataFrame:
+    """Per series: week -> (sell_price, ratio).  At most one entry per week
+    of the window, so the map is bounded by the calendar span."""
+    entry = F.struct("wm_yr_wk", F.struct("sell_price", "price_ratio_to_8week_rolling"))
+    return (prices.withColumn("id", fx.series_id(F.col("item_id"), F.col("store_id")))
+            .groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("_m")))
+
+
+def base_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC,
+               materialize: bool = True) -> DataFrame:
+    """Dense panel + calendar + prices + flags.
+
+    One scan of the fact table (``daily_sales_table``); prices are looked up
+    per day from a per-series week map, so the dense panel is never shuffled
+    for the price join and leaves this step partitioned by ``id``.  The
+    calendar (one row per day) is broadcast.
+    """
+    daily = fx.daily_sales_table(spark, sf_dir, spec, materialize)
+    prices = price_table(daily, spec)
+    week = lambda d: F.to_date(F.date_trunc("week", d))
+    panel = fx.sales_panel(spark, sf_dir, spec, daily, extra_maps={"_price": (price_maps(prices), week)})
+    panel = panel.withColumns({"sell_price": F.col("_price.sell_price"),
+                               "price_ratio_to_8week_rolling": F.col("_price.price_ratio_to_8week_rolling")}) \
+        .drop("_price")
     cal = calendar_table(spark, spec).drop(*CAL_DROP)
-    prices = price_table(keyed, series, spec)
-    df = (panel.join(F.broadcast(cal.drop("d")), "date", "left")
-          .join(prices, ["store_id", "item_id", "wm_yr_wk"], "left"))
+    df = panel.join(F.broadcast(cal.drop("d")), "date", "left")
     return df.withColumns({
         # P4 tri-state indicator
         "anydemand": F.when(F.col("demand") > 0, 1).when(F.col("demand").isNotNull(), 0),
@@ -73,6 +91,15 @@ def weighted_panel(df: DataFrame) -> DataFrame:
     return df.withColumn("weight_all", F.col("weight_sales") * F.col("weight_rmse"))
 
 
+def weighted_panel_table(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+    """The weighted panel written once to the shared checkpoint folder, for
+    plans that read it from several branches (help table, holdout, truth):
+    the windows run once instead of once per branch, and a lost executor
+    recomputes from the written table."""
+    from almanac.session import cut_lineage
+    return cut_lineage(weighted_panel(base_panel(spark, sf_dir, spec)), "weighted_panel")
+
+
 def null_rules(df: DataFrame) -> DataFrame:
     """P10: no demand where there is no price, or on Christmas (null-safe mask)."""
     mask = (F.col("sell_price_isna") == 1) | F.coalesce(F.col("holiday_name") == "Christmas", F.lit(False))

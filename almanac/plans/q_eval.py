@@ -322,7 +322,7 @@ SELECT id, {sql_r6('yhat_mean')} AS yhat_mean, {sql_r6('y_mean')} AS y_mean,
 """)
 def forecast_bias(spark, sf_dir):
     """Top-20 over-forecast series (a top-k report)."""
-    wp = pl.weighted_panel(pl.base_panel(spark, sf_dir))
+    wp = pl.weighted_panel_table(spark, sf_dir)
     test = fc.naive_forecast(wp).where(F.col("myfold") == "test")
     train = wp.where(F.col("myfold") == "train")
     return rounded(ev.forecast_bias(test, train, "id", "demand", "yhat", top_n=20))

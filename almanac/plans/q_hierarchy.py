@@ -16,7 +16,7 @@ DIMS = ", ".join(hy.DIMS)
 
 
 def _wp(spark, sf_dir):
-    return pl.weighted_panel(pl.base_panel(spark, sf_dir, S))
+    return pl.weighted_panel_table(spark, sf_dir, S)
 
 
 def help_ctes() -> str:

@@ -58,9 +58,7 @@ SELECT store_id, item_id, CAST(wm_yr_wk AS VARCHAR) AS wm_yr_wk,
 FROM prices
 """)
 def price_ratio_8wk(spark, sf_dir):
-    keyed = fx.keyed_lineitem(spark, sf_dir, S)
-    series = fx.daily_sales(keyed).select("store_id", "item_id").distinct()
-    p = pl.price_table(keyed, series, S)
+    p = pl.price_table(fx.daily_sales_table(spark, sf_dir, S), S)
     return p.select("store_id", "item_id", ds("wm_yr_wk").alias("wm_yr_wk"),
                     r6("sell_price").alias("sell_price"),
                     r6("price_ratio_to_8week_rolling").alias("price_ratio_to_8week_rolling"))

@@ -118,9 +118,23 @@ def series_id(item: Column, store: Column, suffix: str = "evaluation") -> Column
 
 
 def daily_sales(keyed: DataFrame) -> DataFrame:
-    """A1: shipped quantity per (series, day); map-side partial sums first."""
-    return (keyed.groupBy("id", *HIERARCHY, "date")
-            .agg(F.sum("qty").alias("qty"), F.sum("price_sum").alias("price_sum")))
+    """A1: shipped quantity and value per (series, day); partial sums are
+    combined map-side, so a hot series never reaches one task as raw rows.
+    The hierarchy columns depend on the id only and ride along with first()."""
+    return (keyed.groupBy("id", "date")
+            .agg(*[F.first(c).alias(c) for c in HIERARCHY],
+                 F.sum("qty").alias("qty"), F.sum("price_sum").alias("price_sum")))
+
+
+def daily_sales_table(spark: SparkSession, sf_dir: str, spec: "PanelSpec" = None,
+                      materialize: bool = True) -> DataFrame:
+    """The one pass over ``lineitem``: daily aggregates, written once to the
+    shared checkpoint folder so that the panel, the prices and every other
+    consumer read this (series x sale-day) table instead of re-scanning and
+    re-joining the fact table."""
+    from almanac.session import cut_lineage
+    daily = daily_sales(keyed_lineitem(spark, sf_dir, spec or DEFAULT_SPEC))
+    return cut_lineage(daily, "daily_sales") if materialize else daily
 
 
 def calendar_from_span(start: Column, end: Column, df: DataFrame) -> DataFrame:
@@ -171,13 +185,15 @@ def raw_calendar(dates: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def weekly_prices(keyed: DataFrame, series: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def weekly_prices(daily: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Average unit price per (store, item, week), dense over the weeks of the
     window and carried forward (W1); null before a series' first sale.
 
-    The quotient of the two decimal sums is left unrounded.
+    The quotient of the two decimal sums is left unrounded.  Built from the
+    daily aggregate (already one row per series and day), so the price table
+    costs a shuffle of (series x weeks) rows, not of line items.
     """
-    wk = (keyed.withColumn("wm_yr_wk", F.to_date(F.date_trunc("week", "date")))
+    wk = (daily.withColumn("wm_yr_wk", F.to_date(F.date_trunc("week", "date")))
           .groupBy("store_id", "item_id", "wm_yr_wk")
           .agg(F.sum("price_sum").alias("_p"), F.sum("qty").alias("_q"))
           .select("store_id", "item_id", "wm_yr_wk",
@@ -185,7 +201,7 @@ def weekly_prices(keyed: DataFrame, series: DataFrame, spec: PanelSpec = DEFAULT
                   .alias("_price")))
     first_wk = F.to_date(F.date_trunc("week", _d(spec.start)))
     last_wk = F.to_date(F.date_trunc("week", _d(spec.end)))
-    grid = (series.select("store_id", "item_id").distinct()
+    grid = (daily.select("store_id", "item_id").distinct()
             .select("store_id", "item_id",
                     F.explode(F.sequence(first_wk, last_wk, F.expr("INTERVAL 7 DAYS"))).alias("wm_yr_wk")))
     w = (Window.partitionBy("store_id", "item_id").orderBy("wm_yr_wk")
@@ -196,23 +212,48 @@ def weekly_prices(keyed: DataFrame, series: DataFrame, spec: PanelSpec = DEFAULT
 
 
 def sales_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec = DEFAULT_SPEC,
-                keyed: DataFrame | None = None) -> DataFrame:
+                daily: DataFrame | None = None, extra_maps: dict[str, tuple[DataFrame, Column]] | None = None
+                ) -> DataFrame:
     """P1 + P2 + J3: the long panel, one row per (series, day) of the window.
 
+    Each series' sale days are gathered into a date -> quantity map (at most
+    one entry per calendar day, so bounded by the calendar span, not by the
+    data volume) and expanded over the full day sequence with
+    ``inline(transform(sequence(...)))``.  No join against a separate grid:
+    the panel leaves this step hash-partitioned by ``id``, which every later
+    series window reuses without another shuffle.
+
+    ``extra_maps`` = {name: (table keyed by id with a map column ``_m``, key
+    expression of the day)} adds per-day lookups the same way (prices).
+
     demand is 0 on days without shipments and null in the outer test period
     (the future days appended in the reference).  Columns: id, hierarchy, d,
-    date, demand, fold, myfold.
+    date, demand, fold, myfold (+ extra map values).
     """
-    keyed = keyed if keyed is not None else keyed_lineitem(spark, sf_dir, spec)
-    daily = daily_sales(keyed)
-    series = daily.select("id", *HIERARCHY).distinct()
-    grid = series.select("*", F.explode(F.sequence(_d(spec.start), _d(spec.end))).alias("date"))
+    daily = daily if daily is not None else daily_sales_table(spark, sf_dir, spec)
+    per = (daily.groupBy("id")
+           .agg(*[F.first(c).alias(c) for c in HIERARCHY],
+                F.map_from_entries(F.collect_list(F.struct("date", "qty"))).alias("_qty")))
+    extra_maps = extra_maps or {}
+    for name, (tbl, _) in extra_maps.items():
+        per = per.join(tbl.select("id", F.col("_m").alias(f"_m_{name}")), "id", "left")
+    start, end = _d(spec.start), _d(spec.end)
+
+    def day(d):
+        fields = [d.alias("date"), F.try_element_at(F.col("_qty"), d).alias("_q")]
+        for name, (_, keyfn) in extra_maps.items():
+            fields.append(F.try_element_at(F.col(f"_m_{name}"), keyfn(d)).alias(name))
+        return F.struct(*fields)
+
+    days = F.transform(F.sequence(start, end), day)
+    grid = per.select("id", *HIERARCHY, F.inline(days))
     known = F.col("date") < _d(spec.test_start)
-    panel = (grid.join(daily.select("id", "date", "qty"), ["id", "date"], "left")
-             .select("id", *HIERARCHY,
-                     F.concat(F.lit("d_"), (F.datediff("date", _d(spec.start)) + 1).cast("string")).alias("d"),
-                     "date",
-                     F.when(known, F.coalesce(F.col("qty"), F.lit(0)).cast("double")).alias("demand")))
+    panel = grid.select(
+        "id", *HIERARCHY,
+        F.concat(F.lit("d_"), (F.datediff("date", start) + 1).cast("string")).alias("d"),
+        "date",
+        F.when(known, F.coalesce(F.col("_q"), F.lit(0)).cast("double")).alias("demand"),
+        *extra_maps.keys())
     return add_folds(panel, spec)
 
 
