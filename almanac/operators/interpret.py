@@ -17,14 +17,16 @@ from almanac.functions.columns import inv_logit, isclose
 
 
 def linear_contributions(df: DataFrame, row_id: str, features: Sequence[str],
-                         coefs: dict[str, dict[str, float]], intercepts: dict[str, float]) -> DataFrame:
-    """Per (row, target, variable) contribution coef * (x - mean x) and the
-    intercept row; means are scalar subqueries over ``df``.
+                         coefs: dict[str, dict[str, float]], intercepts: dict[str, float],
+                         means: dict[str, Column] | None = None) -> DataFrame:
+    """Per (row, target, variable) contribution coef * (x - baseline x) and the
+    intercept row (b + sum coef * baseline).  The baseline defaults to the
+    feature means (scalar subqueries over ``df``).
 
     ``coefs[target][feature]`` and ``intercepts[target]`` are model
     parameters (bounded by features x targets).
     """
-    means = {f: df.select(F.avg(f)).scalar() for f in features}
+    means = means or {f: df.select(F.avg(f)).scalar() for f in features}
     rows = []
     for t, cf in coefs.items():
         icpt = F.lit(float(intercepts[t]))

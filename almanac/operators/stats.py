@@ -220,10 +220,32 @@ def pearson(x: str, y: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of average ranks over pairwise-complete rows."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = od.with_average_rank(od.with_average_rank(d, x, by, "_rx"), y, by, "_ry")
-    return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"))
+    """Pearson correlation of average ranks over pairwise-complete rows.
+
+    Rows are first pre-aggregated to distinct (x, y) pairs with counts; ranks
+    are computed per distinct value (``ordered``) and joined to the pair
+    table, never to the raw rows.  The correlation is the count-weighted one
+    of ranks centred at (n + 1) / 2, which is their exact mean.
+    """
+    by = list(by)
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    pairs = d.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    rx = od.average_rank_table(d, "_x", by, "_rx")
+    ry = od.average_rank_table(d, "_y", by, "_ry")
+    j = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
+    g = j.groupBy(*by).agg(F.sum("_c").alias("_n"),
+                           F.sum(F.col("_c") * F.col("_rx")).alias("_sx"),
+                           F.sum(F.col("_c") * F.col("_ry")).alias("_sy"),
+                           F.sum(F.col("_c") * F.col("_rx") * F.col("_rx")).alias("_sxx"),
+                           F.sum(F.col("_c") * F.col("_ry") * F.col("_ry")).alias("_syy"),
+                           F.sum(F.col("_c") * F.col("_rx") * F.col("_ry")).alias("_sxy"))
+    # centre at m = (n + 1) / 2: sum c (r - m)(s - m) = sxy - m sx - m sy + n m^2
+    m = (F.col("_n") + 1) / 2
+    cxy = F.col("_sxy") - m * F.col("_sx") - m * F.col("_sy") + F.col("_n") * m * m
+    cxx = F.col("_sxx") - 2 * m * F.col("_sx") + F.col("_n") * m * m
+    cyy = F.col("_syy") - 2 * m * F.col("_sy") + F.col("_n") * m * m
+    return g.select(*by, (cxy / F.sqrt(F.nullif(cxx * cyy, F.lit(0.0)))).alias("spearman"))
 
 
 def spearman_pairs(df: DataFrame, cols: Sequence[str], cutoff: float | None = None) -> DataFrame:
@@ -242,8 +264,7 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], cutoff: float | None = No
     for p in parts[1:]:
         long = long.unionByName(p)
     pk = ["var1", "var2"]
-    rk = od.with_average_rank(od.with_average_rank(long, "x", pk, "_rx"), "y", pk, "_ry")
-    rho = rk.groupBy(*pk).agg(F.abs(F.corr("_rx", "_ry")).alias("abs_spearman"))
+    rho = spearman(long, "x", "y", pk).select(*pk, F.abs("spearman").alias("abs_spearman"))
     ms = missing_share(df, cols).select("variable", "miss_share")
     rho = (rho.join(ms.withColumnsRenamed({"variable": "var1", "miss_share": "miss1"}), "var1")
            .join(ms.withColumnsRenamed({"variable": "var2", "miss_share": "miss2"}), "var2"))

@@ -221,10 +221,16 @@ def _ledger_input(spark, sf_dir):
         (F.col("c_acctbal") / 7e3).alias("acctbal"), (F.col("c_nationkey") / 23.0).alias("nation"))
 
 
+def _baseline(x):
+    """Feature means rounded to 1e-9, so that the oracle reproduces the
+    baseline bit for bit (summation order differs between engines)."""
+    return {f: x.select(F.floor(F.avg(f) * 1e9 + 0.5) / 1e9).scalar() for f in LEDGER_FEATURES}
+
+
 def _ledger_sql():
     src = ("x AS (SELECT o_orderkey AS row_id, o_totalprice / 1.5e5 AS price, c_acctbal / 7e3 AS acctbal, "
            "c_nationkey / 23.0 AS nation FROM orders JOIN customer ON o_custkey = c_custkey)")
-    mean = {f: f"(SELECT avg({f}) FROM x)" for f in LEDGER_FEATURES}
+    mean = {f: f"(SELECT floor(avg({f}) * 1e9 + 0.5e0) / 1e9 FROM x)" for f in LEDGER_FEATURES}
     parts = []
     for t, cf in LEDGER_COEFS.items():
         icpt = f"{LEDGER_INTERCEPTS[t]!r}" + "".join(f" + {cf[f]!r} * {mean[f]}" for f in LEDGER_FEATURES)
@@ -233,22 +239,30 @@ def _ledger_sql():
         for f in LEDGER_FEATURES:
             parts.append(f"SELECT row_id, '{t}', '{f}', {cf[f]!r} * ({f} - {mean[f]}), CAST({f} AS DOUBLE) FROM x")
     targets = list(LEDGER_COEFS)
+    nr = len(LEDGER_FEATURES) + 1
     wide = ", ".join(f"max(CASE WHEN target = '{t}' THEN shap_value END) AS sv_{t}" for t in targets)
-    order = "PARTITION BY c.row_id, c.target ORDER BY flag_intercept DESC, abs(shap_value) DESC, c.variable"
-    run = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    den = " + ".join(f"exp(sum(w.sv_{t}) {run})" for t in targets)
-    own = "CASE " + " ".join(f"WHEN c.target = '{t}' THEN exp(sum(w.sv_{t}) {run}) / ({den})" for t in targets) + " END"
+    order = "PARTITION BY row_id, target ORDER BY flag_intercept DESC, abs(shap_value) DESC, variable"
+    # running sums written out left to right (Spark's running window sum adds
+    # sequentially; a segment-tree window would associate differently)
+    piv = ", ".join([f"max(CASE WHEN rank = {r} THEN shap_value END) AS a{r}" for r in range(1, nr + 1)] +
+                    [f"max(CASE WHEN rank = {r} THEN sv_{t} END) AS {t}{r}" for t in targets for r in range(1, nr + 1)])
+
+    def run(prefix):
+        return "CASE rank " + " ".join(
+            f"WHEN {r} THEN " + " + ".join(f"p.{prefix}{i}" for i in range(1, r + 1)) for r in range(1, nr + 1)) + " END"
+    den = " + ".join(f"exp({run(t)})" for t in targets)
+    own = "CASE c2.target " + " ".join(f"WHEN '{t}' THEN exp({run(t)}) / ({den})" for t in targets) + " END"
     return f"""{src},
 c0 AS ({_union(parts)}),
 c AS (SELECT *, CAST(variable = 'intercept' AS INTEGER) AS flag_intercept FROM c0),
 w AS (SELECT row_id, variable, {wide} FROM c0 GROUP BY row_id, variable),
+c2 AS (SELECT c.*, {', '.join(f'w.sv_{t}' for t in targets)}, row_number() OVER ({order}) AS rank
+       FROM c JOIN w USING (row_id, variable)),
+p AS (SELECT row_id, target, {piv} FROM c2 GROUP BY row_id, target),
 led AS (
-  SELECT c.row_id, c.target, c.variable, c.shap_value, c.variable_value, c.flag_intercept,
-         abs(c.shap_value) AS abs_shap_value,
-         sum(c.shap_value) {run} AS shap_value_cum,
-         row_number() OVER ({order}) AS rank,
-         {own} AS yhat
-  FROM c JOIN w ON w.row_id = c.row_id AND w.variable = c.variable
+  SELECT c2.row_id, c2.target, c2.variable, c2.shap_value, c2.variable_value, c2.flag_intercept,
+         abs(c2.shap_value) AS abs_shap_value, {run('a')} AS shap_value_cum, c2.rank, {own} AS yhat
+  FROM c2 JOIN p ON p.row_id = c2.row_id AND p.target = c2.target
 )"""
 
 
@@ -261,7 +275,7 @@ FROM led
 """)
 def contribution_ledger(spark, sf_dir):
     x = _ledger_input(spark, sf_dir)
-    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS)
+    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
     led = ip.ledger(con, "row_id", "MULTICLASS")
     return rounded(led.select("row_id", "target", "variable", "shap_value", "variable_value", "flag_intercept",
                               "abs_shap_value", "shap_value_cum", F.col("rank").cast("long"), "yhat"),
@@ -286,7 +300,7 @@ FROM last JOIN pr ON pr.row_id = last.row_id AND pr.target = last.target GROUP B
 def contribution_check(spark, sf_dir):
     """Ledger end points against the model's own softmax probabilities."""
     x = _ledger_input(spark, sf_dir)
-    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS)
+    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
     led = ip.ledger(con, "row_id", "MULTICLASS")
     scores = {t: F.lit(LEDGER_INTERCEPTS[t]) + sum((F.lit(cf[f]) * F.col(f) for f in LEDGER_FEATURES), F.lit(0.0))
               for t, cf in LEDGER_COEFS.items()}
