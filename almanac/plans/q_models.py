@@ -36,25 +36,28 @@ FEATURES = DAY_FEATURES + TS_FEATURES + SWD_FEATURES
 
 
 def horizon_features(spark, sf_dir, hs: list[int]):
-    """The panel with horizon-free features computed once, then one shifted
-    copy per horizon (lags inside the series partitioning, no join).
-    Returns {h: frame} sharing the same upstream plan."""
+    """The panel with horizon-free features computed once and written to the
+    shared checkpoint folder; each horizon's frame is a shifted copy of that
+    table (lags inside the series partitioning, no join), so the panel and
+    its windows run once however many horizons are modelled."""
     b = pl.null_rules(pl.weighted_panel(pl.base_panel(spark, sf_dir, S)))
     b = b.withColumn("dayofweek", F.weekday("date"))
     f = ts.add_lags(b, ["demand"], [0, 6])
     f = ts.add_rolling_weeks(f, {"demand": {1: ("mean",), 4: ("mean",), 12: ("mean",)}})
     f = ts.add_sameweekday(f, weeks=(4,), aggs=("mean",))
     f = ts.add_samesnap(f, weeks=(4,))
+    f = md.normalised_weight(f, "weight_rmse")
+    stems = ["demand_mean4week_sameweekday", f"{SWD_STEM}0", f"{SWD_STEM}1"]
+    keep = ["id", "date", ts.DAYNO, "fold", "myfold", "demand", "w",
+            *[c for c in DAY_FEATURES], *TS_FEATURES, *stems]
+    base = cut_lineage(f.select(*keep), "features_base")
     out = {}
     for h in hs:
-        g = ts.shift_forward(f, h, TS_FEATURES)
-        g = ts.shift_forward(g, ts.week_rounded(h), ["demand_mean4week_sameweekday", f"{SWD_STEM}0", f"{SWD_STEM}1"])
+        g = ts.shift_forward(base, h, TS_FEATURES)
+        g = ts.shift_forward(g, ts.week_rounded(h), stems)
         g = ts.pick_by_flag(pl.keep_final_rows(g), SWD_STEM)
-        g = md.normalised_weight(g, "weight_rmse")
         g = g.select("id", "date", "fold", "myfold", "demand", "w", *FEATURES)
-        # written once to the shared checkpoint folder: the learner and the
-        # scoring read the table instead of re-running the panel plan
-        out[h] = md.assemble(cut_lineage(g.withColumn("label", F.col("demand")), f"features_h{h}"), FEATURES)
+        out[h] = md.assemble(g.withColumn("label", F.col("demand")), FEATURES)
     return out
 
 
