@@ -213,8 +213,7 @@ def regular_grid(df: DataFrame, key: str, ts_col: str, value_col: str, step: str
     left-joined with the aggregates on (key, slot).  The slot aggregation is
     algebraic, so a key holding most rows is pre-aggregated per task.
     """
-    slot = F.date_trunc(step, F.col(ts_col)).cast("timestamp_ntz") if step != "day" \
-        else F.col(ts_col).cast("date")
+    slot = trunc_ntz(F.col(ts_col), step)
     fn = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count}[agg]
     vals = df.groupBy(key, slot.alias("slot")).agg(fn(value_col).alias(value_col))
     interval = F.expr({"hour": "INTERVAL 1 HOUR", "minute": "INTERVAL 1 MINUTE",
@@ -228,9 +227,20 @@ def regular_grid(df: DataFrame, key: str, ts_col: str, value_col: str, step: str
     return grid.join(vals, [key, "slot"], "left")
 
 
+def trunc_ntz(ts: Column, step: str) -> Column:
+    """Truncate a local (NTZ) timestamp to the hour/minute, or to its date,
+    with calendar fields only - independent of the session time zone."""
+    if step == "day":
+        return ts.cast("date")
+    minute = F.minute(ts) if step == "minute" else F.lit(0)
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), minute, F.lit(0))
+
+
 def step_number(ts: Column, step: str) -> Column:
-    """Integer step index (hours/minutes/days since epoch) for range frames."""
+    """Integer step index (days/hours/minutes since epoch) for range frames,
+    from calendar fields (no time-zone conversion of local timestamps)."""
+    day = F.unix_date(ts.cast("date")).cast("long")
     if step == "day":
-        return F.unix_date(ts.cast("date"))
-    secs = F.unix_seconds(ts.cast("timestamp"))
-    return (secs / {"hour": 3600, "minute": 60}[step]).cast("long")
+        return day
+    hours = day * 24 + F.hour(ts)
+    return hours if step == "hour" else hours * 60 + F.minute(ts)

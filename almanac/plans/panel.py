@@ -55,7 +55,7 @@ def base_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT
     """
     daily = fx.daily_sales_table(spark, sf_dir, spec, materialize)
     prices = price_table(daily, spec)
-    week = lambda d: F.to_date(F.date_trunc("week", d))
+    week = fx.week_start
     panel = fx.sales_panel(spark, sf_dir, spec, daily, extra_maps={"_price": (price_maps(prices), week)})
     panel = panel.withColumns({"sell_price": F.col("_price.sell_price"),
                                "price_ratio_to_8week_rolling": F.col("_price.price_ratio_to_8week_rolling")}) \

@@ -83,6 +83,13 @@ def _d(s: str) -> Column:
     return F.to_date(F.lit(s))
 
 
+def week_start(d: Column | str) -> Column:
+    """Monday of the date's week (``date_trunc('week')`` without a detour
+    through session-time-zone timestamps)."""
+    d = F.col(d) if isinstance(d, str) else d
+    return F.date_sub(d, F.weekday(d))
+
+
 def keyed_lineitem(spark: SparkSession, sf_dir: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     """Line items of the window with their series dimensions.
 
@@ -172,7 +179,7 @@ def raw_calendar(dates: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     return dates.select(
         "date",
         F.concat(F.lit("d_"), (F.datediff("date", _d(spec.start)) + 1).cast("string")).alias("d"),
-        F.to_date(F.date_trunc("week", "date")).alias("wm_yr_wk"),
+        week_start("date").alias("wm_yr_wk"),
         F.weekday("date").alias("weekday"),
         F.month("date").alias("month"),
         F.year("date").alias("year"),
@@ -193,14 +200,14 @@ def weekly_prices(daily: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
     daily aggregate (already one row per series and day), so the price table
     costs a shuffle of (series x weeks) rows, not of line items.
     """
-    wk = (daily.withColumn("wm_yr_wk", F.to_date(F.date_trunc("week", "date")))
+    wk = (daily.withColumn("wm_yr_wk", week_start("date"))
           .groupBy("store_id", "item_id", "wm_yr_wk")
           .agg(F.sum("price_sum").alias("_p"), F.sum("qty").alias("_q"))
           .select("store_id", "item_id", "wm_yr_wk",
                   (F.col("_p").cast("double") / F.nullif(F.col("_q").cast("double"), F.lit(0.0)))
                   .alias("_price")))
-    first_wk = F.to_date(F.date_trunc("week", _d(spec.start)))
-    last_wk = F.to_date(F.date_trunc("week", _d(spec.end)))
+    first_wk = week_start(_d(spec.start))
+    last_wk = week_start(_d(spec.end))
     grid = (daily.select("store_id", "item_id").distinct()
             .select("store_id", "item_id",
                     F.explode(F.sequence(first_wk, last_wk, F.expr("INTERVAL 7 DAYS"))).alias("wm_yr_wk")))
