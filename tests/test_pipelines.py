@@ -56,3 +56,23 @@ def test_ledger_ends_at_the_prediction(spark):
             exp = icpt[t] + cf["a"] * r["a"] + cf["b"] * r["b"]
             assert math.isclose(last.loc[(r["rid"], t), "yhat"], exp, rel_tol=1e-12, abs_tol=1e-12)
     assert (led.groupby(["rid", "target"])["rank"].max() == 3).all()
+
+
+def test_prefix_predictions_equal_model_transform(spark):
+    import numpy as np
+    from almanac.operators import modeling as md
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), float(2 * a - b + rng.normal(0, 0.1))) for a, b in rng.normal(size=(300, 2))]
+    df = md.assemble(spark.createDataFrame(rows, "a double, b double, label double"), ["a", "b"])
+    m = md.gbt_regressor(n_trees=6, depth=3).fit(df)
+    pp = md.prefix_predictions(m, m.transform(df), [3, 6]).toPandas()
+    assert np.allclose(pp["yhat_6"], pp["prediction"], atol=1e-9)
+    assert not np.allclose(pp["yhat_3"], pp["prediction"])
+
+
+def test_direct_forecast_one_row_per_series_and_horizon(spark):
+    import __spark_entry__ as entry
+    out = entry.queries()["forecast_direct"](spark, SF_SMALL).toPandas()
+    assert out.groupby(["id", "horizon"]).size().eq(1).all()
+    assert set(out.horizon) == {1, 14, 28} and out.yhat.notna().all()
+    assert out.groupby("horizon")["date"].nunique().eq(1).all()
