@@ -51,7 +51,8 @@ def test_cumulative_bucket_count_does_not_change_results(rnd):
     _, df = rnd
     a = od.cumulative(df, "x", {"n": F.count(F.lit(1))}, n_buckets=2).toPandas().sort_values("value")
     b = od.cumulative(df, "x", {"n": F.count(F.lit(1))}, n_buckets=64).toPandas().sort_values("value")
-    assert a["cum_n"].tolist() == b["cum_n"].tolist()
+    c = od.cumulative(df, "x", {"n": F.count(F.lit(1))}, n_buckets=100).toPandas().sort_values("value")
+    assert a["cum_n"].tolist() == b["cum_n"].tolist() == c["cum_n"].tolist()
     d = od.cumulative(df, "x", {"n": F.count(F.lit(1))}, descending=True).toPandas().sort_values("value")
     assert d["cum_n"].iloc[-1] == d["n"].iloc[-1]
 
