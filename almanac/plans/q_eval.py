@@ -12,7 +12,7 @@ from almanac.plans import panel as pl
 from almanac.plans import sqlfrag as q
 from almanac.plans.q_hierarchy import HOLD
 from almanac.plans.q_stats import CLASS_SQL, CLASSES, SCORED_SQL, class_probs, scored_docs
-from almanac.plans.registry import ds, r6, register, rounded, sql_r6
+from almanac.plans.registry import ds, register, rounded, sql_r6
 from almanac.sources.tables import read_table
 
 QS = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"

@@ -8,7 +8,7 @@ from almanac.operators import hierarchy as hy
 from almanac.plans import forecast as fc
 from almanac.plans import panel as pl
 from almanac.plans import sqlfrag as q
-from almanac.plans.registry import r6, register, rounded, sql_r6
+from almanac.plans.registry import register, rounded, sql_r6
 from almanac.sources import fixtures as fx
 
 S = fx.DEFAULT_SPEC

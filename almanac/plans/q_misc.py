@@ -12,7 +12,7 @@ from almanac.operators import interpret as ip
 from almanac.operators import timeseries as ts
 from almanac.plans import panel as pl
 from almanac.plans import sqlfrag as q
-from almanac.plans.registry import ds, r6, register, rounded, sql_r6
+from almanac.plans.registry import ds, register, rounded, sql_r6
 from almanac.session import ensure_checkpoint_dir
 from almanac.sources import fixtures as fx
 from almanac.sources.tables import read_csv, read_table, write_csv, write_stage

@@ -9,7 +9,6 @@ Model fits read the full tables; only the ensemble sizes are kept small
 from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.operators import interpret as ip
