@@ -165,14 +165,12 @@ def chi2_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Output: var1, var2, n, m (= min levels), chi2.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = []
-    for a, b in pairs:
-        parts.append(df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-                     .select(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.col(a).cast("string").alias("l1"), F.col(b).cast("string").alias("l2")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    # one scan: every row emits one (pair, level, level) struct per pair
+    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                             F.col(a).cast("string").alias("l1"), F.col(b).cast("string").alias("l2"))
+                    for a, b in pairs])
+    long = (df.select(F.explode(arr).alias("s")).select("s.*")
+            .where(F.col("l1").isNotNull() & F.col("l2").isNotNull()))
     cells = long.groupBy("var1", "var2", "l1", "l2").agg(F.count(F.lit(1)).cast("double").alias("o"))
     pk = ["var1", "var2"]
     r = cells.groupBy(*pk, "l1").agg(F.sum("o").alias("r"))
@@ -256,13 +254,10 @@ def spearman_pairs(df: DataFrame, cols: Sequence[str], cutoff: float | None = No
     Works in long form keyed by the pair, so all pairs rank in one job.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    parts = [df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-             .select(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                     F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-             for a, b in pairs]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                             F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                    for a, b in pairs])
+    long = df.select(F.explode(arr).alias("s")).select("s.*")   # one scan for all pairs
     pk = ["var1", "var2"]
     rho = spearman(long, "x", "y", pk).select(*pk, F.abs("spearman").alias("abs_spearman"))
     ms = missing_share(df, cols).select("variable", "miss_share")
