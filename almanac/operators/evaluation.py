@@ -224,22 +224,26 @@ def importance_multiclass(df: DataFrame, features: Sequence[str], target: str) -
 
 def importance_regression(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """|Spearman| of the target with the level mean (string features) or
-    with the raw value (numeric features)."""
+    with the raw value (numeric features).
+
+    One pass: every row emits one (feature, level, value) struct per feature;
+    level means are an aggregate over (feature, level) joined back (partial
+    aggregation, so no level has to fit one task).
+    """
     types = dict(df.dtypes)
-    parts = []
-    for c in features:
-        d = df.where(F.col(target).isNotNull())
-        if types[c] == "string":
-            # level mean by aggregate + join: partial aggregation, no level
-            # has to fit one task
-            m = d.groupBy(c).agg(F.avg(target).alias("_s"))
-            d = d.join(m, c, "left")
-        else:
-            d = d.withColumn("_s", F.col(c).cast("double"))
-        parts.append(d.select(F.lit(c).alias("variable"), F.col(target).cast("double").alias("_y"), "_s"))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    cate = [c for c in features if types[c] == "string"]
+    arr = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"),
+                             (F.lit(None).cast("double") if c in cate else F.col(c).cast("double")).alias("num"))
+                    for c in features])
+    long = (df.where(F.col(target).isNotNull())
+            .select(F.col(target).cast("double").alias("_y"), F.explode(arr).alias("s")).select("_y", "s.*"))
+    if cate:
+        means = (long.where(F.col("variable").isin(cate) & F.col("level").isNotNull())
+                 .groupBy("variable", "level").agg(F.avg("_y").alias("_m")))
+        long = long.join(means, ["variable", "level"], "left")
+        long = long.withColumn("_s", F.when(F.col("variable").isin(cate), F.col("_m")).otherwise(F.col("num")))
+    else:
+        long = long.withColumn("_s", F.col("num"))
     rho = st.spearman(long, "_y", "_s", by=["variable"])
     return rho.select("variable", F.abs("spearman").alias("importance"))
 

@@ -39,11 +39,9 @@ def quantile_bins(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", QB_COLS)
     model = tf.QuantileBinner(QB_COLS, 10, suffix="_bin").fit(li)
     out = model.transform(li)
-    parts = [out.select(F.lit(c).alias("variable"), F.col(f"{c}_bin").alias("bin"), F.col(c).alias("x"))
-             for c in QB_COLS]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    arr = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}_bin").alias("bin"),
+                             F.col(c).cast("double").alias("x")) for c in QB_COLS])
+    long = out.select(F.explode(arr).alias("s")).select("s.*").where(F.col("x").isNotNull())
     return rounded(long.groupBy("variable", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), ["lo", "hi"])
 
