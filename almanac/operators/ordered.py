@@ -145,3 +145,28 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
         F.first("s.h").alias("_h"), F.first("s.lo").alias("_l"))
     frac = F.col("_h") - F.col("_l")
     return g.select(*by, "prob", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+
+
+def global_row_number(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), out: str = "rank",
+                      n_parts: int | None = None) -> DataFrame:
+    """``row_number() over (partition by by order by order)`` without sorting
+    a whole group in one task, for composite (e.g. numeric then string) keys.
+
+    The rows are range-partitioned on (by, order) - ties inside a group are
+    split by the later keys - and the partition id is written once with the
+    rows to the shared checkpoint folder, so every later use sees the same
+    assignment.  Per-(partition, group) counts give each partition's offset
+    (a window over at most ``n_parts`` rows per group); the rank is the
+    offset plus the row number inside the partition.  The order must be a
+    total order (unique keys) for ranks to be unique.
+    """
+    from almanac.session import cut_lineage
+    nb = n_parts or default_buckets(df)
+    ranged = df.repartitionByRange(nb, *[F.col(b) for b in by], *order).withColumn("__pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranged")
+    cnt = ranged.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("__pid", *by, F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
+    rn = F.row_number().over(Window.partitionBy("__pid", *by).orderBy(*order))
+    return (ranged.join(off, ["__pid", *by]).withColumn(out, F.col("__off") + rn)
+            .drop("__pid", "__off"))

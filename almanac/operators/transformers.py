@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from almanac.functions.columns import clip, zfill
 from almanac.operators import ordered as od
 from almanac.operators.stats import long_form
+from almanac.session import cut_lineage
 
 
 class _Est(Estimator):
@@ -185,6 +186,9 @@ class MapUnseenLevelsModel(_Mod):
 # ---------------------------------------------------------------------------
 # Target encoding by rank
 # ---------------------------------------------------------------------------
+WINDOW_MAX_LEVELS = 1_000_000
+
+
 class TargetRankEncoder(_Est):
     """Level -> rank of its mean target on the flagged rows (descending;
     ties by level); levels without flagged rows rank last; levels unseen at
@@ -210,9 +214,21 @@ class TargetRankEncoder(_Est):
         lf = long_form(d, self.features, "string", keys=["_tmp", self.flag_col])
         levels = lf.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
             F.avg(F.when(F.col(self.flag_col) == 1, F.col("_tmp"))).alias("target_mean"))
-        w = Window.partitionBy("variable").orderBy(F.col("target_mean").desc_nulls_last(), F.col("value"))
-        ranks = (levels.withColumn("rank", F.row_number().over(w))
-                 .withColumn("median_rank", (F.count(F.lit(1)).over(Window.partitionBy("variable")) + 1) / 2.0))
+        # the fitted state: one aggregate job, written once to the shared
+        # checkpoint folder and read by the size check, ranking and transform
+        levels = cut_lineage(levels, "target_levels")
+        # rank of every level by (mean desc, level).  Size check first: up to
+        # WINDOW_MAX_LEVELS levels per feature one task sorts them; beyond it
+        # a distributed global row number takes over.
+        med = levels.groupBy("variable").agg(F.count(F.lit(1)).alias("_nlev"),
+                                             ((F.count(F.lit(1)) + 1) / 2.0).alias("median_rank"))
+        n_max = med.agg(F.max("_nlev")).first()[0] or 0
+        order = [F.col("target_mean").desc_nulls_last(), F.col("value")]
+        if n_max <= WINDOW_MAX_LEVELS:
+            ranked = levels.withColumn("rank", F.row_number().over(Window.partitionBy("variable").orderBy(*order)))
+        else:
+            ranked = od.global_row_number(levels, order, by=["variable"], out="rank")
+        ranks = ranked.join(med.drop("_nlev"), "variable")
         return TargetRankEncoderModel(ranks, self.features, self.flag_col, self.remove_burned, self.suffix)
 
 

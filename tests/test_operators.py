@@ -189,3 +189,12 @@ def test_pacf_durbin_levinson_matches_yule_walker():
         toe = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
         phi = np.linalg.solve(toe, np.array(rho[:k]))
         assert math.isclose(got[k - 1], phi[-1], abs_tol=1e-12)
+
+
+def test_global_row_number_matches_window(rnd):
+    from pyspark.sql import Window
+    _, df = rnd
+    order = [F.col("x").desc_nulls_last(), F.col("k")]
+    got = od.global_row_number(df, order, by=["g"], n_parts=7).select("k", "rank").toPandas()
+    exp = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).select("k", "rank").toPandas()
+    assert got.sort_values("k")["rank"].tolist() == exp.sort_values("k")["rank"].tolist()
