@@ -115,3 +115,14 @@ def grams(h: np.ndarray, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
         inside[last[(last >= words[:-1]) & (last < m)]] = False
     at = np.flatnonzero(inside)
     return mix(g[at]), at
+
+
+_PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 0x20 for b in range(256)], np.uint8)
+
+
+def plain_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for runs of letters and digits without regard to ASCII case.
+
+    All ASCII punctuation separates; bytes of other characters count as letters.
+    """
+    return word_hashes(_PLAIN[data], off, lower=True)
