@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontam, neardup, quality
+from almanac.llm import bpe, decontam, neardup, quality, secret_scan, url_filter
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,7 +36,8 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w
+                                    '[^ 	-
+]+') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
@@ -58,10 +59,75 @@ FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY
 """
 
 
+def _is_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def _kind_sql(no: int, kind: str, pattern: str) -> str:
+    """Spans of one kind: starts are the lengths of the matches and of what lies between them, summed up."""
+    return f"""
+  SELECT doc_id, {no} AS no, '{kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda k: struct_pack(
+      s := CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT),
+      n := CAST(length(m[k]) AS BIGINT), g := CAST(length(g[k]) AS BIGINT))), recursive := true)
+  FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS m, string_split_regex(text, {pattern}) AS p, regexp_extract_all(text, {pattern}, {2 if kind == "assign" else 0}) AS g
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"""
+
+
+OP4_SQL = f"""
+WITH found AS (
+  {_kind_sql(1, "assign", r"""'((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'""")}
+  UNION ALL {_kind_sql(2, "access", "'AKIA[A-Z0-9]{16,}'")}
+  UNION ALL {_kind_sql(3, "hex", "'[0-9a-f]{24,}'")}
+  UNION ALL {_kind_sql(4, "pem", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'")}
+  UNION ALL {_kind_sql(5, "forge", "'gh[pousr]_[A-Za-z0-9]{36,}'")}
+  UNION ALL {_kind_sql(6, "jwt", "'eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{5,}'")}),
+spans AS (SELECT doc_id, no, kind, s, kind || ':' || s || ':' || (s + n) AS t FROM found WHERE kind <> 'assign' OR g >= 6),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (no = 1) AS n1, count(*) FILTER (no = 2) AS n2, count(*) FILTER (no = 3) AS n3,
+         string_agg(t, ',' ORDER BY s, no) FILTER (no <= 3) AS base, string_agg(t, ',' ORDER BY s, no) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n1, 0) AS n_assign, coalesce(n2, 0) AS n_access, coalesce(n3, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]))
+    return out.select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+OP6_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, lower(coalesce(url, '')) AS low,
+         translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
+ruled AS (
+  SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule,
+         list_filter([{", ".join(repr(p.text) for p in url_filter.PATTERNS)}],
+                     lambda p: regexp_matches(low, replace(regexp_replace(p, '([.?&/:-])', '\\\1', 'g'), '*', '.*')))[1] AS pattern
+  FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN pattern END AS pattern,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
 
@@ -69,9 +135,13 @@ def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_url_filter": op6_url_filter,
     "op9_quality_scores": op9_quality_scores,
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
+    "op4_secret_scan": OP4_SQL,
+    "op6_url_filter": OP6_SQL,
 }
