@@ -73,7 +73,7 @@ def find(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, i
     return [(key, start, end) for start, _, end, key in sorted(found)]
 
 
-def _blob(text: Column) -> Column:
+def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
@@ -88,14 +88,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """
     spark = versions.sparkSession
     src = versions.select(F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    keyed = src.select("path", _blob(F.col("text")).alias("blob"))
+    keyed = src.select("path", blob_of(F.col("text")).alias("blob"))
     old = ledger if ledger is not None else spark.createDataFrame([], LEDGER)
     every = F.array(*[F.lit(r.key) for r in rules])
     known = old.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
     unseen = (keyed.groupBy("blob").agg(F.min("path").alias("first")).join(known, "blob", "left")
               .select("blob", "first", F.array_except(every, F.coalesce("known", F.array().cast("array<string>"))).alias("todo"))
               .where(F.size("todo") > 0))
-    at = src["path"].eqNullSafe(F.col("first")) & (_blob(src["text"]) == F.col("u_blob"))
+    at = src["path"].eqNullSafe(F.col("first")) & (blob_of(src["text"]) == F.col("u_blob"))
     todo = (src.join(unseen.withColumnRenamed("blob", "u_blob"), at)
             .select(F.col("u_blob").alias("blob"), "todo", F.col("text").cast("binary").alias("text")))
 
