@@ -12,12 +12,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontam, neardup, quality, secret_scan, url_filter
+from almanac.llm import ann, bpe, decontam, neardup, quality, secret_scan, url_filter
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), TOKENIZER)
     return out.select(
@@ -133,6 +137,7 @@ def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secret_scan": op4_secret_scan,
