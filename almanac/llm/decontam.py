@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.llm import bitmap
 from almanac.llm.text import grams, plain_words, slices
 from almanac.session import cut_lineage
 
@@ -61,29 +62,17 @@ def _item_grams(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, schema)
 
 
-def _bitmap(item_grams: DataFrame) -> np.ndarray:
-    """The bitmap over all runs of the items: at most 2 ** (BITS - 6) rows reach the driver."""
-    bucket = F.shiftrightunsigned("gram", 64 - BITS)
-    rows = (item_grams.select(F.shiftrightunsigned(bucket, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - BITS}) & 63 as int))").alias("bit"))
-            .groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def _hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(id, pos, gram) of every run of the documents that passes the bitmap."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
     schema = T.StructType([docs.schema["id"], T.StructField("pos", T.LongType()), T.StructField("gram", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for batch in batches:
             for a, b, data, off in slices(batch.column(1)):
                 h, words = plain_words(data, off)
                 g, at = grams(h, words, SEED)
-                bucket = g >> np.uint64(64 - BITS)
-                found = np.flatnonzero(bits[bucket >> np.uint64(6)] >> (bucket & np.uint64(63)) & np.uint64(1))
+                found = np.flatnonzero(bitmap.passes(sent.value, g, BITS))
                 row = np.searchsorted(words, at[found], "right") - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(at[found] - words[row]), pa.array(g[found].view(np.int64))], ["id", "pos", "gram"])
 
@@ -135,7 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     src = docs.select(F.col(id_col).alias("id"), F.lower(text_col).cast("binary").alias("text")).where("id IS NOT NULL")
     words = cut_lineage(_item_words(items.select(F.col(item_col).alias("item"), F.lower(item_text_col).cast("binary").alias("text"))), "items")
     item_grams = cut_lineage(_item_grams(words), "item_grams")
-    hits = cut_lineage(_hits(src, _bitmap(item_grams)), "hits")
+    hits = cut_lineage(_hits(src, bitmap.build(item_grams, "gram", BITS)), "hits")
 
     seen = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
     per_item = Window.partitionBy("item")

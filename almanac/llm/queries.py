@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import ann, bpe, decontam, neardup, quality, secret_scan, url_filter
+from almanac.llm import ann, bpe, decontam, html_extract, neardup, quality, secret_scan, substring, url_filter
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -132,10 +132,36 @@ FROM ruled
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.without_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, k, min(doc_id) OVER (PARTITION BY g) AS least
+  FROM (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM words WHERE len(w) >= 13))),
+gone AS (SELECT DISTINCT doc_id, k + j AS p FROM windows, range(0, 13) AS t(j) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+marked AS (SELECT e.doc_id, e.x, e.p, g.p IS NULL AS stays FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p),
+per_doc AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (NOT stays) AS r, string_agg(x, ' ' ORDER BY p) FILTER (stays) AS kept
+  FROM marked GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN per_doc d ON d.doc_id = w.doc_id
+"""
+
+
 def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -143,10 +169,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_scores": op9_quality_scores,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op4_secret_scan": OP4_SQL,
     "op6_url_filter": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
 }
