@@ -53,7 +53,7 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
-class _Bounded(dict):
+class Remembered(dict):
     """A dict that computes missing values.  When full it becomes the older
     generation, from which entries still in use come back."""
 
@@ -91,10 +91,10 @@ class PrefixBpe:
         self._pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
         self._words = regex.compile(f"[^{_WS}]+")
         self._build(model["merges"])
-        self._pair_ok = _Bounded(lambda pair: self._meet(pair >> 32, pair & 0xFFFFFFFF)[0] == NEVER, 4 * CACHE_WORDS)
-        self._piece = _Bounded(self._encode_piece)
-        self.word_ids = _Bounded(lambda w: self._encode_word(w)[0])
-        self.word_text = _Bounded(lambda w: self._encode_word(w)[1])
+        self._pair_ok = Remembered(lambda pair: self._meet(pair >> 32, pair & 0xFFFFFFFF)[0] == NEVER, 4 * CACHE_WORDS)
+        self._piece = Remembered(self._encode_piece)
+        self.word_ids = Remembered(lambda w: self._encode_word(w)[0])
+        self.word_text = Remembered(lambda w: self._encode_word(w)[1])
 
     def _build(self, merges: list) -> None:
         self.rank: dict[tuple[int, int], int] = {}
@@ -199,6 +199,10 @@ class PrefixBpe:
                 out += map(self.word_text.__getitem__, words)
         return b"".join(ids), " ".join(out)
 
+    def plain_ids(self, text: str) -> bytes:
+        """Ids of a text in which special strings are ordinary text."""
+        return b"".join(map(self.word_ids.__getitem__, self._split(text)))
+
     def decode(self, ids: bytes) -> str:
         """Token strings joined with one space; ids outside the vocabulary are left out."""
         return " ".join(s for i in np.frombuffer(ids, "<u4").tolist() if (s := self.strings.get(i)) is not None)

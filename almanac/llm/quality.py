@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.llm.text import SLICE_BYTES, grams, slices, word_hashes, word_spans
+from almanac.llm.text import grams, slices, word_hashes, word_spans
 from almanac.session import cut_lineage
 
 FOURIER = 384
@@ -108,7 +108,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, off in slices(batch.column(1), SLICE_BYTES):
+            for a, b, data, off in slices(batch.column(1)):
                 x = statistics(data, off)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["_id", "stats"])

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import ann, bpe, decontam, html_extract, neardup, quality, secret_scan, substring, url_filter
+from almanac.llm import ann, bpe, decontam, html_extract, lm, neardup, quality, secret_scan, substring, url_filter
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -132,6 +132,10 @@ FROM ruled
 """
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), TOKENIZER)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.without_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -169,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op7_lm_scores": op7_lm_scores,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_scores": op9_quality_scores,
     "op10_html_extraction": op10_html_extraction,
