@@ -11,10 +11,13 @@ standard deviations) is dropped; all others are decided exactly on the full sets
 No group is ever expanded into all its pairs:
 
 1. documents with equal sets are one class;
-2. in each band bucket every class is compared with the bucket's smallest
-   class, and the confirmed links are joined into components;
-3. only classes that are still in another component than their bucket's
-   smallest class are compared with the rest of the bucket.
+2. in each band bucket every class is compared with the bucket's *head*, the
+   class that meets most others over all its buckets (of a group of edited
+   copies, the original), and the confirmed links are joined into components;
+3. only classes that are still in another component than a bucket's head are
+   compared with all classes that the head met, in blocks: a task holds two
+   parts of the group, counts common shingles through an inverted index and
+   emits links between different components only, never the pairs.
 
 After step 3 any two classes of a bucket are in one component or were compared,
 so no link that a band proposed is lost.  With five samples in a band and forty
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +45,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
 GROUP_SHINGLES = 400_000  # shingles that one confirming task holds at a time
-SIGN_BYTES = 1 << 20
+BLOCK_SHINGLES = 100_000  # shingles of one side of a block
 
 _U = np.uint64
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
@@ -90,7 +94,7 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, off in slices(batch.column(1), SIGN_BYTES):
+        for a, b, data, off in slices(batch.column(1)):
             sets = shingle_sets(data, off, n)
             full = [s for s in sets if len(s)]
             keys, sketch = signatures(full) if full else (np.empty((0, BANDS), np.int64), np.empty((0, SKETCH_LONGS), np.int64))
@@ -106,11 +110,17 @@ def _sign(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
 
 
 def sketch_limit(num: int, den: int) -> int:
-    """Most bits in which the sketches of sets of similarity num/den or more differ."""
-    share = num / den
-    apart = SAMPLES * (1 - share) + 5 * math.sqrt(SAMPLES * share * (1 - share))
-    bits = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * apart))
-    return math.ceil(bits + 3 * math.sqrt(bits))
+    """Bits in which the sketches of sets of similarity num/den or more differ,
+    at five standard deviations of both the samples and the folding."""
+    share, m = num / den, SKETCH_BITS
+
+    def expect(apart: float) -> float:
+        return m / 2 * (1 - (1 - 2 / m) ** (2 * apart))
+
+    apart = SAMPLES * (1 - share)
+    slope = expect(apart + 1) - expect(apart)
+    spread = slope**2 * SAMPLES * share * (1 - share) + 2 * (2 * apart) ** 2 / m
+    return math.ceil(expect(apart) + 5 * math.sqrt(spread))
 
 
 def _differ(a: str, b: str) -> Column:
@@ -152,6 +162,67 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return rows.groupBy("a", "part").applyInArrow(decide, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _blocks(group: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between classes of one group (head, id, comp, apart, n, sketch)
+    of which at least one is apart and whose components differ.
+
+    A group is dealt into parts of about ``BLOCK_SHINGLES`` shingles; a task gets
+    two parts.  Sketches rule out most pairs; the others are counted exactly.
+    """
+    parts = group.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    dealt = group.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = dealt.select("head", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "apart", "sketch").join(texts, "id")
+    kind = group.schema["id"].dataType
+    limit = sketch_limit(num, den)
+
+    def decide(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        order = pa.compute.sort_indices(table.column("id"))
+        table = table.take(order)
+        sets: list[np.ndarray] = []
+        for _, _, data, off in slices(table.column("text")):
+            sets += shingle_sets(data, off, n)
+        part = table.column("part").to_numpy()
+        comp = table.column("comp").to_pylist()
+        name = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        comp = np.array([name[c] for c in comp], np.int64)
+        apart = table.column("apart").to_numpy(zero_copy_only=False)
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(sets), -1).view(np.uint64)
+        size = np.array([len(s) for s in sets])
+        tops = np.arange(len(name))
+
+        def find(c: int) -> int:
+            while tops[c] != c:
+                tops[c] = tops[tops[c]]
+                c = tops[c]
+            return c
+
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        order = np.argsort(every := np.concatenate([sets[k] for k in right]), kind="stable")
+        tokens, owner = every[order], np.repeat(np.arange(len(right)), size[right])[order]
+        out = []
+        for x in left:
+            differ = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1)
+            maybe = (differ <= limit) & (comp[right] != comp[x]) & (apart[right] | apart[x]) & (np.minimum(size[right], size[x]) * den >= np.maximum(size[right], size[x]) * num)
+            if i == j:
+                maybe &= right > x
+            if not maybe.any():
+                continue
+            lo, hi = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
+            reach = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(owner[reach], minlength=len(right))
+            for y in np.flatnonzero(maybe & (both * den >= num * (size[right] + size[x] - both))):
+                cx, cy = find(comp[x]), find(comp[right[y]])
+                if cx != cy:
+                    tops[max(cx, cy)] = min(cx, cy)
+                    out.append((x, right[y]))
+        ids = table.column("id").combine_chunks() if isinstance(table.column("id"), pa.ChunkedArray) else table.column("id")
+        return pa.table({"a": ids.take(pa.array([x for x, _ in out], pa.int64())), "b": ids.take(pa.array([y for _, y in out], pa.int64()))})
+
+    return cells.groupBy("head", "i", "j").applyInArrow(decide, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id``, ``kept`` for every row.
@@ -175,33 +246,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     sketches = firsts.select("id", "n", "sketch")
 
     bands = firsts.select(F.explode("bands").alias("key"), "id")
-    shared = bands.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
-    members = cut_lineage(bands.join(shared, "key"), "members")
-    involved = members.select("id").distinct()
-    texts = cut_lineage(src.join(involved, "id", "left_semi"), "texts")
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        sides = [sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-        return pairs.join(sides[0], "a").join(sides[1], "b").where(_near(num, den)).select("a", "b", "n_b")
-
-    stars = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut_lineage(_confirm(cut_lineage(screened(stars), "stars"), texts, shingle_words, num, den), "links")
-    labels = components(links)
-
-    comp = labels.select(F.col("node").alias("id"), "comp")
-    head_comp = labels.select(F.col("node").alias("head"), F.col("comp").alias("head_comp"))
-    placed = (members.join(comp, "id", "left").join(head_comp, "head", "left")
-              .select("key", "id", "head", F.coalesce("comp", "id").alias("comp"), F.coalesce("head_comp", "head").alias("head_comp")))
-    placed = cut_lineage(placed, "placed")
-    apart = placed.where("comp <> head_comp").select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-    others = (placed.where("id <> head").join(apart.select("key").distinct(), "key", "left_semi")
-              .select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") != F.col("head_comp")).alias("apart_b")))
-    side = [sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    rest = (apart.join(side[0], "a").join(others.join(side[1], "b"), "key")
-            .where((F.col("comp_a") != F.col("comp_b")) & (~F.col("apart_b") | (F.col("a") < F.col("b"))) & _near(num, den))
-            .select("a", "b", "n_b").distinct())
-    more = _confirm(cut_lineage(rest, "rest"), texts, shingle_words, num, den)
-    labels = components(links.union(more))
+    shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    met = cut_lineage(bands.join(shared, "key"), "met")
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    members = cut_lineage(met.select("key", "id").join(degree, "id"), "members")
+    heads = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("head"))
+    texts = cut_lineage(src.join(degree.select("id"), "id", "left_semi"), "texts")
+    sides = [sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs (a, b); alike pairs only reach the full sets."""
+        alike = pairs.join(sides[0], "a").join(sides[1], "b").where(_near(num, den)).select("a", "b", "n_b")
+        return cut_lineage(_confirm(cut_lineage(alike, "alike"), texts, shingle_words, num, den), "links")
+
+    def placed(labels: DataFrame) -> DataFrame:
+        """Members with their component, and whether it is another than their bucket's head's."""
+        of_head = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("key", "head", F.coalesce("comp", "head").alias("head_comp"))
+        return cut_lineage(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+                           .join(of_head, "key").withColumn("apart", F.col("comp") != F.col("head_comp")), "placed")
+
+    stars = members.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links = confirmed(stars)
+
+    now = placed(components(links))
+    open_heads = now.where("apart").select("head").distinct()
+    group = (now.join(open_heads, "head", "left_semi").groupBy("head", "id").agg(F.first("comp").alias("comp"), F.max("apart").alias("apart"))
+             .join(sketches, "id"))
+    labels = components(links.union(cut_lineage(_blocks(group, texts, shingle_words, num, den), "block_links")))
 
     placed_class = cut_lineage(classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
                                .select("print", F.coalesce("comp", "id").alias("component_id")), "placed_classes")
