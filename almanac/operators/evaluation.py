@@ -34,12 +34,18 @@ def _desc_counts(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> D
                          by=by, descending=True)
 
 
+def _share(part: str, total: str) -> Column:
+    """part / total; null if the class has no rows."""
+    return F.col(part) / F.nullif(F.col(total), F.lit(0.0))
+
+
 def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """E5: (threshold, fpr, tpr) for every distinct score (no point dropped)."""
+    """E5: (threshold, fpr, tpr) for every distinct score (no point dropped);
+    a rate is null where its class has no rows."""
     c = _desc_counts(df, y, score, by)
     return c.select(*by, F.col("value").alias("threshold"),
-                    (F.col("cum_neg") / F.col("tot_neg")).alias("fpr"),
-                    (F.col("cum_pos") / F.col("tot_pos")).alias("tpr"))
+                    _share("cum_neg", "tot_neg").alias("fpr"),
+                    _share("cum_pos", "tot_pos").alias("tpr"))
 
 
 def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -48,9 +54,9 @@ def pr_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataF
     n_at = F.col("cum_pos") + F.col("cum_neg")
     return c.select(*by, F.col("value").alias("threshold"),
                     (F.col("cum_pos") / n_at).alias("precision"),
-                    (F.col("cum_pos") / F.col("tot_pos")).alias("recall"),
+                    _share("cum_pos", "tot_pos").alias("recall"),
                     (n_at / (F.col("tot_pos") + F.col("tot_neg"))).alias("pct_tested"),
-                    (F.col("pos") / F.col("tot_pos") * F.col("cum_pos") / n_at).alias("_ap_term"))
+                    (_share("pos", "tot_pos") * F.col("cum_pos") / n_at).alias("_ap_term"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -254,13 +260,15 @@ def importance_regression(df: DataFrame, features: Sequence[str], target: str) -
 def importance_table(imp: DataFrame, score: str = "importance", top_n: int | None = None) -> DataFrame:
     """Scale to 100 (max), cumulative share in descending order, band
     (low <= 10 < medium <= 50 < high) and a top-n mask.  The table has one
-    row per feature, so its ordering window is over a bounded set."""
+    row per feature, so its ordering window is over a bounded set.  If no feature
+    has any importance, all scale to 0 and the cumulative share is null."""
+    kind = dict(imp.dtypes)[score]
     mx = imp.select(F.max(score)).scalar()
     tot = imp.select(F.sum(score)).scalar()
     w = Window.orderBy(F.col(score).desc(), F.col("variable")).rowsBetween(Window.unboundedPreceding, 0)
     out = imp.withColumns({
-        "importance_scaled": 100 * F.col(score) / mx,
-        "importance_cum": F.sum(score).over(w) / tot,
+        "importance_scaled": F.coalesce(100 * F.col(score) / F.nullif(mx, F.lit(0).cast(kind)), F.lit(0.0)),
+        "importance_cum": F.sum(score).over(w) / F.nullif(tot, F.lit(0).cast(kind)),
         "rank": F.row_number().over(Window.orderBy(F.col(score).desc(), F.col("variable"))),
     })
     out = out.withColumn("band", cut(F.col("importance_scaled"), [-1e-9, 10, 50, 100.0 + 1e-9],

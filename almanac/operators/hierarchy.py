@@ -99,7 +99,7 @@ def level_sales_weight(panel: DataFrame, where: Column | None = None) -> DataFra
     total = src.select(F.sum("sales")).scalar()
     nlev = len(LEVELS)
     return (level_aggregate(src, [F.coalesce(F.sum("sales"), F.lit(0.0)).alias("sales")])
-            .withColumn("sales", F.col("sales") / (F.lit(float(nlev)) * total)))
+            .withColumn("sales", F.col("sales") / F.nullif(F.lit(float(nlev)) * total, F.lit(0.0))))
 
 
 def level_rmse(df: DataFrame, y: str, yhat: str, out: str = "rmse",

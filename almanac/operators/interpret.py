@@ -66,7 +66,8 @@ def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR",
     wide = (contrib.groupBy(row_id, "variable").pivot("target", targets).agg(F.first("shap_value"))
             .withColumnsRenamed({t: f"_sv_{t}" for t in targets}))
     d = d.join(wide, [row_id, "variable"], "left")
-    nom = {t: F.exp(F.sum(f"_sv_{t}").over(run)) for t in targets}
+    top = F.greatest(*[F.coalesce(F.sum(f"_sv_{t}").over(run), F.lit(float("-inf"))) for t in targets]) if len(targets) > 1 else F.sum(f"_sv_{targets[0]}").over(run)
+    nom = {t: F.exp(F.sum(f"_sv_{t}").over(run) - top) for t in targets}  # shifted, so no score overflows
     den = None
     for t in targets:
         den = nom[t] if den is None else den + nom[t]
@@ -93,19 +94,16 @@ def permute_column(df: DataFrame, col: str, key: str, seed: int = 42) -> DataFra
     """One shared permutation: the value of ``col`` moves from the row at
     position i in hash order to the row at position i in key order.
 
-    Positions come from distributed running counts (no single-task window);
-    the two position tables are joined on the position.
+    Positions are distributed row numbers over (key, value) and over (hash, key,
+    value), so repeated keys and equal hashes get positions of their own and
+    every row receives exactly one value; the two tables meet on the position.
     """
     from almanac.operators import ordered as od
     from almanac.operators.sampling import hash_order
-    k = df.select(key, col).withColumn("_h", hash_order([key], seed))
-    pos_key = od.cumulative(k, key, {"_n": F.count(F.lit(1))}).select(
-        F.col("value").alias("_kv"), (F.col("cum__n") - 1).alias("_pos"))
-    pos_h = od.cumulative(k, "_h", {"_n": F.count(F.lit(1))}).select(
-        F.col("value").alias("_hv"), (F.col("cum__n") - 1).alias("_pos"))
-    src = k.join(pos_h, k["_h"].cast("double") == pos_h["_hv"]).select("_pos", F.col(col).alias("_perm"))
-    dst = df.join(pos_key, df[key].cast("double") == pos_key["_kv"]).drop("_kv")
-    return dst.join(src, "_pos").drop("_pos", col).withColumnRenamed("_perm", col)
+    dst = od.global_row_number(df, [F.col(key), F.col(col)], out="_pos")
+    moved = df.select(key, col).withColumn("_h", hash_order([key], seed))
+    src = od.global_row_number(moved, [F.col("_h"), F.col(key), F.col(col)], out="_pos").select("_pos", F.col(col).alias("_perm"))
+    return dst.join(src, "_pos").drop("_pos", col).withColumnRenamed("_perm", col).select(df.columns)
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], key: str,

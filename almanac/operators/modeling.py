@@ -56,11 +56,13 @@ SCORERS = {
 }
 
 
-def best_row(results: DataFrame, scorer: Scorer, value: str = "mean_test") -> DataFrame:
-    """Best parameter row by the scorer's direction (the reference's raw
-    idxmax would pick the worst error)."""
-    order = F.col(value).desc() if scorer.greater_is_better else F.col(value).asc()
-    return results.where(F.col("scorer") == scorer.name).orderBy(order).limit(1)
+def best_row(summary: DataFrame, scorer: Scorer) -> DataFrame:
+    """Best parameter row of ``cv_summary`` by the scorer's direction (the
+    reference's raw idxmax would pick the worst error); ties to the first
+    parameters and the fewest trees."""
+    value = F.col(f"mean_test_{scorer.name}")
+    order = value.desc_nulls_last() if scorer.greater_is_better else value.asc_nulls_last()
+    return summary.orderBy(order, "params", "n_trees").limit(1)
 
 
 # ---------------------------------------------------------------------------
@@ -75,7 +77,7 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features", fill
 def normalised_weight(df: DataFrame, col: str, out: str = "w") -> DataFrame:
     """Weight / min(weight) (null weights -> 1)."""
     lo = df.select(F.min(col)).scalar()
-    return df.withColumn(out, F.coalesce(F.col(col) / lo, F.lit(1.0)))
+    return df.withColumn(out, F.coalesce(F.col(col) / F.nullif(lo, F.lit(0.0)), F.lit(1.0)))
 
 
 # ---------------------------------------------------------------------------
@@ -197,11 +199,11 @@ CV_SCHEMA = "params string, split int, n_trees int, fold_type string, scorer str
 def cv_summary(cv: DataFrame) -> DataFrame:
     """A22 + E19: mean and std of every scorer per (params, n_trees) and fold
     type, pivoted to ``mean_test_<scorer>`` style columns (explicit values)."""
-    keys = [r[0] for r in cv.select(F.concat_ws("_", "fold_type", "scorer")).distinct().orderBy(1).collect()]
+    keys = [r[0] for r in cv.select(F.concat_ws("_", "fold_type", "scorer")).distinct().orderBy(1).collect()]  # fold types x scorers
     g = cv.withColumn("_k", F.concat_ws("_", "fold_type", "scorer"))
     wide = g.groupBy("params", "n_trees").pivot("_k", keys).agg(F.avg("value").alias("mean"),
                                                                F.stddev_samp("value").alias("std"))
-    return wide
+    return wide.withColumnsRenamed({f"{k}_{s}": f"{s}_{k}" for k in keys for s in ("mean", "std")})
 
 
 def generalisation_gap(cv: DataFrame) -> DataFrame:

@@ -30,22 +30,12 @@ from pyspark.sql import functions as F
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(n, 4096))
-
-
-LINEAR_MAX = 64
+    return max(2, n)
 
 
 def count_less(bounds: Column, k: Column, n_max: int) -> Column:
-    """Number of elements of the ascending array ``bounds`` strictly below ``k``.
-
-    Up to ``LINEAR_MAX`` elements: a sum of comparisons (one generated-code
-    expression); above that a binary search in an ``aggregate`` loop of
-    log2(n) steps.
-    """
-    if n_max <= LINEAR_MAX:
-        return sum((F.coalesce(F.get(bounds, i) < k, F.lit(False)).cast("int") for i in range(n_max)),
-                   F.lit(0))
+    """Number of elements of the ascending array ``bounds`` strictly below ``k``:
+    a binary search in an ``aggregate`` loop of log2(n) steps."""
     steps = max(1, math.ceil(math.log2(n_max + 1)) + 1)
     init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
 

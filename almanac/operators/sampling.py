@@ -133,7 +133,7 @@ def _poisson_inverse_cdf(lam, h):
             k[todo] += 1
             p[todo] = p[todo] * lc[todo] / k[todo]
             cdf[todo] += p[todo]
-            todo = todo & (cdf < u) & (k < 200)
+            todo = todo & (cdf < u) & (p > 0)  # beyond the last term that a double holds the sum no longer grows
         out += np.where(act, k, 0)
     return out
 

@@ -315,10 +315,10 @@ def argmax_class(probs: DataFrame, row: str, cls: str = "class", p: str = "p") -
 # ---------------------------------------------------------------------------
 def histogram(df: DataFrame, col: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the global [min, max] (maximum clamped into
-    the last bin), counts per bin and group."""
+    the last bin), counts per bin and group.  A constant column is all in bin 1."""
     lo = df.select(F.min(col)).scalar()
     hi = df.select(F.max(col)).scalar()
-    b = F.least(F.floor((F.col(col) - lo) / (hi - lo) * F.lit(float(bins))) + 1, F.lit(bins))
+    b = F.least(F.coalesce(F.floor((F.col(col) - lo) / F.nullif(hi - lo, F.lit(0).cast(dict(df.dtypes)[col])) * F.lit(float(bins))) + 1, F.lit(1).cast("long")), F.lit(bins).cast("long"))
     width = (hi - lo) / bins
     return (df.where(F.col(col).isNotNull())
             .groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -78,28 +78,38 @@ def add_trailing(df: DataFrame, specs: Sequence[tuple[str, str, int, str]],
     gap-free ordered partition: ``specs`` = [(out, col, n, agg)], agg in
     mean/max/min, nulls ignored, null when the frame has no value.
 
-    * mean: prefix sums and counts over an unbounded frame (incremental, O(1)
-      per row) minus their values ``n`` rows back (an offset ``lag``);
-    * max/min: a doubling table - level k holds the extreme of the last 2**k
-      rows, built from level k-1 and its lag by 2**(k-1) - and the answer
-      combines two overlapping power-of-two blocks.
+    All use a doubling table: level k holds the sum, count or extreme of the
+    last 2**k rows, built from level k-1 and its lag by 2**(k-1).
+
+    * mean: the frame is cut into blocks of powers of two that follow each
+      other; only values of the frame are added, nothing is taken off, so no
+      digits cancel and a NaN reaches only the frames that hold it;
+    * max/min: two overlapping blocks.
 
     Every step is a window over the same partition and order, so the chain
     adds Window operators but no shuffle and no re-sort.
     """
     w = Window.partitionBy(*partition).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     out: dict[str, Column] = {}
     tmp: list[str] = []
     means = [s for s in specs if s[3] == "mean"]
     for c in sorted({s[1] for s in means}):
-        df = df.withColumns({f"_S_{c}": F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(run),
-                             f"_C_{c}": F.count(c).over(run)})
-        tmp += [f"_S_{c}", f"_C_{c}"]
+        df = df.withColumns({f"_S0_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)), f"_C0_{c}": F.col(c).isNotNull().cast("int")})
+        tmp += [f"_S0_{c}", f"_C0_{c}"]
+        for lvl in range(1, max(s[2] for s in means if s[1] == c).bit_length()):
+            df = df.withColumns({f"_{x}{lvl}_{c}": F.col(f"_{x}{lvl - 1}_{c}") + F.coalesce(F.lag(f"_{x}{lvl - 1}_{c}", 2 ** (lvl - 1)).over(w), F.lit(0))
+                                 for x in "SC"})
+            tmp += [f"_S{lvl}_{c}", f"_C{lvl}_{c}"]
     for name, c, n, _ in means:
-        s = F.col(f"_S_{c}") - F.coalesce(F.lag(f"_S_{c}", n).over(w), F.lit(0.0))
-        k = F.col(f"_C_{c}") - F.coalesce(F.lag(f"_C_{c}", n).over(w), F.lit(0))
-        out[name] = s / F.nullif(k, F.lit(0))
+        total = {"S": F.lit(0.0), "C": F.lit(0)}
+        back = 0
+        for lvl in reversed(range(n.bit_length())):
+            if n >> lvl & 1:
+                for x in "SC":
+                    block = F.col(f"_{x}{lvl}_{c}")
+                    total[x] = total[x] + (F.coalesce(F.lag(block, back).over(w), F.lit(0)) if back else block)
+                back += 2 ** lvl
+        out[name] = total["S"] / F.nullif(total["C"], F.lit(0))
     for agg, comb in (("max", F.greatest), ("min", F.least)):
         sel = [s for s in specs if s[3] == agg]
         for c in sorted({s[1] for s in sel}):

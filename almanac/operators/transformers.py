@@ -186,8 +186,6 @@ class MapUnseenLevelsModel(_Mod):
 # ---------------------------------------------------------------------------
 # Target encoding by rank
 # ---------------------------------------------------------------------------
-WINDOW_MAX_LEVELS = 1_000_000
-
 
 class TargetRankEncoder(_Est):
     """Level -> rank of its mean target on the flagged rows (descending;
@@ -215,20 +213,14 @@ class TargetRankEncoder(_Est):
         levels = lf.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
             F.avg(F.when(F.col(self.flag_col) == 1, F.col("_tmp"))).alias("target_mean"))
         # the fitted state: one aggregate job, written once to the shared
-        # checkpoint folder and read by the size check, ranking and transform
+        # checkpoint folder and read by the ranking and the transform
         levels = cut_lineage(levels, "target_levels")
-        # rank of every level by (mean desc, level).  Size check first: up to
-        # WINDOW_MAX_LEVELS levels per feature one task sorts them; beyond it
-        # a distributed global row number takes over.
-        med = levels.groupBy("variable").agg(F.count(F.lit(1)).alias("_nlev"),
-                                             ((F.count(F.lit(1)) + 1) / 2.0).alias("median_rank"))
-        n_max = med.agg(F.max("_nlev")).first()[0] or 0
+        # rank of every level by (mean desc, level), numbered across tasks: a
+        # feature may have any number of levels
+        med = levels.groupBy("variable").agg(((F.count(F.lit(1)) + 1) / 2.0).alias("median_rank"))
         order = [F.col("target_mean").desc_nulls_last(), F.col("value")]
-        if n_max <= WINDOW_MAX_LEVELS:
-            ranked = levels.withColumn("rank", F.row_number().over(Window.partitionBy("variable").orderBy(*order)))
-        else:
-            ranked = od.global_row_number(levels, order, by=["variable"], out="rank")
-        ranks = ranked.join(med.drop("_nlev"), "variable")
+        ranked = od.global_row_number(levels, order, by=["variable"], out="rank")
+        ranks = ranked.join(med, "variable")
         return TargetRankEncoderModel(ranks, self.features, self.flag_col, self.remove_burned, self.suffix)
 
 

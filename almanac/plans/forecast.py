@@ -16,7 +16,7 @@ from almanac.operators import timeseries as ts
 from almanac.plans import panel as pl
 from almanac.sources import fixtures as fx
 
-HORIZON = 28
+HORIZON = fx.HORIZON
 
 
 def floor_prediction(yhat: Column, no_price: Column, floor: float = 0.0001) -> Column:
@@ -67,18 +67,19 @@ def from_submission(sub: DataFrame, first_day: str, horizon: int = HORIZON,
     return long.select(F.regexp_replace("id", "_[^_]*$", "").alias("id_copy"), day.alias("date"), "yhat")
 
 
-def holdout_frame(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def holdout_frame(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None) -> DataFrame:
     """Weighted panel with a naive t-28 forecast, restricted to the inner test fold."""
     wp = pl.weighted_panel_table(spark, sf_dir, spec)
     return naive_forecast(wp).where(F.col("myfold") == "test")
 
 
-def holdout_eval(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def holdout_eval(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None) -> DataFrame:
     """Submission round trip and scoring on the inner test fold.
 
     Submission of a naive forecast -> melt -> drop zero forecasts -> join truth
     and ids -> RMSE, means, ratio and WRMSSE over the 12 levels.
     """
+    spec = spec or fx.panel_spec(spark, sf_dir)
     wp = pl.weighted_panel_table(spark, sf_dir, spec)
     pred = naive_forecast(wp)
     sub = to_submission(pred.where(F.col("myfold") == "test"), spec.inner_test_start)
@@ -91,6 +92,6 @@ def holdout_eval(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAU
         hy.rmse("yhat", "demand").alias("rmse"),
         F.avg("yhat").alias("yhat_mean"),
         F.avg("demand").alias("demand_mean"),
-        (F.avg("demand") / F.avg("yhat")).alias("ratio"),
+        (F.avg("demand") / F.nullif(F.avg("yhat"), F.lit(0.0))).alias("ratio"),
         F.count(F.lit(1)).alias("n_rows"),
     ).withColumn("wrmsse", total)

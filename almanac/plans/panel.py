@@ -25,38 +25,40 @@ from almanac.sources import fixtures as fx
 CAL_DROP = ["weekday", "month", "year", "event_name_1", "event_type_1", "event_name_2", "event_type_2"]
 
 
-def calendar_table(spark: SparkSession, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def calendar_table(spark: SparkSession, spec: fx.PanelSpec) -> DataFrame:
     return enrich_calendar(fx.raw_calendar(fx.calendar_dates(spark, spec), spec))
 
 
-def price_table(daily: DataFrame, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def price_table(daily: DataFrame, spec: fx.PanelSpec) -> DataFrame:
     """8-row rolling mean price (min_periods=1) and the ratio to it."""
     p = fx.weekly_prices(daily, spec).where(F.col("sell_price").isNotNull())
     w = Window.partitionBy("store_id", "item_id").orderBy("wm_yr_wk").rowsBetween(-7, 0)
-    return p.withColumn("price_ratio_to_8week_rolling", F.col("sell_price") / F.avg("sell_price").over(w))
+    return p.withColumn("price_ratio_to_8week_rolling", F.col("sell_price") / F.nullif(F.avg("sell_price").over(w), F.lit(0.0)))
 
 
-def price_maps(prices: DataFrame) -> DataFrame:
-    """Per series: week -> (sell_price, ratio).  At most one entry per week
-    of the window, so the map is bounded by the calendar span."""
-    entry = F.struct("wm_yr_wk", F.struct("sell_price", "price_ratio_to_8week_rolling"))
+def prices_by_week(prices: DataFrame) -> DataFrame:
+    """Per series: the first priced week, and one (sell_price, ratio) for each
+    week from there on.  Prices are carried forward, so the weeks are gap-free;
+    an array is bounded by the calendar span."""
+    entry = F.struct("wm_yr_wk", F.struct("sell_price", "price_ratio_to_8week_rolling").alias("p"))
     return (prices.withColumn("id", fx.series_id(F.col("item_id"), F.col("store_id")))
-            .groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("_m")))
+            .groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_w"))
+            .select("id", F.col("_w")[0]["wm_yr_wk"].alias("first_week"), F.col("_w.p").alias("by_week")))
 
 
-def base_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC,
+def base_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None,
                materialize: bool = True) -> DataFrame:
     """Dense panel + calendar + prices + flags.
 
-    One scan of the fact table (``daily_sales_table``); prices are looked up
-    per day from a per-series week map, so the dense panel is never shuffled
-    for the price join and leaves this step partitioned by ``id``.  The
-    calendar (one row per day) is broadcast.
+    One pass over the fact table (``daily_sales_table``) beside its bounds; a
+    day takes its price by position from the series' weeks, so the dense panel
+    is never shuffled for the price join and leaves this step partitioned by
+    ``id``.  The calendar (one row per day) is broadcast.
     """
-    daily = fx.daily_sales_table(spark, sf_dir, spec, materialize)
+    spec = spec or fx.panel_spec(spark, sf_dir)
+    daily = fx.daily_sales_table(spark, sf_dir, materialize)
     prices = price_table(daily, spec)
-    week = fx.week_start
-    panel = fx.sales_panel(spark, sf_dir, spec, daily, extra_maps={"_price": (price_maps(prices), week)})
+    panel = fx.sales_panel(spark, sf_dir, spec, daily, weekly={"_price": prices_by_week(prices)})
     panel = panel.withColumns({"sell_price": F.col("_price.sell_price"),
                                "price_ratio_to_8week_rolling": F.col("_price.price_ratio_to_8week_rolling")}) \
         .drop("_price")
@@ -91,7 +93,7 @@ def weighted_panel(df: DataFrame) -> DataFrame:
     return df.withColumn("weight_all", F.col("weight_sales") * F.col("weight_rmse"))
 
 
-def weighted_panel_table(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def weighted_panel_table(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None) -> DataFrame:
     """The weighted panel written once to the shared checkpoint folder, for
     plans that read it from several branches (help table, holdout, truth):
     the windows run once instead of once per branch, and a lost executor
@@ -136,7 +138,7 @@ def date_parts(df: DataFrame, date_col: str = "date") -> DataFrame:
     })
 
 
-def final_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC,
+def final_panel(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None,
                 keep_rule: bool = True) -> DataFrame:
     df = weighted_panel(base_panel(spark, sf_dir, spec))
     df = date_parts(series_stats(null_rules(df)))
@@ -168,7 +170,7 @@ def sameweekday_features(df: DataFrame) -> DataFrame:
     return out.select("id", "date", *feats)
 
 
-def feature_input(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec = fx.DEFAULT_SPEC) -> DataFrame:
+def feature_input(spark: SparkSession, sf_dir: str, spec: fx.PanelSpec | None = None) -> DataFrame:
     """Dense panel after the null rules, with weekday and day number: the
     input of every time-series feature (the reference computes its features
     on this, before dropping rows)."""

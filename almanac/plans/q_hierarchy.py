@@ -11,12 +11,11 @@ from almanac.plans import sqlfrag as q
 from almanac.plans.registry import register, rounded, sql_r6
 from almanac.sources import fixtures as fx
 
-S = fx.DEFAULT_SPEC
 DIMS = ", ".join(hy.DIMS)
 
 
 def _wp(spark, sf_dir):
-    return pl.weighted_panel_table(spark, sf_dir, S)
+    return pl.weighted_panel_table(spark, sf_dir)
 
 
 def help_ctes() -> str:
@@ -136,7 +135,7 @@ pr AS (
   FROM fpn
 ),
 t AS (
-  SELECT id, date_diff('day', DATE '{S.test_start}', date) + 1 AS k,
+  SELECT id, date_diff('day', {q.TEST_START}, date) + 1 AS k,
          CASE WHEN sell_price_isna = 1 OR yraw < 0 THEN 0.0001 ELSE yraw END AS yhat
   FROM pr WHERE fold = 'test'
 ),
@@ -153,11 +152,11 @@ SELECT tmpl.id, {', '.join(f'COALESCE(F{i}, 0) AS F{i}' for i in range(1, 29))}
 FROM tmpl LEFT JOIN both_ids USING (id)
 """)
 def submission_pivot(spark, sf_dir):
-    b = pl.null_rules(pl.base_panel(spark, sf_dir, S))
+    b = pl.null_rules(pl.base_panel(spark, sf_dir))
     pred = fc.naive_forecast(b).where(F.col("fold") == "test")
     pred = pred.withColumn("yhat", fc.floor_prediction(F.col("yhat"), F.col("sell_price_isna")))
     series = b.select("id").distinct()
-    return fc.to_submission(pred, S.test_start, template=fc.id_template(series))
+    return fc.to_submission(pred, fx.panel_spec(spark, sf_dir).test_start, template=fc.id_template(series))
 
 
 # --- holdout_eval: E22, S3, S4 ----------------------------------------------
@@ -180,4 +179,4 @@ SELECT {sql_r6('sqrt(avg(pow(yhat - demand, 2)))')} AS rmse, {sql_r6('avg(yhat)'
 FROM ho2
 """)
 def holdout_eval(spark, sf_dir):
-    return rounded(fc.holdout_eval(spark, sf_dir, S))
+    return rounded(fc.holdout_eval(spark, sf_dir))

@@ -17,7 +17,6 @@ from almanac.session import ensure_checkpoint_dir
 from almanac.sources import fixtures as fx
 from almanac.sources.tables import read_csv, read_table, write_csv, write_stage
 
-S = fx.DEFAULT_SPEC
 
 
 def _union(parts):
@@ -79,12 +78,12 @@ def stage_roundtrip(spark, sf_dir):
 
 # --- daily mean series (known days) -------------------------------------------
 def daily_mean(spark, sf_dir):
-    p = fx.sales_panel(spark, sf_dir, S).where(F.col("date") < F.to_date(F.lit(S.test_start)))
+    p = fx.sales_panel(spark, sf_dir).where(F.col("fold") == "train")
     return p.groupBy("date").agg(F.avg("demand").alias("x"))
 
 
 DAILY_SQL = q.PANEL + f""",
-dm AS (SELECT date, avg(demand) AS x FROM panel WHERE date < DATE '{S.test_start}' GROUP BY date)"""
+dm AS (SELECT date, avg(demand) AS x FROM panel WHERE date < {q.TEST_START} GROUP BY date)"""
 
 MAX_LAG = 40
 
@@ -181,7 +180,7 @@ FROM m
 def smoothed_category_mean(spark, sf_dir):
     """Mean demand per (store, day) where a price exists, smoothed over 60 and
     90 calendar days with a minimum-count gate."""
-    b = pl.base_panel(spark, sf_dir, S).where(F.col("sell_price").isNotNull() & F.col("demand").isNotNull())
+    b = pl.base_panel(spark, sf_dir).where(F.col("sell_price").isNotNull() & F.col("demand").isNotNull())
     m = ts.with_day_number(b.groupBy("store_id", "date").agg(F.avg("demand").alias("mean")))
     out = m
     for days in (60, 90):
@@ -198,7 +197,7 @@ SELECT {sql_r6('avg(CASE WHEN demand = 0 THEN 1.0 ELSE 0.0 END)')} AS zero_share
 FROM bp WHERE demand IS NOT NULL
 """)
 def zero_share(spark, sf_dir):
-    b = pl.base_panel(spark, sf_dir, S).where(F.col("demand").isNotNull())
+    b = pl.base_panel(spark, sf_dir).where(F.col("demand").isNotNull())
     z = (F.col("demand") == 0).cast("double")
     return rounded(b.agg(F.avg(z).alias("zero_share"),
                          F.avg(F.when(F.col("sell_price").isNotNull(), z)).alias("zero_share_priced")))

@@ -24,7 +24,6 @@ from almanac.sources import fixtures as fx
 from almanac.session import cut_lineage
 from almanac.sources.tables import read_table
 
-S = fx.DEFAULT_SPEC
 
 DAY_FEATURES = ["dayofweek", "snap", "sell_price", "price_ratio_to_8week_rolling", "sell_price_isna",
                 "event", "holiday", "days_before_event", "days_after_event"]
@@ -39,7 +38,7 @@ def horizon_features(spark, sf_dir, hs: list[int]):
     shared checkpoint folder; each horizon's frame is a shifted copy of that
     table (lags inside the series partitioning, no join), so the panel and
     its windows run once however many horizons are modelled."""
-    b = pl.null_rules(pl.weighted_panel(pl.base_panel(spark, sf_dir, S)))
+    b = pl.null_rules(pl.weighted_panel(pl.base_panel(spark, sf_dir)))
     b = b.withColumn("dayofweek", F.weekday("date"))
     f = ts.add_lags(b, ["demand"], [0, 6])
     f = ts.add_rolling_weeks(f, {"demand": {1: ("mean",), 4: ("mean",), 12: ("mean",)}})
@@ -103,7 +102,7 @@ def forecast_direct(spark, sf_dir):
     """One model per horizon h, each scoring only day test_start + h - 1;
     features are computed once and shifted per horizon; results unioned."""
     frames = horizon_features(spark, sf_dir, DIRECT_H)
-    day0 = F.to_date(F.lit(S.test_start))
+    day0 = F.to_date(F.lit(fx.panel_spec(spark, sf_dir).test_start))
     parts = []
     for h in DIRECT_H:
         fr = frames[h]

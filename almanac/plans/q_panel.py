@@ -11,7 +11,6 @@ from almanac.plans.registry import ds, r6, register, sql_r6
 from almanac.sources import fixtures as fx
 from almanac.sources.tables import read_table
 
-S = fx.DEFAULT_SPEC
 
 
 # --- panel_dense: P1, P2, J1, P11-P13, A1 -----------------------------------
@@ -22,7 +21,7 @@ SELECT id, item_id, dept_id, cat_id, store_id, state_id, d, CAST(date AS VARCHAR
 FROM panel
 """, headline=True)
 def panel_dense(spark, sf_dir):
-    p = fx.sales_panel(spark, sf_dir, S)
+    p = fx.sales_panel(spark, sf_dir)
     return p.select("id", *fx.HIERARCHY, "d", ds("date").alias("date"), "demand", "fold", "myfold")
 
 
@@ -45,7 +44,7 @@ def calendar_fill_distance(spark, sf_dir):
     """Calendar over the whole ship-date span of ``lineitem`` (grows with it)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_shipdate"])
     dates = fx.calendar_from_span(F.min("l_shipdate").cast("date"), F.max("l_shipdate").cast("date"), li)
-    cal = enrich_calendar(fx.raw_calendar(dates, S))
+    cal = enrich_calendar(fx.raw_calendar(dates, fx.panel_spec(spark, sf_dir)))
     return cal.select(ds("date").alias("date"), ds("wm_yr_wk").alias("wm_yr_wk"), *CAL_COLS)
 
 
@@ -58,7 +57,7 @@ SELECT store_id, item_id, CAST(wm_yr_wk AS VARCHAR) AS wm_yr_wk,
 FROM prices
 """)
 def price_ratio_8wk(spark, sf_dir):
-    p = pl.price_table(fx.daily_sales_table(spark, sf_dir, S), S)
+    p = pl.price_table(fx.daily_sales_table(spark, sf_dir), fx.panel_spec(spark, sf_dir))
     return p.select("store_id", "item_id", ds("wm_yr_wk").alias("wm_yr_wk"),
                     r6("sell_price").alias("sell_price"),
                     r6("price_ratio_to_8week_rolling").alias("price_ratio_to_8week_rolling"))
@@ -79,20 +78,21 @@ SELECT id, CAST(date AS VARCHAR) AS date, id_copy, snap, anydemand AS anydemand_
        isodow(date) - 1 AS dayofweek, CAST(isodow(date) - 1 IN (5, 6) AS INTEGER) AS weekend,
        day(date) AS dayofmonth, dayofyear(date) AS dayofyear, week(date) AS week,
        month(date) AS month, year(date) AS year,
-       CASE WHEN date < DATE '{S.util_before}' THEN 'util' ELSE myfold END AS myfold,
-       CASE WHEN date < DATE '{S.util_before}' THEN 1 ELSE 0 END AS encode_flag,
+       CASE WHEN date < {q.UTIL_BEFORE} THEN 'util' ELSE myfold END AS myfold,
+       CASE WHEN date < {q.UTIL_BEFORE} THEN 1 ELSE 0 END AS encode_flag,
        CASE WHEN fold = 'train' THEN 0 ELSE 1 END AS fold_num,
        substring(cat_id, 1, 1) AS cat_initial,
        CASE WHEN length(CAST(month(date) AS VARCHAR)) < 2 THEN lpad(CAST(month(date) AS VARCHAR), 2, '0')
             ELSE CAST(month(date) AS VARCHAR) END AS month_pad,
        CAST(date + 28 AS VARCHAR) AS date_plus_28,
-       date_diff('day', DATE '{S.start}', date) AS days_since_start
+       date_diff('day', {q.START}, date) AS days_since_start
 FROM fl
 """)
 def panel_flags(spark, sf_dir):
     from almanac.functions import columns as fc
-    b = pl.base_panel(spark, sf_dir, S).withColumn("anydemand_raw", F.col("anydemand"))
-    b = fx.util_fold(pl.date_parts(pl.null_rules(b)), S)
+    spec = fx.panel_spec(spark, sf_dir)
+    b = pl.base_panel(spark, sf_dir, spec).withColumn("anydemand_raw", F.col("anydemand"))
+    b = fx.util_fold(pl.date_parts(pl.null_rules(b)), spec)
     return b.select(
         "id", ds("date").alias("date"), "id_copy", "snap", "anydemand_raw", "demand", "anydemand",
         "sell_price_isna", r6("sales").alias("sales"), "event", "holiday",
@@ -101,4 +101,4 @@ def panel_flags(spark, sf_dir):
         fc.prefix("cat_id", 1).alias("cat_initial"),
         fc.zfill(F.col("month").cast("string"), 2).alias("month_pad"),
         ds(F.date_add("date", 28)).alias("date_plus_28"),
-        F.datediff("date", F.to_date(F.lit(S.start))).alias("days_since_start"))
+        F.datediff("date", F.to_date(F.lit(spec.start))).alias("days_since_start"))

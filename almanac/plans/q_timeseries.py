@@ -12,7 +12,6 @@ from almanac.plans.registry import ds, r6, register, sql_r6
 from almanac.sources import fixtures as fx
 from almanac.sources.tables import read_table
 
-S = fx.DEFAULT_SPEC
 
 
 # --- first_sale_date: A1, J3 ------------------------------------------------
@@ -24,7 +23,7 @@ SELECT id, CAST(min(CASE WHEN anydemand = 1 THEN date END) AS VARCHAR) AS min_da
 FROM bp GROUP BY id
 """)
 def first_sale_date(spark, sf_dir):
-    b = pl.base_panel(spark, sf_dir, S)
+    b = pl.base_panel(spark, sf_dir)
     return b.groupBy("id").agg(
         ds(F.min(F.when(F.col("anydemand") == 1, F.col("date")))).alias("min_date"),
         r6(F.sum(F.when(F.col("myfold") == "test", F.col("sales")))).alias("weight_sales"),
@@ -41,7 +40,7 @@ SELECT id, {sql_r6('avg(demand)')} AS demand_mean, {sql_r6('stddev_samp(demand)'
 FROM fp GROUP BY id
 """)
 def series_stats(spark, sf_dir):
-    df = pl.feature_input(spark, sf_dir, S)
+    df = pl.feature_input(spark, sf_dir)
     return pl.rounded_stats(pl.series_stats_table(df, "demand", "id"))
 
 
@@ -56,7 +55,7 @@ WITH {q.FEATURE_PANEL[1:]}
 SELECT id, CAST(date AS VARCHAR) AS date, {_LAG_SQL} FROM fp
 """)
 def lags_0_6(spark, sf_dir):
-    f = pl.feature_input(spark, sf_dir, S)
+    f = pl.feature_input(spark, sf_dir)
     out = ts.add_lags(f, ("demand", "snap"), range(7))
     return out.select("id", ds("date").alias("date"),
                       *[f"{c}_lag{k}" for c in ("demand", "snap") for k in range(7)])
@@ -80,7 +79,7 @@ SELECT id, CAST(date AS VARCHAR) AS date,
 FROM fp
 """, headline=True)
 def rolling_weeks(spark, sf_dir):
-    f = pl.feature_input(spark, sf_dir, S)
+    f = pl.feature_input(spark, sf_dir)
     out = ts.add_rolling_weeks(f)
     cols = [f"{c}_{a}{w}week" for c, a, w in _ROLL]
     return out.select("id", ds("date").alias("date"), *[r6(c).alias(c) for c in cols])
@@ -97,7 +96,7 @@ SELECT id, CAST(date AS VARCHAR) AS date,
 FROM fp
 """)
 def rolling_sameweekday(spark, sf_dir):
-    f = pl.feature_input(spark, sf_dir, S)
+    f = pl.feature_input(spark, sf_dir)
     out = ts.add_sameweekday(f)
     cols = [f"demand_{a}{w}week_sameweekday" for a, w in _SWD]
     return out.select("id", ds("date").alias("date"), *[r6(c).alias(c) for c in cols])
@@ -117,7 +116,7 @@ SELECT id, CAST(date AS VARCHAR) AS date, snap,
 FROM fp
 """)
 def rolling_samesnap(spark, sf_dir):
-    f = pl.feature_input(spark, sf_dir, S)
+    f = pl.feature_input(spark, sf_dir)
     out = ts.add_samesnap(f)
     cols = [f"demand_mean{w}week_sameweekday_samesnap{s}" for w in (2, 4, 12, 48) for s in (0, 1)]
     return out.select("id", ds("date").alias("date"), "snap", *[r6(c).alias(c) for c in cols])
@@ -166,7 +165,7 @@ def horizon_join(spark, sf_dir):
     series partitioning (no join, no extra shuffle).  Same-weekday features move
     by whole weeks; the same-snap mean is picked by the target day's flag.
     """
-    f = pl.feature_input(spark, sf_dir, S)
+    f = pl.feature_input(spark, sf_dir)
     f = ts.add_rolling_weeks(f, {"demand": {1: ("mean",), 4: ("mean",)}})
     f = ts.add_sameweekday(f, weeks=(4,), aggs=("max",))
     f = ts.add_samesnap(f, weeks=(4,))

@@ -6,11 +6,15 @@ and are only used by ``oracle_sql()``; the Spark side never runs them.
 
 from __future__ import annotations
 
-from almanac.sources.fixtures import (DEFAULT_SPEC, EASTER_DATES, EVENT2_OVERRIDES,
-                                      EVENTS_BY_MONTH_DAY, HOLIDAYS, ORTHODOX_EASTER_DATES,
-                                      SNAP_FLAG_BY_STATE)
+from almanac.sources.fixtures import (EASTER_DATES, EVENT2_OVERRIDES, EVENTS_BY_MONTH_DAY, HOLIDAYS, HORIZON,
+                                      ORTHODOX_EASTER_DATES, SNAP_FLAG_BY_STATE, UTIL_DAYS)
 
-S = DEFAULT_SPEC
+# the panel's span and cuts, from the ship dates
+START = "(SELECT CAST(min(l_shipdate) AS DATE) FROM lineitem)"
+END = f"(SELECT CAST(max(l_shipdate) AS DATE) + {HORIZON} FROM lineitem)"
+TEST_START = "(SELECT CAST(max(l_shipdate) AS DATE) + 1 FROM lineitem)"
+INNER_TEST_START = f"(SELECT CAST(max(l_shipdate) AS DATE) + {1 - HORIZON} FROM lineitem)"
+UTIL_BEFORE = f"(SELECT CAST(min(l_shipdate) AS DATE) + {UTIL_DAYS} FROM lineitem)"
 
 
 def _q(xs) -> str:
@@ -35,7 +39,7 @@ keyed AS (
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
   JOIN nation n ON s.s_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE l.l_shipdate >= TIMESTAMP '{S.start}' AND l.l_shipdate < TIMESTAMP '{S.end_exclusive}'
+  WHERE l.l_shipdate IS NOT NULL
 ),
 daily AS (
   SELECT item_id || '_' || store_id || '_evaluation' AS id, item_id, dept_id, cat_id, store_id, state_id,
@@ -44,17 +48,17 @@ daily AS (
 ),
 series AS (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM daily),
 days AS (
-  SELECT CAST(unnest(generate_series(DATE '{S.start}', DATE '{S.end}', INTERVAL 1 DAY)) AS DATE) AS date
+  SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT {START} AS a, {END} AS b)
 )"""
 
 PANEL = KEYED + f""",
 panel AS (
   SELECT s.id, s.item_id, s.dept_id, s.cat_id, s.store_id, s.state_id,
-         'd_' || CAST(date_diff('day', DATE '{S.start}', d.date) + 1 AS VARCHAR) AS d, d.date,
-         CASE WHEN d.date < DATE '{S.test_start}' THEN CAST(COALESCE(y.qty, 0) AS DOUBLE) END AS demand,
-         CASE WHEN d.date >= DATE '{S.test_start}' THEN 'test' ELSE 'train' END AS fold,
-         CASE WHEN d.date >= DATE '{S.test_start}' THEN NULL
-              WHEN d.date >= DATE '{S.inner_test_start}' THEN 'test' ELSE 'train' END AS myfold
+         'd_' || CAST(date_diff('day', {START}, d.date) + 1 AS VARCHAR) AS d, d.date,
+         CASE WHEN d.date < {TEST_START} THEN CAST(COALESCE(y.qty, 0) AS DOUBLE) END AS demand,
+         CASE WHEN d.date >= {TEST_START} THEN 'test' ELSE 'train' END AS fold,
+         CASE WHEN d.date >= {TEST_START} THEN NULL
+              WHEN d.date >= {INNER_TEST_START} THEN 'test' ELSE 'train' END AS myfold
   FROM series s CROSS JOIN days d
   LEFT JOIN daily y ON y.id = s.id AND y.date = d.date
 )"""
@@ -72,7 +76,7 @@ def raw_calendar_sql(days_cte: str = "days") -> str:
     return f"""
 rawcal AS (
   SELECT date,
-         'd_' || CAST(date_diff('day', DATE '{S.start}', date) + 1 AS VARCHAR) AS d,
+         'd_' || CAST(date_diff('day', {START}, date) + 1 AS VARCHAR) AS d,
          CAST(date_trunc('week', date) AS DATE) AS wm_yr_wk,
          isodow(date) - 1 AS weekday, month(date) AS month, year(date) AS year,
          {_event_case('name')} AS event_name_1,
@@ -137,8 +141,8 @@ wkp AS (
   FROM keyed GROUP BY ALL
 ),
 weeks AS (
-  SELECT CAST(unnest(generate_series(CAST(date_trunc('week', DATE '{S.start}') AS DATE),
-                                     CAST(date_trunc('week', DATE '{S.end}') AS DATE), INTERVAL 7 DAY)) AS DATE) AS wm_yr_wk
+  SELECT CAST(unnest(generate_series(CAST(date_trunc('week', a) AS DATE), CAST(date_trunc('week', b) AS DATE), INTERVAL 7 DAY)) AS DATE) AS wm_yr_wk
+  FROM (SELECT {START} AS a, {END} AS b)
 ),
 pgrid AS (
   SELECT g.store_id, g.item_id, w.wm_yr_wk,

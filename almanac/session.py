@@ -7,7 +7,7 @@ the shared folder used to cut lineage.
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +47,18 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """Return the shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a ``local`` session, whose driver is its one executor, gets a scratch
+    folder when the setting is missing; on a cluster that is an error, since a
+    folder of one machine would hold only that machine's part of a table.
+    """
     cdir = spark.conf.get("spark.checkpoint.dir", None)
     if not cdir:
-        cdir = os.environ.get("ALMANAC_CHECKPOINT_DIR") or "/tmp/almanac-checkpoints"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        cdir = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", cdir)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(cdir)

@@ -7,20 +7,22 @@ the shipped quantity.  All three are plain DataFrames; nothing is collected.
 
 Scale notes
 -----------
-* The shipdate window is a range predicate on the raw timestamp column, so it
-  reaches the parquet scan as a pushed filter.
+* The panel spans the whole shipdate range of the table, and a horizon of
+  unknown days behind it.  The bounds are one aggregate of one column.
 * ``nation``/``region`` are dimension tables with a fixed row count (25 / 5 by
   the schema's definition) and are broadcast explicitly.  ``part`` and
   ``supplier`` grow with the data; their join strategy is left to the planner
   (size-checked broadcast under ``autoBroadcastJoinThreshold``, else a
   shuffle join that AQE can still convert or split when skewed).
-* The dense grid is produced per series with ``explode(sequence(...))``: each
-  series yields exactly one row per calendar day, so no cross join is needed
-  and no group is larger than the calendar span.
+* The dense grid is produced per series: every sale day opens a run of days up
+  to the day before the next sale, and all runs are expanded in one linear
+  pass, so no cross join is needed and no group is larger than the calendar
+  span.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,8 +52,8 @@ EVENTS_BY_MONTH_DAY = {
     "11-11": ("VeteransDay", "National"),
     "12-25": ("Christmas", "National"),
 }
-ORTHODOX_EASTER_DATES = ["2000-04-30", "2001-04-15"]
-EASTER_DATES = ["2000-04-23", "2001-04-15"]
+ORTHODOX_EASTER_DATES = ["1995-04-23", "1996-04-14", "1997-04-27", "1998-04-19", "1999-04-11", "2000-04-30", "2001-04-15"]
+EASTER_DATES = ["1995-04-16", "1996-04-07", "1997-03-30", "1998-04-12", "1999-04-04", "2000-04-23", "2001-04-15"]
 # region name -> which snap flag applies to its stores
 SNAP_FLAG_BY_STATE = {"AFRICA": "snap_a", "AMERICA": "snap_a", "ASIA": "snap_b",
                       "EUROPE": "snap_b", "MIDDLE EAST": "snap_c"}
@@ -59,27 +61,35 @@ SNAP_FLAG_BY_STATE = {"AFRICA": "snap_a", "AMERICA": "snap_a", "ASIA": "snap_b",
 HIERARCHY = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
 
 
+HORIZON = 28      # unknown days behind the last known one, and days of the inner test
+UTIL_DAYS = 182   # first days, burned for encoding (P12)
+
+
 @dataclass(frozen=True)
 class PanelSpec:
-    """Date window and fold cuts of the panel."""
+    """Date span and fold cuts of the panel (ISO dates; null without rows)."""
+
+    start: str | None             # first ship date
+    end: str | None               # last ship date + HORIZON
+    test_start: str | None        # outer test: the appended days, demand unknown
+    inner_test_start: str | None  # myfold = test: the last HORIZON known days
+    util_before: str | None       # rows burned for encoding (P12)
 
-    start: str = "2000-01-01"
-    end: str = "2001-06-30"
-    test_start: str = "2001-06-03"        # outer test: demand unknown (28 days)
-    inner_test_start: str = "2001-05-06"  # myfold = test from here
-    util_before: str = "2000-07-01"       # rows burned for encoding (P12)
 
-    @property
-    def end_exclusive(self) -> str:
-        import datetime as _dt
-        d = _dt.date.fromisoformat(self.end) + _dt.timedelta(days=1)
-        return d.isoformat()
+def panel_spec(spark: SparkSession, sf_dir: str) -> PanelSpec:
+    """The span of ``lineitem``'s ship dates with the horizon appended."""
+    row = (read_table(spark, sf_dir, "lineitem", ["l_shipdate"])
+           .agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi")).first())
+    if row["lo"] is None:
+        return PanelSpec(None, None, None, None, None)
 
+    def day(base, days):
+        return (base + _dt.timedelta(days=days)).isoformat()
 
-DEFAULT_SPEC = PanelSpec()
+    return PanelSpec(day(row["lo"], 0), day(row["hi"], HORIZON), day(row["hi"], 1), day(row["hi"], 1 - HORIZON), day(row["lo"], UTIL_DAYS))
 
 
-def _d(s: str) -> Column:
+def _d(s: str | None) -> Column:
     return F.to_date(F.lit(s))
 
 
@@ -90,16 +100,15 @@ def week_start(d: Column | str) -> Column:
     return F.date_sub(d, F.weekday(d))
 
 
-def keyed_lineitem(spark: SparkSession, sf_dir: str, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """Line items of the window with their series dimensions.
+def keyed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items that have a ship date, with their series dimensions.
 
     Columns: date, id, item_id, dept_id, cat_id, store_id, state_id,
     qty (DECIMAL(18,2)), price_sum (DECIMAL(18,2)).
     """
     li = (read_table(spark, sf_dir, "lineitem",
                      ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"])
-          .where((F.col("l_shipdate") >= F.lit(spec.start).cast("timestamp_ntz"))
-                 & (F.col("l_shipdate") < F.lit(spec.end_exclusive).cast("timestamp_ntz"))))
+          .where(F.col("l_shipdate").isNotNull()))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type", "p_size"])
     supp = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     geo = (read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
@@ -133,14 +142,13 @@ def daily_sales(keyed: DataFrame) -> DataFrame:
                  F.sum("qty").alias("qty"), F.sum("price_sum").alias("price_sum")))
 
 
-def daily_sales_table(spark: SparkSession, sf_dir: str, spec: "PanelSpec" = None,
-                      materialize: bool = True) -> DataFrame:
+def daily_sales_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """The one pass over ``lineitem``: daily aggregates, written once to the
     shared checkpoint folder so that the panel, the prices and every other
     consumer read this (series x sale-day) table instead of re-scanning and
     re-joining the fact table."""
     from almanac.session import cut_lineage
-    daily = daily_sales(keyed_lineitem(spark, sf_dir, spec or DEFAULT_SPEC))
+    daily = daily_sales(keyed_lineitem(spark, sf_dir))
     return cut_lineage(daily, "daily_sales") if materialize else daily
 
 
@@ -154,12 +162,12 @@ def calendar_from_span(start: Column, end: Column, df: DataFrame) -> DataFrame:
     return bounds.select(F.explode(F.sequence("_s", "_e")).alias("date"))
 
 
-def calendar_dates(spark: SparkSession, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
-    """The panel's calendar: every day of the spec window."""
+def calendar_dates(spark: SparkSession, spec: PanelSpec) -> DataFrame:
+    """The panel's calendar: every day of the span."""
     return spark.range(1).select(F.explode(F.sequence(_d(spec.start), _d(spec.end))).alias("date"))
 
 
-def raw_calendar(dates: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def raw_calendar(dates: DataFrame, spec: PanelSpec) -> DataFrame:
     """Calendar sheet columns before enrichment (the reference's calendar.csv).
 
     Columns: date, d, wm_yr_wk (Monday of the week), weekday, month, year,
@@ -192,7 +200,7 @@ def raw_calendar(dates: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     )
 
 
-def weekly_prices(daily: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def weekly_prices(daily: DataFrame, spec: PanelSpec) -> DataFrame:
     """Average unit price per (store, item, week), dense over the weeks of the
     window and carried forward (W1); null before a series' first sale.
 
@@ -218,53 +226,62 @@ def weekly_prices(daily: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame
             .drop("_price"))
 
 
-def sales_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec = DEFAULT_SPEC,
-                daily: DataFrame | None = None, extra_maps: dict[str, tuple[DataFrame, Column]] | None = None
-                ) -> DataFrame:
-    """P1 + P2 + J3: the long panel, one row per (series, day) of the window.
+def sales_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | None = None,
+                daily: DataFrame | None = None, weekly: dict[str, DataFrame] | None = None) -> DataFrame:
+    """P1 + P2 + J3: the long panel, one row per (series, day) of the span.
 
-    Each series' sale days are gathered into a date -> quantity map (at most
-    one entry per calendar day, so bounded by the calendar span, not by the
-    data volume) and expanded over the full day sequence with
-    ``inline(transform(sequence(...)))``.  No join against a separate grid:
-    the panel leaves this step hash-partitioned by ``id``, which every later
-    series window reuses without another shuffle.
+    Each series' sale days (at most one per calendar day, so bounded by the
+    span, not by the data volume) are sorted; each opens a run of days that
+    ends before the next one, and ``inline`` expands all runs: linear in the
+    number of days.  No join against a separate grid: the panel leaves this
+    step hash-partitioned by ``id``, which every later series window reuses
+    without another shuffle.
 
-    ``extra_maps`` = {name: (table keyed by id with a map column ``_m``, key
-    expression of the day)} adds per-day lookups the same way (prices).
+    ``weekly`` = {name: table keyed by id with columns ``first_week`` and
+    ``by_week``, an array with one entry for each week from there on}: a day
+    takes the entry of its week by position.
 
-    demand is 0 on days without shipments and null in the outer test period
-    (the future days appended in the reference).  Columns: id, hierarchy, d,
-    date, demand, fold, myfold (+ extra map values).
+    demand is 0 on known days without shipments and null in the appended
+    horizon.  Columns: id, hierarchy, d, date, demand, fold, myfold (+ weekly
+    values).
     """
-    daily = daily if daily is not None else daily_sales_table(spark, sf_dir, spec)
+    spec = spec or panel_spec(spark, sf_dir)
+    daily = daily if daily is not None else daily_sales_table(spark, sf_dir)
     per = (daily.groupBy("id")
            .agg(*[F.first(c).alias(c) for c in HIERARCHY],
-                F.map_from_entries(F.collect_list(F.struct("date", "qty"))).alias("_qty")))
-    extra_maps = extra_maps or {}
-    for name, (tbl, _) in extra_maps.items():
-        per = per.join(tbl.select("id", F.col("_m").alias(f"_m_{name}")), "id", "left")
+                F.array_sort(F.collect_list(F.struct("date", "qty"))).alias("_sales")))
+    weekly = weekly or {}
+    for name, tbl in weekly.items():
+        per = per.join(tbl.select("id", F.col("first_week").alias(f"_f_{name}"), F.col("by_week").alias(f"_a_{name}")), "id", "left")
     start, end = _d(spec.start), _d(spec.end)
-
-    def day(d):
-        fields = [d.alias("date"), F.try_element_at(F.col("_qty"), d).alias("_q")]
-        for name, (_, keyfn) in extra_maps.items():
-            fields.append(F.try_element_at(F.col(f"_m_{name}"), keyfn(d)).alias(name))
+    # a first run without a sale, where the series starts later than the span
+    lead_in = F.when(F.col("_sales")[0]["date"] > start, F.array(F.struct(start.alias("date"), F.lit(0).cast("decimal(28,2)").alias("qty"))))
+    per = per.withColumn("_sales", F.transform("_sales", lambda s: F.struct(s["date"].alias("date"), s["qty"].cast("decimal(28,2)").alias("qty"))))
+    per = per.withColumn("_sales", F.concat(F.coalesce(lead_in, F.slice("_sales", 1, 0)), F.col("_sales")))
+
+    def day(d, sale):
+        fields = [d.alias("date"), F.when(d == sale["date"], sale["qty"]).alias("_q")]
+        for name in weekly:
+            week = F.floor(F.datediff(d, F.col(f"_f_{name}")) / 7).cast("int")
+            fields.append(F.get(F.col(f"_a_{name}"), week).alias(name))
         return F.struct(*fields)
 
-    days = F.transform(F.sequence(start, end), day)
-    grid = per.select("id", *HIERARCHY, F.inline(days))
+    def run(sale, k):
+        after = F.coalesce(F.date_sub(F.get(F.col("_sales"), k + 1)["date"], 1), end)
+        return F.transform(F.sequence(sale["date"], after), lambda d: day(d, sale))
+
+    grid = per.select("id", *HIERARCHY, F.inline(F.flatten(F.transform("_sales", run))))
     known = F.col("date") < _d(spec.test_start)
     panel = grid.select(
         "id", *HIERARCHY,
         F.concat(F.lit("d_"), (F.datediff("date", start) + 1).cast("string")).alias("d"),
         "date",
         F.when(known, F.coalesce(F.col("_q"), F.lit(0)).cast("double")).alias("demand"),
-        *extra_maps.keys())
+        *weekly)
     return add_folds(panel, spec)
 
 
-def add_folds(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def add_folds(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Fold (train/test) and myfold (train/test/null) by date cut."""
     return df.withColumns({
         "fold": F.when(F.col("date") >= _d(spec.test_start), "test").otherwise("train"),
@@ -273,7 +290,7 @@ def add_folds(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
     })
 
 
-def util_fold(df: DataFrame, spec: PanelSpec = DEFAULT_SPEC) -> DataFrame:
+def util_fold(df: DataFrame, spec: PanelSpec) -> DataFrame:
     """Burn early rows for encoding (myfold 'util') and map folds to flags."""
     util = F.when(F.col("date") < _d(spec.util_before), F.lit("util")).otherwise(F.col("myfold"))
     return (df.withColumn("myfold", util)
