@@ -17,19 +17,25 @@ from pyspark.sql import functions as F
 
 from almanac.operators import ordered as od
 
-TWO53 = 1 << 53
+TWO52, TWO53 = 1 << 52, 1 << 53
+
+
+def hash_order(keys: Sequence[str | Column], seed: int, salt: str = "") -> Column:
+    """Integer sort key below 2**52: the first 13 hex digits of the MD5 of
+    ``key|...|seed|salt``, which any SQL engine computes alike."""
+    cols = [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    text = F.concat_ws("|", *cols, F.lit(str(seed)), F.lit(salt))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def hash_uniform(keys: Sequence[str | Column], seed: int, salt: str = "") -> Column:
-    """Uniform [0, 1) from a 64-bit hash of the keys (53 bits kept)."""
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.pmod(F.xxhash64(*cols, F.lit(seed), F.lit(salt)), F.lit(TWO53)).cast("double") / float(TWO53)
+    """Uniform [0, 1): ``hash_order`` / 2**52, exact as a double."""
+    return hash_order(keys, seed, salt).cast("double") / float(TWO52)
 
 
-def hash_order(keys: Sequence[str | Column], seed: int) -> Column:
-    """Integer sort key below 2**53 (exact as a double)."""
-    cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(TWO53))
+def sql_hash(keys: Sequence[str], seed: int, salt: str = "") -> str:
+    """``hash_order`` in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)}, '{seed}', '{salt}')), 1, 13) AS BIGINT)"
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 1) -> DataFrame:
@@ -87,11 +93,9 @@ def cv_split(df: DataFrame, keys: Sequence[str], n_splits: int = 5, fold_col: st
     in n_splits - 1 splits).
     """
     d = df.where(F.col(fold_col).isin("train", "test")).withColumn("_h", hash_order(keys, seed))
-    pos = od.cumulative(d, "_h", {"_n": F.count(F.lit(1))}, by=[fold_col])
-    pos = pos.select(fold_col, F.col("value").cast("long").alias("_h"),
-                     (F.col("cum__n") - F.col("_n")).alias("_idx"), F.col("tot__n").alias("_tot"))
-    d = d.join(pos, [fold_col, "_h"])
-    part = _array_split_part(F.col("_idx"), F.col("_tot"), n_splits)
+    total = d.groupBy(fold_col).agg(F.count(F.lit(1)).alias("_tot"))  # two rows
+    d = od.global_row_number(d, [F.col("_h"), *map(F.col, keys)], by=[fold_col], out="_idx").join(F.broadcast(total), fold_col)
+    part = _array_split_part(F.col("_idx") - 1, F.col("_tot"), n_splits)
     splits = F.array(*[F.lit(i) for i in range(n_splits)])
     train_splits = splits if n_splits == 1 else F.filter(splits, lambda i: i != part)
     s = F.when(F.col(fold_col) == "train", train_splits).otherwise(F.array(part))
@@ -157,13 +161,12 @@ def weighted_bootstrap(df: DataFrame, keys: Sequence[str], weight: Column | None
     only where the count is positive.  The sample size is random (close to n)."""
     w = weight if weight is not None else F.lit(1.0)
     d = df.withColumn("_w", w.cast("double"))
-    win = Window.partitionBy(*by) if by else None
-    if win is not None:
-        lam = F.count(F.lit(1)).over(win) * F.col("_w") / F.sum("_w").over(win)
+    totals = [F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_sw")]
+    if by:
+        d = d.join(F.broadcast(d.groupBy(*by).agg(*totals)), list(by))  # one row per fold
     else:
-        n, sw = d.select(F.count(F.lit(1))).scalar(), d.select(F.sum("_w")).scalar()
-        lam = n * F.col("_w") / sw
-    d = d.withColumn("_lam", lam)
+        d = d.withColumns({c: d.agg(*totals).select(c).scalar() for c in ("_n", "_sw")})
+    d = d.withColumn("_lam", F.col("_n") * F.col("_w") / F.nullif(F.col("_sw"), F.lit(0.0))).drop("_n", "_sw")
     cnt = poisson_count(F.col("_lam"), keys, seed)
     d = d.withColumn("_k", cnt).where(F.col("_k") > 0)
     return d.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_w", "_lam", "_k")

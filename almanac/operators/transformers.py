@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.columns import clip, zfill
+from almanac.operators.sampling import hash_order
 from almanac.operators import ordered as od
 from almanac.operators.stats import long_form
 from almanac.session import cut_lineage
@@ -387,7 +388,7 @@ def random_impute(df: DataFrame, feature: str, key: str, seed: int = 0,
                            F.col("cum__one").alias("_ord"))
     m = obs.select(F.count(F.lit(1))).scalar()
     nulls = df.where(F.col(feature).isNull()).select(
-        key, F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(feature)), m).alias("_idx"))
+        key, F.pmod(hash_order([key], seed, feature), m).alias("_idx"))
     marks = (blocks.select(F.col("_start").alias("_pos"), F.lit(1.0).alias("_w"))
              .unionByName(nulls.select(F.col("_idx").alias("_pos"), F.lit(0.0).alias("_w"))))
     ordn = od.cumulative(marks, "_pos", {"_s": F.sum("_w")}).select(

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from almanac.functions.columns import inv_logit
 from almanac.operators import sampling as sp
 from almanac.operators import transformers as tf
+from almanac.plans import sqlfrag as sf
 from almanac.plans.q_stats import SCORED_SQL, scored_docs
 from almanac.plans.registry import r6, register, rounded, sql_r6
 from almanac.sources.tables import read_table, sample_series
 
 
+TRAIN_SIZES = [round(0.05 + i * 0.95 / 9, 4) for i in range(10)]
+
+
 def _union(parts):
     return "\nUNION ALL\n".join(parts)
 
@@ -176,8 +180,12 @@ def impute_median_mean_mode(spark, sf_dir):
     return rounded(c.drop(a, "c_mktsegment"), list(_IMP_COLS))
 
 
-# --- impute_random: X5 (rows-only: hash draws) ------------------------------
-@register("impute_random")
+# --- impute_random: X5 -------------------------------------------------------
+@register("impute_random", sql=f"""
+WITH {CUST_SQL[1:]},
+seen AS (SELECT list(c_acctbal ORDER BY c_acctbal) AS v FROM ci WHERE c_acctbal IS NOT NULL)
+SELECT c_custkey, coalesce(c_acctbal, v[1 + {sp.sql_hash(["c_custkey"], 0, "c_acctbal")} % len(v)]) AS c_acctbal FROM ci, seen
+""")
 def impute_random(spark, sf_dir):
     c = injected_customer(spark, sf_dir)
     return tf.random_impute(c, "c_acctbal", "c_custkey", seed=0).select("c_custkey", "c_acctbal")
@@ -254,13 +262,19 @@ def rescale_probabilities(spark, sf_dir):
 
 
 # --- samples and splits (rows-only + property tests) -------------------------
-@register("sample_n")
+@register("sample_n", sql=f"""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY {sp.sql_hash(["o_orderkey"], 1)}, o_orderkey LIMIT 1000
+""")
 def sample_n(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
     return sp.sample_n(o, 1000, ["o_orderkey"], seed=1)
 
 
-@register("sample_series")
+@register("sample_series", sql=f"""
+WITH {sf.FEATURE_PANEL[1:]},
+few AS (SELECT id FROM (SELECT DISTINCT id FROM fp) ORDER BY {sp.sql_hash(["id"], 1)}, id LIMIT 100)
+SELECT id, CAST(date AS VARCHAR) AS date, demand FROM fp WHERE id IN (SELECT id FROM few)
+""")
 def sample_series_q(spark, sf_dir):
     """Whole series sampled by id hash from the daily panel."""
     from almanac.plans.panel import feature_input
@@ -269,14 +283,25 @@ def sample_series_q(spark, sf_dir):
         "id", F.date_format("date", "yyyy-MM-dd").alias("date"), "demand")
 
 
-@register("undersample")
+@register("undersample", sql=f"""
+SELECT o_orderkey, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {sp.sql_hash(["o_orderkey"], 42)}, o_orderkey) AS r FROM orders)
+WHERE r <= 1000
+""")
 def undersample(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"])
     s, _ = sp.undersample(o, "o_orderstatus", 1000, ["o_orderkey"])
     return s
 
 
-@register("cv_split")
+@register("cv_split", sql=f"""
+WITH o AS (SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN 'test' ELSE 'train' END AS fold FROM orders),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {sp.sql_hash(["o_orderkey"], 42)}, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY fold) AS n FROM o),
+parts AS (
+  SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // nullif(n // 5, 0) END AS part FROM numbered)
+SELECT o_orderkey, fold, CAST(s AS INTEGER) AS split, fold AS role FROM parts, range(0, 5) t(s) WHERE (fold = 'train') = (s <> part)
+""")
 def cv_split(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).withColumn(
         "fold", F.when(F.year("o_orderdate") >= 2000, "test").otherwise("train"))
@@ -290,7 +315,9 @@ def bootstrap_split(spark, sf_dir):
     return sp.bootstrap_split(o, ["o_orderkey"], 3).select("o_orderkey", "fold", "split", "role", "_rep")
 
 
-@register("shuffle_split")
+@register("shuffle_split", sql=f"""
+SELECT o_orderkey, CASE WHEN {sp.sql_hash(["o_orderkey"], 1)} / {float(sp.TWO52)} < 0.2 THEN 'test' ELSE 'train' END AS role FROM orders
+""")
 def shuffle_split(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
     return sp.shuffle_split(o, ["o_orderkey"], 0.2)
@@ -306,8 +333,9 @@ def weighted_bootstrap(spark, sf_dir):
         .select("id", F.date_format("date", "yyyy-MM-dd").alias("date"), "demand", "_rep")
 
 
-@register("train_size_subsets")
+@register("train_size_subsets", sql=f"""
+SELECT o_orderkey, s.s AS train_size FROM orders, (SELECT unnest({TRAIN_SIZES}) AS s) s WHERE {sp.sql_hash(["o_orderkey"], 1)} / {float(sp.TWO52)} <= s.s
+""")
 def train_size_subsets(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", ["o_orderkey"])
-    sizes = [round(0.05 + i * 0.95 / 9, 4) for i in range(10)]
-    return sp.train_size_subsets(o, ["o_orderkey"], sizes)
+    return sp.train_size_subsets(o, ["o_orderkey"], TRAIN_SIZES)

@@ -70,7 +70,8 @@ def sample_series(df: DataFrame, id_col: str, n: int, seed: int = 1) -> DataFram
     (id, seed).  The n chosen ids form a bounded table that is semi-joined
     back, so the sample never passes through the driver.
     """
+    from almanac.operators.sampling import hash_order
     ids = (df.select(id_col).distinct()
-           .withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+           .withColumn("_h", hash_order([id_col], seed))
            .orderBy("_h", id_col).limit(n).select(id_col))
-    return df.join(F.broadcast(ids), id_col, "left_semi")
+    return df.join(ids, id_col, "left_semi")
