@@ -76,8 +76,3 @@ def nan_to_null(c: str | Column) -> Column:
     """Ingestion guard: NaN never reaches aggregates."""
     c = _c(c)
     return F.when(~F.isnan(c), c)
-
-
-def safe_div(a: str | Column, b: str | Column) -> Column:
-    """Division with a zero denominator giving null (ANSI mode raises)."""
-    return _c(a) / F.nullif(_c(b), F.lit(0))

@@ -64,14 +64,6 @@ def level_aggregate(df: DataFrame, aggs: Sequence[Column], extra_keys: Sequence[
                                                      if c not in ("level", *dims, *extra_keys)])
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-equals-null equality on every key."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """J4 join that keeps one copy of each key column."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],

@@ -304,12 +304,6 @@ def accuracy(df: DataFrame, y: str, pred: str) -> Column:
     return F.avg((F.col(y) == F.col(pred)).cast("double"))
 
 
-def argmax_class(probs: DataFrame, row: str, cls: str = "class", p: str = "p") -> DataFrame:
-    """Predicted class per row: highest probability, ties to the first class."""
-    w = Window.partitionBy(row).orderBy(F.col(p).desc(), F.col(cls))
-    return probs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(row, F.col(cls).alias("pred"))
-
-
 # ---------------------------------------------------------------------------
 # distributions
 # ---------------------------------------------------------------------------

@@ -43,7 +43,7 @@ def convert(df: DataFrame, features: Sequence[str], to: str) -> DataFrame:
     for c in features:
         v = F.col(c).cast(to)
         if to == "string":
-            v = F.when(F.col(c).isNotNull() & (v != "nan"), v)
+            v = F.when(F.lower(v) != "nan", v)
         out = out.withColumn(c, v)
     return out
 

@@ -159,12 +159,6 @@ prices AS (
 )"""
 
 
-def snap_case() -> str:
-    whens = " ".join(f"WHEN state_id = '{st}' THEN {flag}" for st, flag in SNAP_FLAG_BY_STATE.items())
-    return f"CASE {whens} END"
-
-
-# panel + calendar + prices + flags (the base panel), as CTE "bp"
 BASE_PANEL = PANEL + "," + CALENDAR + "," + PRICES + f""",
 bp AS (
   SELECT pn.*, c.wm_yr_wk, c.event_name, c.event_type, c.event, c.next_event, c.prev_event,
