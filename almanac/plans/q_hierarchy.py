@@ -101,7 +101,7 @@ def series_rmse_weight(spark, sf_dir):
 @register("wrmsse_by_level", sql=f"""
 WITH {q.WEIGHTED_PANEL[1:]}, {help_ctes()[1:]}, {HOLD[1:]}, {nodes_ctes('hold')[1:]}
 SELECT level, {sql_r6('sum(wrmsse)')} AS wrmsse, COUNT(*) AS n_nodes FROM nodes GROUP BY level
-""", headline=True)
+""")
 def wrmsse_by_level(spark, sf_dir):
     wp = _wp(spark, sf_dir)
     nodes = hy.wrmsse(fc.naive_forecast(wp).where(F.col("myfold") == "test"), hy.help_table(wp))

@@ -19,7 +19,7 @@ WITH {q.PANEL[1:]}
 SELECT id, item_id, dept_id, cat_id, store_id, state_id, d, CAST(date AS VARCHAR) AS date,
        demand, fold, myfold
 FROM panel
-""", headline=True)
+""")
 def panel_dense(spark, sf_dir):
     p = fx.sales_panel(spark, sf_dir)
     return p.select("id", *fx.HIERARCHY, "d", ds("date").alias("date"), "demand", "fold", "myfold")

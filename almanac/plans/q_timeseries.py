@@ -77,7 +77,7 @@ WITH {q.FEATURE_PANEL[1:]}
 SELECT id, CAST(date AS VARCHAR) AS date,
        {', '.join(f"{sql_r6(_roll_sql(c, a, 7 * w))} AS {c}_{a}{w}week" for c, a, w in _ROLL)}
 FROM fp
-""", headline=True)
+""")
 def rolling_weeks(spark, sf_dir):
     f = pl.feature_input(spark, sf_dir)
     out = ts.add_rolling_weeks(f)

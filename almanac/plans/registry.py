@@ -21,18 +21,15 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
-HEADLINE: list[str] = []
 
 
-def register(name: str, sql: str | None = None, headline: bool = False):
+def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
-        if headline:
-            HEADLINE.append(name)
         return fn
     return deco
 
