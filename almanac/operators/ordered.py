@@ -60,14 +60,18 @@ def cumulative(df: DataFrame, value: str | Column, sums: Mapping[str, Column],
     * ``tot_<name>``: the group total.
 
     ``value`` must be numeric; its column in the output is ``value``.
+
+    The aggregate is written once to the shared folder; the slice bounds, the
+    slice totals and the result read that table, so the input is scanned once.
     """
+    from almanac.session import cut_lineage
     by = list(by)
     vcol = F.col(value) if isinstance(value, str) else value
     agg = (df.where(vcol.isNotNull())
            .groupBy(*by, vcol.cast("double").alias("value"))
            .agg(*[c.alias(n) for n, c in sums.items()]))
     key = (-F.col("value")) if descending else F.col("value")
-    agg = agg.withColumn("__k", key)
+    agg = cut_lineage(agg.withColumn("__k", key), "value_counts")
     nb = n_buckets or default_buckets(df)
     fr = [i / nb for i in range(1, nb)]
     if by:
