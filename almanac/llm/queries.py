@@ -16,6 +16,7 @@ from almanac.llm import ann, bpe, decontam, html_extract, lm, neardup, quality,
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +134,7 @@ FROM ruled
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), TOKENIZER)
+    return lm.score(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), BYTE_RANKS)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from almanac.llm import bpe, decontam, lm, neardup, quality, secret_scan, substring, text
-from almanac.llm.queries import TOKENIZER
+from almanac.llm.queries import BYTE_RANKS, TOKENIZER
 from tests.llm.conftest import BASE, DOCS, LONG
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -229,7 +229,7 @@ def test_decontamination_finds_edited_copies(spark, docs, no_docs):
 def test_lm_base_scores_and_totals(spark, docs, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
     monkeypatch.setattr(lm, "STEPS", 5)
-    out = lm.score(docs, TOKENIZER).collect()
+    out = lm.score(docs, BYTE_RANKS).collect()
     assert len(out) == len(DOCS)
     counts, n = Counter(), 0
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in DOCS}
@@ -248,7 +248,7 @@ def test_lm_base_scores_and_totals(spark, docs, monkeypatch, head):
 
 
 def test_lm_of_an_empty_table(no_docs):
-    assert lm.score(no_docs, TOKENIZER).collect() == []
+    assert lm.score(no_docs, BYTE_RANKS).collect() == []
 
 
 def test_lm_classes_are_a_distribution_and_windows_score_each_token_once():
@@ -258,7 +258,7 @@ def test_lm_classes_are_a_distribution_and_windows_score_each_token_once():
     source, target, of = lm.windows(ids, begin, 49408)
     for k in range(4):
         assert target[of == k][target[of == k] >= 0].tolist() == [*ids[begin[k]:begin[k + 1]].tolist(), 49408]
-    units = lm.units_of(np.bincount(ids, minlength=49409), {k: "x</w>" if k % 2 else "x" for k in range(49408)})
+    units = lm.units_of(np.bincount(ids, minlength=49409), np.arange(49408) % 2 == 1)
     assert set(units.cls.tolist()) == set(range(lm.CLASSES))
     model = lm.Attention(units, np.log(np.full((lm.CLASSES, lm.CLASSES), 1 / lm.CLASSES)))
     losses = model.train(source, target, steps=60)
