@@ -1,11 +1,9 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment.
+"""Benchmark decontamination by n-gram seeds and local alignment.
 
-Every run of ``SEED`` words of a test item is a possible seed.  A bitmap of a
-fixed size, with one bit per hash bucket of those runs, goes to all tasks; what
-passes it in the documents is joined with the items' runs exactly.  The corpus
-counts of the runs (over all documents) rank each item's runs, and the rarer
-half are its seeds: rank, not a count limit, so an item that leaked into a
-third of all documents still has seeds.
+Every run of ``SEED`` words of a test item is a seed, however frequent: an exact
+copy raises the counts of the very runs that an edited copy keeps.  A bitmap of a
+fixed size, with one bit per hash bucket of the seeds, goes to all tasks; what
+passes it in the documents is joined with the seeds exactly.
 
 A seed hit fixes a diagonal between item and document.  Around it a
 Smith-Waterman alignment of words (match 2, mismatch and gap -1) is scored
@@ -19,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,12 +124,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     item_grams = cut_lineage(_item_grams(words), "item_grams")
     hits = cut_lineage(_hits(src, bitmap.build(item_grams, "gram", BITS)), "hits")
 
-    seen = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
-    per_item = Window.partitionBy("item")
-    ranked = (item_grams.join(seen, "gram").withColumn("rank", F.row_number().over(per_item.orderBy("seen", "gram", "at")))
-              .withColumn("of", F.count(F.lit(1)).over(per_item)))
-    seeds = cut_lineage(ranked.where(F.col("rank") * 2 <= F.col("of") + 1).select("gram", "item", "at"), "seeds")
-    spots = (hits.join(seeds, "gram").select("id", "item", F.floor((F.col("pos") - F.col("at")) / REGION).alias("region")).distinct())
+    spots = (hits.join(item_grams, "gram").select("id", "item", F.floor((F.col("pos") - F.col("at")) / REGION).alias("region")).distinct())
     # of one document: as many as it has seed hits
     spots = (spots.join(words.withColumnRenamed("words", "want").dropDuplicates(["item", "want"]), "item")
              .groupBy("id").agg(F.collect_list(F.struct("item", "region", "want")).alias("spots")))
@@ -150,9 +143,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                     for s in spots[k].as_py():
                         item = np.frombuffer(s["want"], np.uint64)
                         start = max(0, s["region"] * REGION - len(item) // 2)
+                        window = mine[start:(s["region"] + 1) * REGION + len(item) + len(item) // 2]
+                        if np.isin(item, window).sum() < threshold * len(item):
+                            continue  # every other word costs its match: the score cannot reach the threshold
                         rows.append((ids[k], s["item"], start))
                         want.append(item)
-                        have.append(mine[start:(s["region"] + 1) * REGION + len(item) + len(item) // 2])
+                        have.append(window)
                 scores = align(want, have)
                 keep = [k for k in range(len(rows)) if scores[k] >= threshold]
                 yield pa.RecordBatch.from_arrays([

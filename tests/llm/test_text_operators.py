@@ -222,6 +222,23 @@ def test_decontamination_finds_edited_copies(spark, docs, no_docs):
     assert decontam.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_decontamination_finds_edited_copies_beside_exact_ones(spark):
+    """Runs that an edited copy keeps are the frequent ones if exact copies exist."""
+    item = [f"q{k}" for k in range(20)]
+    rows = [(100, " ".join(item)), (101, " ".join(item))]
+    rows += [(200 + step, " ".join(f"e{k}" if k % step == step - 1 else w for k, w in enumerate(item))) for step in (4, 5)]  # 25% and 20% of the words
+    spread = set(np.random.default_rng(7).choice(40, 12, replace=False).tolist())  # 30%
+    far = [f"z{k}" for k in range(40)]
+    rows += [(300, " ".join(far)), (301, " ".join(f"e{k}" if k in spread else w for k, w in enumerate(far)))]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(far))], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    texts, items = {i: t.split() for i, t in rows}, {1: item, 2: far}
+    want = {(d, i): smith_waterman(w, texts[d]) for i, w in items.items() for d in texts}
+    want = {k: s for k, s in want.items() if s >= decontam.THRESHOLD}
+    assert {(100, 1), (101, 1), (204, 1), (205, 1), (300, 2), (301, 2)} == set(want)
+    assert out.keys() == want.keys() and all(abs(out[k] - want[k]) < 1e-9 for k in want)
+
+
 # -- 7: language model ---------------------------------------------------------------
 
 
