@@ -293,6 +293,23 @@ def test_lm_classes_are_a_distribution_and_windows_score_each_token_once():
     assert np.allclose(np.concatenate([a[of == 3].ravel()])[:200], np.concatenate([b[of == 3].ravel()])[:200], atol=1e-5)
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    assert (lm.WINDOW, lm.CONTEXT, lm.CLASSES) == (64, 16, 128)
+    monkeypatch.setattr(lm, "STEPS", 1)
+    learned = []
+    plain = lm._train
+    monkeypatch.setattr(lm, "_train", lambda *a: learned.append(plain(*a)))
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"x{int(v)}" for v in rng.zipf(1.3, 700) % 5000)) for k in range(40)]
+    encoded, model, _, _, texts = lm.fit(spark.createDataFrame(rows, "id long, t string").selectExpr("id", "cast(t as binary) as text").repartition(3), BYTE_RANKS)
+    mine = [np.frombuffer(r.ids, "<u2") for r in encoded.where(~lm.held_out("id")).collect()]
+    assert len(mine) == texts
+    assert learned == [sum(len(x) + 1 for x in mine)]
+    counts = np.bincount(np.concatenate(mine), minlength=model.units.end + 1)
+    want = lm.units_of(counts, lm._encoder(BYTE_RANKS).opens)
+    assert (model.units.cls == want.cls).all() and (model.units.row == want.row).all()
+
+
 # -- 8: substrings -------------------------------------------------------------------
 
 
