@@ -35,10 +35,14 @@ OUT_BYTES = 8 << 20
 
 # Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noembed noframes noscript svg math object select button datalist canvas audio video head".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())  # up to the end tag, or the page's end
+# Nodes that may stand in a line, with the tag whose evidence they share.
+INSETS = {"button": "form", "select": "form", "datalist": "form", "object": "div", "noscript": "div", "svg": "figure", "canvas": "div", "audio": "div", "video": "div"}
 BLOCKS = frozenset((
     "html body main article section nav aside header footer div form fieldset h1 h2 h3 h4 h5 h6 hgroup p blockquote pre ul ol li dl dt dd menu "
     "table caption thead tbody tfoot tr td th figure figcaption address details summary dialog center search").split())
+NODES = BLOCKS | INSETS.keys()
+_PAIRED = {t: re.compile(rf"<(/?){t}(?![^\s/>])", re.I) for t in (*INSETS, "template")}
 CLOSES = {  # an opening tag ends these, up to the nearest of the second set
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -84,18 +88,26 @@ def _hint(attrs: str) -> tuple[str, int | None]:
 
 
 def parse(text: str) -> Page:
-    """A tolerant reading of HTML: unclosed and misnested tags, comments, raw elements."""
+    """A tolerant reading of HTML: unclosed and misnested tags, comments, raw
+    elements.  ``head`` is no node: what may stand in it has no text, and
+    anything else begins the body.  The tag of an inset or template without an
+    end tag is passed over, and what follows it is read as if it were not there."""
     page = Page()
     stack: list[tuple[str, int]] = []  # open elements: tag, nearest block node
     links = 0
     run: list[str] = []
     at, end = 0, len(text)
 
-    def add(tag: str, attrs: str) -> None:
-        if not stack and tag not in ("html", "body"):
+    def begin() -> None:
+        """The body of a page that has not named it."""
+        if not stack or len(stack) == 1 and len(page.tags) == 1 and stack[0][0] == "html":
             add("body", "")
+
+    def add(tag: str, attrs: str) -> None:
+        if tag not in ("html", "body"):
+            begin()
         page.parents.append(stack[-1][1] if stack else -1)
-        page.tags.append(tag)
+        page.tags.append(INSETS.get(tag, tag))
         page.hints.append(_hint(attrs)[0] if attrs else "none")
         page.linked.append(0)
         label = re.search(r'data-label="(\d)"', attrs) if "data-label" in attrs else None
@@ -117,8 +129,8 @@ def parse(text: str) -> Page:
 
     def put(piece: str) -> None:
         if piece:
-            if not stack and not piece.isspace():
-                add("body", "")
+            if not piece.isspace():
+                begin()
             if stack:
                 run.append(piece)
                 if links:
@@ -141,26 +153,31 @@ def parse(text: str) -> Page:
         tag = m[2].lower()
         if not m[1]:
             if tag in RAW:
-                if tag in BLOCKS or tag in ("title", "head"):
+                if tag == "title":
                     flush()
                 if not m[3].endswith("/"):
-                    close = re.compile(rf"</{re.escape(tag)}\b[^>]*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(text, at)
+                    close = re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I).search(text, at)
                     at = close.end() if close else end
-                run.append(" ")
+                if stack:
+                    run.append(" ")
+            elif tag == "head" or tag in _PAIRED and (m[3].endswith("/") or (near := _PAIRED[tag].search(text, at)) is None or not near[1]):
+                continue
+            elif tag == "template":
+                at = near.start()
             elif tag in VOID:
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     run.append(" ")
             else:
-                if tag in BLOCKS:
+                if tag in NODES:
                     flush()
-                    if tag not in ("html", "body"):
+                    if tag in BLOCKS and tag not in ("html", "body"):
                         for k in range(len(stack) - 1, -1, -1):
                             if stack[k][0] == "p":
                                 pop(k)
                                 break
-                            if stack[k][0] in BLOCKS:
+                            if stack[k][0] in NODES:
                                 break
                     if tag in CLOSES:
                         ends, stop = CLOSES[tag]
@@ -170,23 +187,24 @@ def parse(text: str) -> Page:
                                 break
                             if stack[k][0] in stop:
                                 break
-                    if tag in ("html", "body") and any(t == tag for t, _ in stack):
+                    if tag in ("html", "body") and (open_ := [n for t, n in stack if t == tag]):
+                        if page.hints[open_[0]] == "none" and m[3]:
+                            page.hints[open_[0]] = _hint(m[3])[0]
                         continue
                     add(tag, m[3])
                 else:
-                    if not stack:
-                        add("body", "")
+                    begin()
                     if tag == "a":
                         links += 1
                     stack.append((tag, stack[-1][1]))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag in BLOCKS:
+                    if tag in NODES:
                         flush()
                     pop(k)
                     break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
+                if tag not in NODES and stack[k][0] in NODES:
                     break
             else:
                 if tag in BLOCKS:

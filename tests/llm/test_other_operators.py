@@ -133,3 +133,19 @@ def test_extraction_keeps_rows_and_columns(spark):
     assert out[0].asDict().keys() == {"page_id", "url", "row", "text"}
     assert sorted(len(r.text) for r in out) == [0, 0, len(" ".join(["A long sentence, which is text."] * 3000))]
     assert html_extract.extract(df.limit(0)).collect() == []
+
+
+def test_extraction_keeps_what_follows_open_tags():
+    """Omitted and missing end tags, and elements whose content is text of the page."""
+    model = html_extract.fit(html_extract.labelled_pages())
+    read = lambda s: html_extract.main_text(model, s)
+    one, two = "The river rose for three days and the old bridge was closed.", "On the fourth day the water fell and the people came back."
+    for page in (f"<html><head><title>T</title><p>{one}<p>{two}", f"<!doctype html><title>T</title><article><p>{one}</p><p>{two}</p></article>",
+                 f"<html><head><meta charset=utf-8><script>var a = '<p>';</script><body><article><p>{one}</p><p>{two}</p></article></body></html>"):
+        assert read(page) == f"{one}\n{two}"
+    for tag in ("button", "object", "select", "svg", "canvas", "noscript", "video", "math", "template"):
+        assert read(f"<html><body><article><p>{one}</p><{tag}><p>{two}</p></article></body></html>") == f"{one}\n{two}", tag
+    assert read(f"<body><article><h1>Flood</h1><p>{one}</p><noscript><p>{two}</p></noscript></article>") == f"Flood\n{one}\n{two}"
+    assert read(f"<body><article><h1>Flood</h1><p>{one}</p><object data=x><p>{two}</p></object></article>") == f"Flood\n{one}\n{two}"
+    assert read(f"<body><article><p>{one} Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>{two}</p></article>") == f"{one} Here x=2 holds.\n{two}"
+    assert read(f"<body><article><p>{one}</p><button>Share</button><p>{two}</p><script>var x = 1;") == f"{one}\n{two}"
