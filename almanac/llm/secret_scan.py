@@ -42,7 +42,15 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+# A private key: through its END line, unless another key begins before it; without one, over what
+# looks like its body: header lines, long runs of base64, and lines of nothing but base64.
+_BREAK = rb"""(?:[\s>|"'+,]|\\[nrt])"""
+_KEY = (rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+        rb"|(?:" + _BREAK + rb"*+(?:Proc-Type|DEK-Info):[^\n]*+)*+"
+        rb"(?:" + _BREAK + rb"*+[A-Za-z0-9+/]{16,}+={0,2}+|\s*\n[\x20\t>|]*+[A-Za-z0-9+/]+={0,2}[\x20\t\r]*+(?=\n|\Z)|" + _BREAK + rb"*+[A-Za-z0-9+/]++={1,2}+)*+)")
+
 # Fixed patterns: the first three are the base kinds, the others what the scan adds.
+# pem names the line that begins a key, private the key itself.
 RULES = (
     Rule("assign", 1, rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", (b"passw", b"secret", b"token", b"api"), 2, 6),
     Rule("access", 1, rb"AKIA[A-Z0-9]+", (b"akia",), 0, 20),
@@ -50,6 +58,7 @@ RULES = (
     Rule("pem", 1, rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", (b"-----begin",)),
     Rule("forge", 1, rb"gh[pousr]_[A-Za-z0-9]{36,}", (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_")),
     Rule("jwt", 1, rb"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", (b"eyj",)),
+    Rule("private", 1, _KEY, (b"-----begin",)),
 )
 BASE = ("assign", "access", "hex")
 _HEX = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
