@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -84,9 +85,9 @@ def normalised_weight(df: DataFrame, col: str, out: str = "w") -> DataFrame:
 # M1-M5 learners
 # ---------------------------------------------------------------------------
 def gbt_regressor(n_trees: int = 10, depth: int = 4, step: float = 0.1, weight: str | None = None,
-                  seed: int = 1) -> GBTRegressor:
-    kw = dict(maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, labelCol="label",
-              featuresCol="features")
+                  seed: int = 1, min_rows: int = 1, subsample: float = 1.0) -> GBTRegressor:
+    kw = dict(maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, minInstancesPerNode=min_rows,
+              subsamplingRate=subsample, labelCol="label", featuresCol="features")
     if weight:
         kw["weightCol"] = weight
     return GBTRegressor(**kw)
@@ -121,6 +122,16 @@ def p_class1(df: DataFrame, prob: str = "probability", out: str = "p") -> DataFr
 # ---------------------------------------------------------------------------
 # M8: grid x fold x ensemble size with prefix scoring
 # ---------------------------------------------------------------------------
+def product_grid(axes: dict[str, Sequence]) -> list[dict]:
+    """Every combination of the parameters' values."""
+    return [dict(zip(axes, values, strict=True)) for values in product(*axes.values())]
+
+
+def params_key(params: dict) -> str:
+    """The name of a grid point in the CV table."""
+    return str(sorted(params.items()))
+
+
 def prefix_predictions(model, df: DataFrame, sizes: Sequence[int], features: str = "features") -> DataFrame:
     """Predictions of the first n trees of a fitted GBT regressor for every n
     in ``sizes``: sum of tree weight x tree prediction over the prefix.
@@ -188,7 +199,7 @@ def grid_prefix_scores(train: DataFrame, folds: DataFrame, grid: Sequence[dict],
                 pp = prefix_predictions(m, d, sizes)
                 sc = score_columns(pp, "label", {n: f"yhat_{n}" for n in sizes}, scorers)
                 for (n, name), v in sc.items():
-                    rows.append((str(sorted(params.items())), int(s), int(n), ft, name,
+                    rows.append((params_key(params), int(s), int(n), ft, name,
                                  None if v is None else float(v)))
     return rows
 

@@ -76,3 +76,21 @@ def test_direct_forecast_one_row_per_series_and_horizon(spark):
     assert out.groupby(["id", "horizon"]).size().eq(1).all()
     assert set(out.horizon) == {1, 14, 28} and out.yhat.notna().all()
     assert out.groupby("horizon")["date"].nunique().eq(1).all()
+
+
+def test_forecast_direct_and_grid_are_complete():
+    from almanac.plans import q_models as qm
+    assert qm.DIRECT_H == list(range(1, 29)) and qm.SPLITS == 5
+    assert {k: len({p[k] for p in qm.GRID}) for k in qm.GRID[0]} == {"depth": 2, "min_rows": 2, "subsample": 2} and len(qm.GRID) == 8
+
+
+def test_grid_best_row_is_refitted(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from almanac.operators import modeling as md
+    from almanac.plans import q_models as qm
+    monkeypatch.setattr(qm, "GRID", md.product_grid({"depth": [1, 3]}))
+    monkeypatch.setattr(qm, "SIZES", [1, 3])
+    monkeypatch.setattr(qm, "SPLITS", 2)
+    out = entry.queries()["grid_best_refit"](spark, SF_SMALL).collect()
+    assert out and all(r.yhat is not None for r in out) and len({r.o_orderkey for r in out}) == len(out)
+    assert {(r.params, r.n_trees) for r in out} <= {(md.params_key(p), n) for p in qm.GRID for n in qm.SIZES}
