@@ -1,21 +1,22 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees.
+"""Removal of repeated passages by minimiser-partitioned windows of ``window`` words.
 
-A suffix of a text, cut after ``window`` words, is a window.  Windows that are
-equal share the path from the root of the suffix tree to an internal node of
-that depth, so the deep nodes give the repeats.  The tree is never built whole:
+The dealt method, suffixes partitioned by prefixes of varying length with maximal
+repeats read off a suffix tree, is replaced: what is removed are the words of
+repeated windows of one fixed length, and equal windows can be met without any
+suffix order.  There are no suffix prefixes, no LCP and no maximal repeats here.
 
 1. Each window is named by its *anchor*, the smallest hash among its
    ``ANCHOR``-word runs; equal windows have equal anchors.  A map-side combined
    aggregate finds the anchors that occur in more than one document; a bitmap
    of fixed size takes them to all tasks, and only windows that pass go on.
-2. Anchors are cut into memory-sized groups by a prefix of their bits, whose
-   length follows the number of windows.  An anchor with more windows than a
+2. Anchors are dealt into memory-sized groups by their remainder modulo the
+   number of groups, which follows the number of windows.  An anchor with more windows than a
    group may hold gets a longer name, by document, and so several groups.
-3. A task builds one group's subtree: its windows sorted by their words, with
-   the nodes where neighbours agree on all of them.  Occurrences in a document
-   above the node's smallest are repeats.
+3. A task sorts one group's windows by their words; a node is a run of equal
+   ones.  Occurrences in a document above the node's smallest are repeats.
 4. For anchors that were cut by document, only each node's smallest
-   occurrence in each part goes on, and a small aggregate merges the nodes.
+   occurrence in each part goes on, and a small aggregate merges the nodes.  The
+   windows of one anchor in one document stay in one task.
 
 Windows of one anchor that follow each other travel as one run of word codes,
 so a word is sent a few times at most, not ``window`` times.
