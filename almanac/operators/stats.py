@@ -178,8 +178,8 @@ def chi2_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     dims = (cells.groupBy(*pk).agg(F.sum("o").alias("n"), F.count_distinct("l1").alias("k1"),
                                    F.count_distinct("l2").alias("k2")))
     # complete 2x2 tables: all level combinations (bounded to 4 cells)
-    lv = cells.groupBy(*pk).agg(F.collect_set("l1").alias("s1"), F.collect_set("l2").alias("s2"))
-    lv = lv.join(dims, pk).where((F.col("k1") == 2) & (F.col("k2") == 2))
+    small = F.broadcast(dims.where((F.col("k1") == 2) & (F.col("k2") == 2)).select(*pk))
+    lv = cells.join(small, pk).groupBy(*pk).agg(F.collect_set("l1").alias("s1"), F.collect_set("l2").alias("s2"))
     grid = (lv.select(*pk, F.explode("s1").alias("l1"), "s2")
             .select(*pk, "l1", F.explode("s2").alias("l2")))
     full = grid.join(cells, [*pk, "l1", "l2"], "left").fillna(0.0, ["o"])

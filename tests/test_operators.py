@@ -198,3 +198,13 @@ def test_global_row_number_matches_window(rnd):
     got = od.global_row_number(df, order, by=["g"], n_parts=7).select("k", "rank").toPandas()
     exp = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order))).select("k", "rank").toPandas()
     assert got.sort_values("k")["rank"].tolist() == exp.sort_values("k")["rank"].tolist()
+
+
+def test_chi2_pairs_gathers_levels_of_2x2_pairs_only(spark):
+    from almanac.operators import stats as st
+    rows = [(f"t{k}", k % 2, k % 3 // 2) for k in range(60)]
+    out = st.chi2_pairs(spark.createDataFrame(rows, "text string, a int, b int"), ["text", "a", "b"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [k for k, line in enumerate(plan) if "collect_set" in line and "Aggregate" in line]
+    assert at and all(any("Join Inner" in line for line in plan[k + 1:k + 3]) for k in at)
+    assert {(r.var1, r.var2): r.m for r in out.collect()} == {("text", "a"): 2, ("text", "b"): 2, ("a", "b"): 2}
