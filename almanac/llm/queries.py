@@ -12,11 +12,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import ann, bpe, decontam, html_extract, lm, neardup, quality, secret_scan, substring, url_filter
+from almanac.llm import align, ann, bpe, decontam, fim, html_extract, langid, lm, neardup, quality, secret_scan, substring, url_filter
 from almanac.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +169,79 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    made = made.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256))
+    kept = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return fim.restore(made, kept).select(*kept, F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM units),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+# CRC-32 bit by bit; n-grams as texts, whose order is that of their code points.
+OP12_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ord(c) AS BIGINT))),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 = 2 AS held_out
+  FROM documents),
+words AS (SELECT r, held_out, lang, '_' || unnest(regexp_extract_all(lower(text), '\p{{L}}+')) || '_' AS w FROM docs),
+many AS (SELECT r, held_out, lang, replace(w, '_', chr(1)) AS w, count(*) AS c FROM words GROUP BY ALL),
+grams AS (
+  SELECT r, held_out, lang, substr(w, i, k) AS g, sum(c) AS c
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM many), (SELECT unnest([1, 2, 3]) AS k)
+  WHERE i + k <= len(w) + 1 AND substr(w, i, k) <> chr(1)
+  GROUP BY ALL),
+profile AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(c) DESC, g) - 1 AS place
+  FROM grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY place < {langid.PROFILE}),
+own AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY c DESC, g) - 1 AS place FROM grams QUALIFY place < {langid.DOCUMENT}),
+distances AS (
+  SELECT o.r, l.lang, sum(coalesce(abs(p.place - o.place), {langid.PROFILE})) AS d, count(*) AS n
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.g = o.g GROUP BY o.r, l.lang),
+best AS (
+  SELECT r, lang, CAST(d AS BIGINT) AS d, n, CAST(lead(d) OVER w AS BIGINT) AS second FROM distances
+  WINDOW w AS (PARTITION BY r ORDER BY d, lang) QUALIFY row_number() OVER w = 1)
+SELECT doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, CASE WHEN b.lang IS NULL THEN 0.0::DOUBLE ELSE 1 - CAST(d AS DOUBLE) / (n * {langid.PROFILE}) END AS score,
+       CASE WHEN second > 0 THEN 1 - CAST(d AS DOUBLE) / second ELSE 0.0::DOUBLE END AS margin
+FROM docs LEFT JOIN best b USING (r)
+"""
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), BYTE_BPE, PIECES)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    rows = found.documents.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    zero = F.lit(0).cast("long")
+    return rows.join(found.scores, "row", "left").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -178,10 +253,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_scores": op9_quality_scores,
     "op10_html_extraction": op10_html_extraction,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_language_id": op12_language_id,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 ORACLE: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op4_secret_scan": OP4_SQL,
     "op6_url_filter": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_language_id": OP12_SQL,
 }
