@@ -8,12 +8,15 @@ b + sum(coef * mean(x)).  Every window here is partitioned by
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.columns import inv_logit, isclose
+from almanac.operators import lookup
+from almanac.operators.transformers import active_positions
+from almanac.session import cut_lineage
 
 
 def linear_contributions(df: DataFrame, row_id: str, features: Sequence[str],
@@ -41,14 +44,122 @@ def linear_contributions(df: DataFrame, row_id: str, features: Sequence[str],
     return df.select(row_id, F.explode(F.array(*rows)).alias("s")).select(row_id, "s.*")
 
 
-def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR",
-           link_scale: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def marginal_model(df: DataFrame, targets: Mapping[str, Column], features: str = "features", scale: float = 1.0,
+                   digits: float = 1e9) -> tuple[DataFrame, DataFrame]:
+    """A linear model in closed form: every position's own least-squares slope on each
+    target, and the intercept that makes the mean score the mean target.
+
+    Returns (position, target, coef, mean, n) and (target, intercept), both from one pass over
+    the entries that the vectors store.  ``scale`` shrinks the slopes; slopes and means are
+    rounded to 1 / ``digits``.  A position that never varies has slope 0.
+    """
+    names = list(targets)
+    y = {t: f"_y{k}" for k, t in enumerate(names)}
+    d = df.select(features, *[c.cast("double").alias(y[t]) for t, c in targets.items()])
+    e = active_positions(d, list(y.values()), features)
+    sums = e.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("_x"), F.sum(F.col("x") * F.col("x")).alias("_xx"),
+                                     *[F.sum(F.col("x") * F.col(c)).alias(f"_x{c}") for c in y.values()])
+    n_rows = d.select(F.count(F.lit(1)).cast("double")).scalar()
+    y_mean = {t: d.select(F.avg(c)).scalar() for t, c in y.items()}
+    sums = cut_lineage(sums, "marginals")
+
+    def rounded_at(c: Column) -> Column:
+        return F.floor(c * digits + 0.5) / digits
+
+    mean = F.col("_x") / n_rows
+    var = F.col("_xx") / n_rows - mean * mean
+    rows = F.array(*[F.struct(F.lit(t).alias("target"), F.when(F.col("_var") > 1e-12, (F.col(f"_x{y[t]}") / n_rows - F.col("_mean") * y_mean[t]) / F.col("_var"))
+                              .otherwise(F.lit(0.0)).alias("slope")) for t in names])
+    long = sums.withColumns({"_mean": mean, "_var": var}).select("position", "n", rounded_at(F.col("_mean")).alias("mean"), F.explode(rows).alias("t"))
+    coefs = cut_lineage(long.select("position", F.col("t.target").alias("target"), rounded_at(F.lit(scale) * F.col("t.slope")).alias("coef"), "mean", "n"), "coefs")
+    own = F.lit(None).cast("double")
+    for t in names:
+        own = F.when(F.col("target") == t, y_mean[t]).otherwise(own)
+    shift = coefs.groupBy("target").agg(F.sum(F.col("coef") * F.col("mean")).alias("_s"))
+    return coefs, cut_lineage(shift.select("target", rounded_at(own - F.col("_s")).alias("intercept")), "intercepts")
+
+
+def position_contributions(df: DataFrame, keys: Sequence[str], coefs: DataFrame, features: str = "features") -> DataFrame:
+    """(keys..., target, position, shap_value) of a linear model at the entries that the
+    vectors store: coef * x.  ``coefs`` is (position, target, coef, mean, n)."""
+    by_position = coefs.groupBy("position").agg(F.first("n").alias("n"), F.collect_list(F.struct("target", "coef")).alias("_c"))  # a struct per target
+    e = lookup.attach(active_positions(df, keys, features), cut_lineage(by_position, "coefs-by-position"), ["position"], "n", how="inner")
+    return (e.select(*keys, "position", "x", F.explode("_c").alias("_c"))
+            .select(*keys, F.col("_c.target").alias("target"), "position", (F.col("_c.coef") * F.col("x")).alias("shap_value")))
+
+
+def sum_positions(contrib: DataFrame, keys: Sequence[str], position_map: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Contributions by position summed to (keys..., target, variable).
+
+    ``counts`` (position, n) says how many rows each position has, up to a factor; it is counted if not given.
+    """
+    counts = counts if counts is not None else lookup.key_counts(contrib, ["position"], "n")
+    named = cut_lineage(position_map.select("position", "variable").join(counts, "position"), "positions")
+    return (lookup.attach(contrib, named, ["position"], "n", how="inner")
+            .groupBy(*keys, "target", "variable").agg(F.sum("shap_value").alias("shap_value")))
+
+
+def linear_contributions_onehot(df: DataFrame, key: str, coefs: DataFrame, intercepts: DataFrame, position_map: DataFrame,
+                                metr: Sequence[str], cate: Sequence[str], features: str = "features") -> DataFrame:
+    """Contributions (key, target, variable, shap_value, variable_value, variable_level) of a linear model
+    over sparse vectors, one row per variable and one for the intercept.
+
+    A variable's contribution is the sum of coef * (x - mean x) over its positions.  Only the stored entries are
+    exploded; what the many empty positions of a one-hot variable contribute, minus the
+    sum of coef * mean, is one number per variable and target.  Those numbers are
+    attached to the row's own values, so a row has all its variables whether stored or not.
+    """
+    means = coefs.join(position_map.select("position", "variable"), "position")
+    base = means.groupBy("target", "variable").agg(F.sum(F.col("coef") * F.col("mean")).alias("_base"))
+    icpt = (intercepts.join(base.groupBy("target").agg(F.sum("_base").alias("_all")), "target", "left")
+            .select("target", F.lit("intercept").alias("variable"), (F.col("intercept") + F.coalesce("_all", F.lit(0.0))).alias("_base")))
+    base = F.broadcast(base.withColumn("_base", -F.col("_base")).unionByName(icpt))  # a row per variable and target
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    own = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("variable_value"), text.alias("variable_level")) for c in metr]
+    own += [F.struct(F.lit(c).alias("variable"), none.alias("variable_value"), F.col(c).cast("string").alias("variable_level")) for c in cate]
+    own.append(F.struct(F.lit("intercept").alias("variable"), none.alias("variable_value"), text.alias("variable_level")))
+    rows = df.select(key, F.explode(F.array(*own)).alias("_v")).select(key, "_v.*").join(base, "variable").withColumnRenamed("_base", "shap_value")
+    found = sum_positions(position_contributions(df, [key], coefs, features), [key], position_map, coefs.select("position", "n").distinct())
+    found = found.withColumns({"variable_value": none, "variable_level": text})
+    return (rows.unionByName(found, allowMissingColumns=True).groupBy(key, "target", "variable")
+            .agg(F.sum("shap_value").alias("shap_value"), F.max("variable_value").alias("variable_value"), F.max("variable_level").alias("variable_level")))
+
+
+def prior_ratio(shares: DataFrame, cls: str = "class") -> dict[str, float]:
+    """X11 for one row at a time: b_all / b_sample by class (a row per class)."""
+    return {str(r[cls]): r["r"] for r in shares.select(cls, (F.col("b_all") / F.col("b_sample")).alias("r")).collect()}
+
+
+def rescaled_logit(score: str | Column, prior: Mapping[str, float] | None, positive: str = "1", negative: str = "0") -> Column:
+    """Logistic link, with the class shares before undersampling if given."""
+    p = inv_logit(score)
+    if not prior:
+        return p
+    up, down = p * F.lit(float(prior[positive])), (1 - p) * F.lit(float(prior[negative]))
+    return up / (up + down)
+
+
+def rescaled_softmax(scores: Mapping[str, Column], prior: Mapping[str, float] | None) -> dict[str, Column]:
+    """Softmax over the targets' scores, with the class shares before undersampling if given;
+    shifted, so no score overflows."""
+    top = F.greatest(*[F.coalesce(s, F.lit(float("-inf"))) for s in scores.values()]) if len(scores) > 1 else next(iter(scores.values()))
+    nom = {t: F.exp(s - top) * F.lit(float(prior[t]) if prior else 1.0) for t, s in scores.items()}
+    den = None
+    for n in nom.values():
+        den = n if den is None else den + n
+    return {t: n / den for t, n in nom.items()}
+
+
+def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Mapping[str, float] | None = None) -> DataFrame:
     """Sort each (row, target) ledger intercept first, then by |value|
     (ties by variable); cumulative value, rank and the prediction after each
     step.  REGR: yhat = cumulative value; CLASS: inv_logit of it;
     MULTICLASS: softmax over targets of every target's cumulative value taken
     in this target's order (J15: other targets' values at the same (row,
     variable) come from a pivot, not one self-join per class).
+
+    ``prior`` (``prior_ratio``) rescales the probabilities of an undersampled fit; CLASS
+    names its classes "1" and "0".
     """
     d = contrib.withColumns({
         "flag_intercept": (F.col("variable") == "intercept").cast("int"),
@@ -61,19 +172,15 @@ def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR",
     if target_type == "REGR":
         return d.withColumn("yhat", F.col("shap_value_cum"))
     if target_type == "CLASS":
-        return d.withColumn("yhat", inv_logit("shap_value_cum"))
+        return d.withColumn("yhat", rescaled_logit("shap_value_cum", prior))
     targets = [r[0] for r in contrib.select("target").distinct().orderBy("target").collect()]  # class list
     wide = (contrib.groupBy(row_id, "variable").pivot("target", targets).agg(F.first("shap_value"))
             .withColumnsRenamed({t: f"_sv_{t}" for t in targets}))
     d = d.join(wide, [row_id, "variable"], "left")
-    top = F.greatest(*[F.coalesce(F.sum(f"_sv_{t}").over(run), F.lit(float("-inf"))) for t in targets]) if len(targets) > 1 else F.sum(f"_sv_{targets[0]}").over(run)
-    nom = {t: F.exp(F.sum(f"_sv_{t}").over(run) - top) for t in targets}  # shifted, so no score overflows
-    den = None
-    for t in targets:
-        den = nom[t] if den is None else den + nom[t]
+    each = rescaled_softmax({t: F.sum(f"_sv_{t}").over(run) for t in targets}, prior)
     own = F.lit(None).cast("double")
     for t in targets:
-        own = F.when(F.col("target") == t, nom[t] / den).otherwise(own)
+        own = F.when(F.col("target") == t, each[t]).otherwise(own)
     return d.withColumn("yhat", own).drop(*[f"_sv_{t}" for t in targets])
 
 

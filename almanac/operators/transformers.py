@@ -13,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanac.functions.columns import clip, zfill
 from almanac.operators.sampling import hash_order
+from almanac.operators import lookup
 from almanac.operators import ordered as od
 from almanac.operators.stats import long_form
 from almanac.session import cut_lineage
@@ -406,41 +408,60 @@ def random_impute(df: DataFrame, feature: str, key: str, seed: int = 0,
 class SparseMatrixBuilder(_Est):
     """Metrics first, then one column per reference level of each
     categorical feature (alphabetical level order; Spark has no row order
-    for "first appearance").  Unknown levels raise, as in the reference."""
+    for "first appearance").  Unknown levels and nulls raise, as in the reference.
+
+    The levels are a table from the first to the last step: counted, numbered across
+    tasks, written once, and joined to the rows by level.  The driver holds the
+    number of positions and nothing that grows with the levels.
+    """
 
     def __init__(self, metr: Sequence[str], cate: Sequence[str], output: str = "features"):
         super().__init__()
         self.metr, self.cate, self.output = list(metr), list(cate), output
 
     def _fit(self, df: DataFrame) -> "SparseMatrixModel":
-        idx = [StringIndexer(inputCol=c, outputCol=f"_{c}_idx", handleInvalid="error",
-                             stringOrderType="alphabetAsc").fit(df) for c in self.cate]
-        return SparseMatrixModel(self, idx)
+        if not self.cate:
+            none = df.sparkSession.createDataFrame([], "position int, variable string, value string, n long")
+            return SparseMatrixModel(self, none, len(self.metr))
+        lf = long_form(df, self.cate, "string").where(F.col("value").isNotNull())
+        levels = lf.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
+        feature = F.array_position(F.array(*map(F.lit, self.cate)), F.col("variable"))
+        numbered = od.global_row_number(levels, [feature, F.col("value")], out="position")
+        levels = cut_lineage(numbered.select((F.col("position") - 1 + len(self.metr)).cast("int").alias("position"), "variable", "value", "n"), "levels")
+        return SparseMatrixModel(self, levels, len(self.metr) + levels.count())
 
 
 class SparseMatrixModel(_Mod):
-    def __init__(self, est: SparseMatrixBuilder, indexers):
+    def __init__(self, est: SparseMatrixBuilder, levels: DataFrame, size: int):
         super().__init__()
-        self.est, self.indexers = est, indexers
+        self.est, self.levels, self.size = est, levels, size
 
-    def position_map(self, spark) -> DataFrame:
-        rows = [(m, None) for m in self.est.metr]
-        for c, ix in zip(self.est.cate, self.indexers):
-            rows += [(c, lv) for lv in ix.labels]
-        return spark.createDataFrame([(i, v, lv) for i, (v, lv) in enumerate(rows)],
-                                     "position int, variable string, value string")
+    def position_map(self) -> DataFrame:
+        """(position, variable, value): the metrics, without a value, and every level."""
+        spark = self.levels.sparkSession
+        metr = spark.createDataFrame(list(enumerate(self.est.metr)), "position int, variable string")
+        return metr.withColumn("value", F.lit(None).cast("string")).unionByName(self.levels.select("position", "variable", "value"))
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        """The rows with a sparse vector; they are written once, as a vector's parts, and read as vectors."""
         out = df
-        for ix in self.indexers:
-            out = ix.transform(out)
-        oh = OneHotEncoder(inputCols=[f"_{c}_idx" for c in self.est.cate],
-                           outputCols=[f"_{c}_oh" for c in self.est.cate], dropLast=False)
-        out = oh.fit(out).transform(out)
-        va = VectorAssembler(inputCols=self.est.metr + [f"_{c}_oh" for c in self.est.cate],
-                             outputCol=self.est.output, handleInvalid="keep")
-        out = va.transform(out)
-        return out.drop(*[f"_{c}_idx" for c in self.est.cate], *[f"_{c}_oh" for c in self.est.cate])
+        for c in self.est.cate:
+            own = self.levels.where(F.col("variable") == c).select(F.col("value").alias("_level"), F.col("position").alias(f"_at_{c}"), "n")
+            out = lookup.attach(out.withColumn("_level", F.col(c).cast("string")), own, ["_level"], "n").drop("_level")
+        metr = [F.struct(F.lit(k).alias("i"), F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias("x")) for k, c in enumerate(self.est.metr)]
+        unknown = lambda c: F.raise_error(F.concat(F.lit(f"{c}: level not in the reference data: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int")
+        cate = [F.struct(F.coalesce(F.col(f"_at_{c}"), unknown(c)).alias("i"), F.lit(1.0).alias("x")) for c in self.est.cate]
+        entries = F.filter(F.array(*metr, *cate), lambda e: e["x"] != 0.0)
+        vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"),
+                          F.transform("_entries", lambda e: e["i"]).alias("indices"), F.transform("_entries", lambda e: e["x"]).alias("values"))
+        out = out.withColumn("_entries", entries).select(*df.columns, vector.alias(self.est.output))
+        return cut_lineage(out, "sparse", schema=T.StructType([*df.schema.fields, T.StructField(self.est.output, VectorUDT())]))
+
+
+def active_positions(df: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
+    """(keys..., position, x) of the entries that a sparse vector stores; nothing is made dense."""
+    u = F.unwrap_udt(features)
+    return df.select(*keys, F.explode(F.arrays_zip(u["indices"].alias("position"), u["values"].alias("x"))).alias("_e")).select(*keys, "_e.position", "_e.x")
 
 
 # ---------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -210,10 +209,24 @@ def sparse_matrix_map(spark, sf_dir):
     p = read_table(spark, sf_dir, "part", ["p_size", "p_retailprice", "p_type"]).withColumn(
         "size_band", F.when(F.col("p_size") <= 25, "S").otherwise("L"))
     m = tf.SparseMatrixBuilder(SM_METR, SM_CATE).fit(p)
-    x = m.transform(p)
-    nz = (x.select(F.posexplode(vector_to_array("features")).alias("position", "v"))
-          .where(F.col("v") != 0).groupBy("position").agg(F.count(F.lit(1)).alias("nnz")))
-    return m.position_map(spark).join(nz, "position", "left").fillna(0, ["nnz"])
+    nz = tf.active_positions(m.transform(p), []).groupBy("position").agg(F.count(F.lit(1)).alias("nnz"))
+    return m.position_map().join(nz, "position", "left").fillna(0, ["nnz"])
+
+
+@register("sparse_matrix_keys", sql="""
+WITH m AS (
+  SELECT 0 AS grp, 'o_totalprice' AS variable, CAST(NULL AS VARCHAR) AS value, count(*) FILTER (o_totalprice <> 0) AS nnz FROM orders
+  UNION ALL SELECT 1, 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority
+  UNION ALL SELECT 2, 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM orders GROUP BY o_custkey
+)
+SELECT CAST(row_number() OVER (ORDER BY grp, value) - 1 AS INTEGER) AS position, variable, value, nnz FROM m
+""")
+def sparse_matrix_keys(spark, sf_dir):
+    """One-hot vectors with a feature whose levels grow with the data: the levels stay a table."""
+    o = read_table(spark, sf_dir, "orders", ["o_totalprice", "o_orderpriority", "o_custkey"])
+    m = tf.SparseMatrixBuilder(["o_totalprice"], ["o_orderpriority", "o_custkey"]).fit(o)
+    nz = tf.active_positions(m.transform(o), []).groupBy("position").agg(F.count(F.lit(1)).alias("nnz"))
+    return m.position_map().join(nz, "position", "left").fillna(0, ["nnz"])
 
 
 # --- group_derive: X10, W8 --------------------------------------------------

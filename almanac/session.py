@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings the operators rely on.  AQE re-plans joins and coalesces shuffle
 # partitions at run time; skew-join splitting handles a hot key on either side.
@@ -65,16 +66,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cdir
 
 
-def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str | None = None, schema: StructType | None = None) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and read it back.
 
     Used between long stages (panel -> features -> models) so that a lost
     executor recomputes from the written table, not from the raw scan.  The
     parquet copy keeps column statistics, so later scans still prune and push
-    filters down.
+    filters down.  ``schema`` reads the table as other types that are stored alike
+    (a struct of a vector's parts as vectors).
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name or 'stage'}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
