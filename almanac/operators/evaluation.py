@@ -11,13 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.columns import cut
+from almanac.operators import lookup
 from almanac.operators import ordered as od
 from almanac.operators import stats as st
 from almanac.operators.transformers import QuantileBinner, bins_by_edges
+from almanac.session import cut_lineage
 
 # Sklearn 0.22 calibration edges are linspace(0, 1 + 1e-8, n + 1),
 # digitised left-closed; quantile edges get 1e-8 added to the last one.
@@ -136,7 +138,11 @@ def calibration_quantile(df: DataFrame, y: str, p: str, n_bins: int = 10, by: Se
     q = od.exact_quantiles(df, p, probs, by=by)
     edges = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("prob", "quantile"))).alias("_e")) \
         .select(*by, F.transform("_e", lambda s: s["quantile"]).alias("_edges"))
-    d = df.join(edges, list(by)) if by else df.withColumn("_edges", edges.select("_edges").scalar())
+    if by:
+        edges = cut_lineage(edges.join(lookup.key_counts(df, list(by)), list(by)), "edges")
+        d = lookup.attach(df, edges, list(by), "_count", how="inner")
+    else:
+        d = df.withColumn("_edges", edges.select("_edges").scalar())
     inner = F.slice(F.col("_edges"), 2, n_bins - 1)
     b = F.size(F.filter(inner, lambda e: e <= F.col(p)))
     return (d.groupBy(*by, b.alias("bin"))
@@ -162,6 +168,14 @@ def residual_table(df: DataFrame, y: str, yhat: str, n_bins: int = 10) -> DataFr
                                 F.avg(F.abs(res)).alias("abs_resid_mean"), F.count(F.lit(1)).alias("n"))
 
 
+def class_residuals(probs: DataFrame, y: str, cls: str = "class", p: str = "p") -> DataFrame:
+    """E11 for classes: one row per row, the residual 1 - p(true class) (0 and more, so also its absolute value).
+
+    ``probs`` is the long (row, class, p) table with the true class ``y``: the row of the true class is
+    picked where it stands, no join."""
+    return probs.where(F.col(cls) == F.col(y)).withColumn("residual", 1 - F.col(p))
+
+
 # ---------------------------------------------------------------------------
 # Univariate importance
 # ---------------------------------------------------------------------------
@@ -180,7 +194,7 @@ def level_long(df: DataFrame, features: Sequence[str], target: str, n_bins: int
         lf = st.long_form(df, metr, keys=[target])
         q = od.exact_quantiles(lf, "value", probs, by=["variable"])
         edges = q.groupBy("variable").agg(F.array_sort(F.collect_set("quantile")).alias("_edges"))
-        lf = lf.join(edges, "variable")
+        lf = lf.join(F.broadcast(edges), "variable")  # a row per feature
         parts.append(lf.select("variable", F.coalesce(bins_by_edges(F.col("value"), F.col("_edges")),
                                                       F.lit(MISSING)).alias("level"), target))
     if cate:
@@ -258,17 +272,18 @@ def importance_regression(df: DataFrame, features: Sequence[str], target: str) -
 # Importance table
 # ---------------------------------------------------------------------------
 def importance_table(imp: DataFrame, score: str = "importance", top_n: int | None = None) -> DataFrame:
-    """Scale to 100 (max), cumulative share in descending order, band
-    (low <= 10 < medium <= 50 < high) and a top-n mask.  The table has one
+    """Scale to 100 (max), share of the total and cumulative share in descending order, both
+    in percent, band (low <= 10 < medium <= 50 < high) and a top-n mask.  The table has one
     row per feature, so its ordering window is over a bounded set.  If no feature
-    has any importance, all scale to 0 and the cumulative share is null."""
+    has any importance, all scale to 0 and the shares are null."""
     kind = dict(imp.dtypes)[score]
     mx = imp.select(F.max(score)).scalar()
     tot = imp.select(F.sum(score)).scalar()
     w = Window.orderBy(F.col(score).desc(), F.col("variable")).rowsBetween(Window.unboundedPreceding, 0)
     out = imp.withColumns({
         "importance_scaled": F.coalesce(100 * F.col(score) / F.nullif(mx, F.lit(0).cast(kind)), F.lit(0.0)),
-        "importance_cum": F.sum(score).over(w) / F.nullif(tot, F.lit(0).cast(kind)),
+        "importance_cum": 100 * F.sum(score).over(w) / F.nullif(tot, F.lit(0).cast(kind)),
+        "importance_sumnormed": 100 * F.col(score) / F.nullif(tot, F.lit(0).cast(kind)),
         "rank": F.row_number().over(Window.orderBy(F.col(score).desc(), F.col("variable"))),
     })
     out = out.withColumn("band", cut(F.col("importance_scaled"), [-1e-9, 10, 50, 100.0 + 1e-9],
@@ -278,6 +293,12 @@ def importance_table(imp: DataFrame, score: str = "importance", top_n: int | Non
     return out
 
 
+def top_rows(df: DataFrame, table: DataFrame, variable: str = "variable") -> DataFrame:
+    """T4: the rows of ``df`` whose variable is in the top-n mask of ``importance_table``, by a semi join."""
+    kept = table.where(F.col("top") == 1).select("variable")  # n rows
+    return df.join(F.broadcast(kept), df[variable] == kept["variable"], "left_semi")
+
+
 # ---------------------------------------------------------------------------
 # Forecast summaries
 # ---------------------------------------------------------------------------

@@ -1,24 +1,23 @@
 """Hierarchical aggregation and the weighted, scaled error.
 
-The reference loops over 12 aggregation levels, scanning the panel once per
-level and concatenating the results.  Here one ``GROUPING SETS`` aggregate
-(a single ``Expand`` + hash aggregate, with map-side partial aggregation)
-produces all 12 levels in one pass; each output row is tagged with its level
-number from the per-column ``grouping()`` bits.
+Looping over 12 aggregation levels would scan the panel 12 times, and grouping
+sets copy every row 12 times before they add anything up.  Here the levels form a
+lattice: the finest one is added up from the rows, every other one from the
+smallest finer level, so all but the first step work on node tables.
 
 Dimensions absent from a level are null in its rows, so tables keyed by
 (level, dims) are joined with null-safe equality (J4).  That join is between
 two aggregates whose size is the number of hierarchy nodes (not the number of
 rows), and still plans as a hash join.
 
-Skew: a level-1 (total) group receives every row, but grouping-sets
-aggregation is algebraic (sum/count) and pre-aggregated per task before the
-shuffle, so each task ships at most one partial row per node.
+Skew: sums are combined in each task before the shuffle, and the total is
+added up from the few rows of the level below it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,32 +35,50 @@ LEVELS = {
 DIMS = ["state_id", "store_id", "cat_id", "dept_id", "item_id"]
 
 
-def level_tag(levels: dict[int, list[str]] = LEVELS, dims: Sequence[str] = DIMS) -> Column:
-    """Level number from the ``grouping()`` bit of each dimension.
+#: What each dimension decides: a row's item has one department, a store one state.
+IMPLIED = {"item_id": ["dept_id", "cat_id"], "dept_id": ["cat_id"], "store_id": ["state_id"]}
 
-    Built from explicit per-column bits rather than ``grouping_id()`` values,
-    whose bit order follows the column order of the query.
-    """
-    tag = F.lit(None).cast("int")
-    for lvl, used in levels.items():
-        cond = F.lit(True)
-        for d in dims:
-            cond = cond & (F.grouping(d) == (0 if d in used else 1))
-        tag = F.when(cond, F.lit(lvl)).otherwise(tag)
-    return tag
+
+def closure(dims: Sequence[str], implied: Mapping[str, Sequence[str]] = IMPLIED) -> set[str]:
+    """The dimensions and all that they decide."""
+    return set(dims).union(*[implied.get(d, ()) for d in dims])
+
+
+def finer_level(level: int, levels: Mapping[int, list[str]] = LEVELS, implied: Mapping[str, Sequence[str]] = IMPLIED) -> int | None:
+    """The coarsest other level that decides all of this level's dimensions: the one with the fewest
+    dimensions decided, then the largest of them left over last (None: only the rows themselves)."""
+    own = closure(levels[level], implied)
+    finer = [m for m in levels if m != level and own < closure(levels[m], implied)]
+    return min(finer, key=lambda m: (len(closure(levels[m], implied)), m)) if finer else None
 
 
-def level_aggregate(df: DataFrame, aggs: Sequence[Column], extra_keys: Sequence[str] = (),
-                    levels: dict[int, list[str]] = LEVELS, dims: Sequence[str] = DIMS) -> DataFrame:
-    """A4: one aggregate at every level, in a single grouping-sets pass.
+def level_aggregate(df: DataFrame, sums: Mapping[str, Column], extra_keys: Sequence[str] = (), levels: Mapping[int, list[str]] = LEVELS,
+                    dims: Sequence[str] = DIMS, implied: Mapping[str, Sequence[str]] = IMPLIED) -> DataFrame:
+    """A4: sums at every level, each level added up from the smallest finer one.
 
-    ``extra_keys`` (e.g. ``date``) are added to every grouping set.  Output:
-    level, dims (null outside the level), extra keys, aggregates.
+    Only the finest level reads the rows; a level with few nodes reads a table with a few more, so the
+    rows are not copied per level.  ``sums`` are aggregates that add up (sums and counts);
+    ``extra_keys`` (e.g. ``date``) belong to every level.  The dimensions must form a hierarchy as
+    ``implied`` says.  Output: level, dims (null outside the level), extra keys, sums.
     """
-    sets = [[*used, *extra_keys] for used in levels.values()]
-    out = df.groupingSets(sets, *dims, *extra_keys).agg(*aggs, level_tag(levels, dims).alias("level"))
-    return out.select("level", *dims, *extra_keys, *[c for c in out.columns
-                                                     if c not in ("level", *dims, *extra_keys)])
+    done: dict[int, DataFrame] = {}
+
+    def table(level: int) -> DataFrame:
+        if level not in done:
+            source = finer_level(level, levels, implied)
+            keys = [d for d in dims if d in closure(levels[level], implied)] + list(extra_keys)
+            if source is None:
+                done[level] = df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+            else:
+                done[level] = table(source).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+        return done[level]
+
+    types = dict(df.dtypes)
+    parts = []
+    for level, used in levels.items():
+        own = [F.col(d) if d in used else F.lit(None).cast(types[d]).alias(d) for d in dims]
+        parts.append(table(level).select(F.lit(level).alias("level"), *own, *extra_keys, *sums))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -90,21 +107,20 @@ def level_sales_weight(panel: DataFrame, where: Column | None = None) -> DataFra
     src = panel.where(where if where is not None else F.col("myfold") == "test")
     total = src.select(F.sum("sales")).scalar()
     nlev = len(LEVELS)
-    return (level_aggregate(src, [F.coalesce(F.sum("sales"), F.lit(0.0)).alias("sales")])
-            .withColumn("sales", F.col("sales") / F.nullif(F.lit(float(nlev)) * total, F.lit(0.0))))
+    return (level_aggregate(src, {"sales": F.sum("sales")})
+            .withColumn("sales", F.coalesce("sales", F.lit(0.0)) / F.nullif(F.lit(float(nlev)) * total, F.lit(0.0))))
 
 
 def level_rmse(df: DataFrame, y: str, yhat: str, out: str = "rmse",
                date_col: str = "date") -> DataFrame:
     """Two-stage level error.
 
-    Stage 1 sums y and yhat per (node, date) with grouping sets (all-null sums
+    Stage 1 sums y and yhat per (node, date) up the hierarchy (all-null sums
     count as 0, as in pandas); stage 2 takes the RMSE over dates per node.
     """
-    daily = level_aggregate(df, [F.coalesce(F.sum(y), F.lit(0.0)).alias("_y"),
-                                 F.coalesce(F.sum(yhat), F.lit(0.0)).alias("_yhat")],
-                            extra_keys=[date_col])
-    return daily.groupBy("level", *DIMS).agg(rmse("_y", "_yhat").alias(out))
+    daily = level_aggregate(df, {"_y": F.sum(y), "_yhat": F.sum(yhat)}, extra_keys=[date_col])
+    zero = F.lit(0.0)
+    return daily.groupBy("level", *DIMS).agg(rmse(F.coalesce("_y", zero), F.coalesce("_yhat", zero)).alias(out))
 
 
 def level_rmse_denom(panel: DataFrame) -> DataFrame:

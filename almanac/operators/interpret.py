@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from almanac.functions.columns import inv_logit, isclose
 from almanac.operators import lookup
+from almanac.operators import ordered as od
+from almanac.operators.modeling import Scorer
+from almanac.operators.sampling import hash_order
 from almanac.operators.transformers import active_positions
 from almanac.session import cut_lineage
 
@@ -194,51 +197,97 @@ def ledger_check(led: DataFrame, pred: DataFrame, row_id: str, yhat: str = "p")
                                    F.sum((~isclose("yhat", yhat)).cast("int")).alias("n_mismatch"))
 
 
+def linear_scores(df: DataFrame, coefs: DataFrame, intercepts: DataFrame, position_map: DataFrame, metr: Sequence[str], cate: Sequence[str],
+                  out: str = "_score") -> tuple[DataFrame, list[str]]:
+    """``df`` with a score column per target of a linear model over one-hot features, and the targets:
+    the rows keep their place, each categorical feature looks up its level's coefficients."""
+    bias = {r["target"]: r["intercept"] for r in intercepts.orderBy("target").collect()}  # a row per target
+    named = coefs.join(position_map, "position")
+    slope = {(r["variable"], r["target"]): r["coef"] for r in named.where(F.col("value").isNull()).collect()}  # metrics x targets
+    for c in cate:
+        own = (named.where((F.col("variable") == c) & F.col("value").isNotNull()).groupBy(F.col("value").alias("_level"))
+               .agg(F.first("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("target", "coef"))).alias(f"_c_{c}")))
+        df = lookup.attach(df.withColumn("_level", F.col(c).cast("string")), cut_lineage(own, "level-coefs"), ["_level"], "_n").drop("_level")
+    scores = {}
+    for t, b in bias.items():
+        s = F.lit(b)
+        for m in metr:
+            s = s + F.lit(slope.get((m, t), 0.0)) * F.col(m)
+        for c in cate:
+            s = s + F.col(f"_c_{c}")[t]
+        scores[f"{out}_{t}"] = s
+    return df.withColumns(scores).drop(*[f"_c_{c}" for c in cate]), list(bias)
+
+
 # ---------------------------------------------------------------------------
 # Permutation importance; E16: partial dependence
 # ---------------------------------------------------------------------------
+# ``predict`` takes a frame with the features (and other columns, which it keeps) and adds
+# ``yhat``: a number, or for MULTICLASS an array of class probabilities.
+Predict = Callable[[DataFrame], DataFrame]
+ORIGINAL = ""  # the variant without a permuted feature
+
+
+def shared_permutation(df: DataFrame, key: str, features: Sequence[str], seed: int = 42) -> DataFrame:
+    """Every row with, beside its own features, ``_perm_<feature>`` of the row that takes its
+    place in one permutation, the same for all features: the row at position i in key order gets
+    the values of the row at position i in hash order.
+
+    Both positions are distributed row numbers; rows with equal keys are told apart by their other columns, and the
+    two tables meet once, on the position.
+    """
+    rest = [c for c in df.columns if c != key]
+    own = od.global_row_number(df, [F.col(key), *map(F.col, rest)], out="_pos")
+    moved = df.withColumn("_h", hash_order([key], seed))
+    moved = od.global_row_number(moved, [F.col("_h"), F.col(key), *map(F.col, rest)], out="_pos")
+    return own.join(moved.select("_pos", *[F.col(f).alias(f"_perm_{f}") for f in features]), "_pos").drop("_pos")
+
+
 def permute_column(df: DataFrame, col: str, key: str, seed: int = 42) -> DataFrame:
-    """One shared permutation: the value of ``col`` moves from the row at
-    position i in hash order to the row at position i in key order.
+    """``shared_permutation`` of one column, in its place."""
+    moved = shared_permutation(df.select(key, *[c for c in df.columns if c != key]), key, [col], seed)
+    return moved.withColumn(col, F.col(f"_perm_{col}")).select(df.columns)
+
+
+def permutation_importance(df: DataFrame, features: Sequence[str], key: str, y: str, predict: Predict, scorer: Scorer, seed: int = 42) -> DataFrame:
+    """(variable, score_orig, importance): what the score loses when a feature's values are
+    permuted, floored at 0.
 
-    Positions are distributed row numbers over (key, value) and over (hash, key,
-    value), so repeated keys and equal hashes get positions of their own and
-    every row receives exactly one value; the two tables meet on the position.
+    The permuted rows are written once; each row then stands for its original and for one variant per
+    feature, all variants are predicted as one frame and scored in one pass.
     """
-    from almanac.operators import ordered as od
-    from almanac.operators.sampling import hash_order
-    dst = od.global_row_number(df, [F.col(key), F.col(col)], out="_pos")
-    moved = df.select(key, col).withColumn("_h", hash_order([key], seed))
-    src = od.global_row_number(moved, [F.col("_h"), F.col(key), F.col(col)], out="_pos").select("_pos", F.col(col).alias("_perm"))
-    return dst.join(src, "_pos").drop("_pos", col).withColumnRenamed("_perm", col).select(df.columns)
-
-
-def permutation_importance(df: DataFrame, features: Sequence[str], key: str,
-                           score_fn: Callable[[DataFrame], float], seed: int = 42,
-                           greater_is_better: bool = True) -> list[tuple[str, float, float]]:
-    """Score drop per permuted feature, floored at 0.  One Spark job per
-    feature (the reference's one process per feature); returns
-    (feature, score_orig, perf_diff) rows for ``importance_table``."""
-    orig = score_fn(df)
-    out = []
-    for f in features:
-        s = score_fn(permute_column(df, f, key, seed))
-        diff = (orig - s) if greater_is_better else (s - orig)
-        out.append((f, float(orig), max(0.0, float(diff))))
-    return out
-
-
-def partial_dependence(df: DataFrame, feature: str, grid: DataFrame, predict: Callable[[DataFrame], DataFrame],
-                       pred_col: str = "prediction") -> DataFrame:
-    """Overwrite ``feature`` with each grid value, score, mean prediction.
-
-    The grid is one small table per feature (deciles or levels, <= ~10
-    rows) and is attached with an explode of a collected value list, so the
-    expansion factor is the grid size and is known up front.
+    base = cut_lineage(shared_permutation(df.select(key, y, *features), key, features, seed), "permuted")
+    variants = [F.struct(F.lit(v).alias("_variant"), *[F.col(f"_perm_{f}" if f == v else f).alias(f) for f in features]) for v in (ORIGINAL, *features)]
+    long = base.select(key, y, F.explode(F.array(*variants)).alias("_v")).select(key, y, "_v.*")
+    scores = cut_lineage(scorer.fn(predict(long), y, "yhat", ["_variant"]).select("_variant", "value"), "variant-scores")  # a row per feature
+    orig = scores.where(F.col("_variant") == ORIGINAL).select("value").scalar()
+    loss = orig - F.col("value") if scorer.greater_is_better else F.col("value") - orig
+    return (scores.where(F.col("_variant") != ORIGINAL)
+            .select(F.col("_variant").alias("variable"), orig.alias("score_orig"), F.greatest(F.lit(0.0), loss).alias("importance")))
+
+
+def dependence_grid(df: DataFrame, feature: str, quantiles: Sequence[float] | None = None) -> DataFrame:
+    """(value): exact quantiles of a metric, or with ``quantiles`` None the levels of a feature."""
+    if quantiles is None:
+        return df.select(F.col(feature).alias("value")).dropna().distinct()
+    return od.exact_quantiles(df, feature, quantiles).select(F.col("quantile").alias("value")).distinct()
+
+
+def partial_dependence(df: DataFrame, feature: str, others: Sequence[str], grid: DataFrame, predict: Predict, classes: Sequence[str] | None = None) -> DataFrame:
+    """(feature, value, target, yhat_mean): the mean prediction with ``feature`` set to each value of ``grid``.
+
+    The mean over all rows needs each combination of the other features only once, weighted by its rows:
+    those are counted first (in each task, before the shuffle), and the copies made for the grid are of
+    combinations, not of rows.  Numbers are returned as text in ``value``.  With ``classes``, ``yhat`` is an array
+    and each class a target.
     """
-    values = [r[0] for r in grid.collect()]   # bounded grid (<= n_bins + 1 values)
-    arr = F.array(*[F.lit(v) for v in values])
-    x = df.withColumn("_grid", F.explode(arr)).withColumn(feature, F.col("_grid"))
-    scored = predict(x)
-    return scored.groupBy(F.col("_grid").alias("value")).agg(F.avg(pred_col).alias("yhat_mean")) \
-        .withColumn("feature", F.lit(feature))
+    distinct = df.groupBy(*others).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    values = grid.agg(F.array_sort(F.collect_list("value"))).scalar()  # quantiles, or the levels of one feature
+    pred = predict(distinct.withColumn(feature, F.explode(values)))
+    if classes is None:
+        pred = pred.select(feature, "_w", F.lit("target").alias("target"), F.col("yhat").alias("_p"))
+    else:
+        each = F.explode(F.arrays_zip(F.array(*map(F.lit, classes)).alias("target"), F.col("yhat").alias("_p")))
+        pred = pred.select(feature, "_w", each.alias("_e")).select(feature, "_w", "_e.target", "_e._p")
+    return (pred.groupBy(feature, "target").agg((F.sum(F.col("_w") * F.col("_p")) / F.sum("_w")).alias("yhat_mean"))
+            .select(F.lit(feature).alias("feature"), F.col(feature).cast("string").alias("value"), "target", "yhat_mean"))

@@ -8,53 +8,104 @@ frame, never a driver-side loop over rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.columns import inv_logit
+from almanac.operators import lookup
+from almanac.operators import ordered as od
 from almanac.operators import stats as st
+from almanac.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Metric registry
 # ---------------------------------------------------------------------------
+# A scorer reads a frame of (y, yhat): a number for REGR, the probability of class 1 for
+# CLASS, and for MULTICLASS the class index and an array of class probabilities.  ``by``
+# columns score many tables stacked into one frame in the same pass.
 @dataclass(frozen=True)
 class Scorer:
     name: str
-    fn: Callable[[DataFrame, str, str], float]
+    fn: Callable[..., DataFrame]  # (df, y, yhat, by) -> (by..., value)
     greater_is_better: bool
 
+    def value(self, df: DataFrame, y: str, yhat: str) -> float | None:
+        """The score of one table."""
+        return self.fn(df, y, yhat, []).first()["value"]
 
-def _rmse(df: DataFrame, y: str, yhat: str) -> float:
-    return df.select(F.sqrt(F.avg(F.pow(F.col(y) - F.col(yhat), 2)))).first()[0]
 
+def _rmse(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col(yhat), 2))).alias("value"))
 
-def _pear(df: DataFrame, y: str, yhat: str) -> float:
-    return df.select(F.corr(y, yhat)).first()[0]
 
+def _pear(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.corr(y, yhat).alias("value"))
 
-def _spear(df: DataFrame, y: str, yhat: str) -> float:
-    return st.spearman(df, y, yhat).first()["spearman"]
 
+def _spear(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    return st.spearman(df, y, yhat, by).withColumnRenamed("spearman", "value")
 
-def _auc(df: DataFrame, y: str, yhat: str) -> float:
-    return st.auc(df, y, yhat).first()["auc"]
 
+def _auc(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    return st.auc(df, y, yhat, by).withColumnRenamed("auc", "value")
 
-def _acc(df: DataFrame, y: str, yhat: str) -> float:
-    return df.select(F.avg((F.col(y) == (F.col(yhat) > 0.5).cast("double")).cast("double"))).first()[0]
+
+def _acc(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg((F.col(y) == (F.col(yhat) > 0.5).cast("double")).cast("double")).alias("value"))
+
+
+def ovr_aucs(df: DataFrame, y: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., class, auc, n_true): one-vs-rest AUC of every class from an array of class
+    probabilities, all classes in one ranking."""
+    each = df.select(*by, F.col(y).cast("int").alias("_y"), F.posexplode(probs).alias("class", "_p"))
+    each = each.select(*by, "class", "_p", (F.col("_y") == F.col("class")).cast("int").alias("_is"))
+    freq = each.groupBy(*by, "class").agg(F.sum("_is").alias("n_true"))
+    return st.auc(each, "_is", "_p", [*by, "class"]).join(freq, [*by, "class"])
+
+
+def _auc_multi(df: DataFrame, y: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean over the classes; null if a class has no rows, or all."""
+    return ovr_aucs(df, y, probs, by).groupBy(*by).agg(F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc")).alias("value"))
+
+
+def _auc_weighted(df: DataFrame, y: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean over the classes, weighted by their rows."""
+    return ovr_aucs(df, y, probs, by).groupBy(*by).agg((F.sum(F.col("auc") * F.col("n_true")) / F.sum("n_true")).alias("value"))
+
+
+def argmax(probs: str | Column) -> Column:
+    """Index of the largest probability, the first of equals."""
+    p = F.col(probs) if isinstance(probs, str) else probs
+    return F.array_position(p, F.array_max(p)) - 1
+
+
+def _acc_multi(df: DataFrame, y: str, probs: str, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(F.avg((F.col(y).cast("int") == argmax(probs)).cast("double")).alias("value"))
 
 
 SCORERS = {
     "REGR": [Scorer("spear", _spear, True), Scorer("pear", _pear, True), Scorer("rmse", _rmse, False)],
     "CLASS": [Scorer("auc", _auc, True), Scorer("acc", _acc, True)],
+    "MULTICLASS": [Scorer("auc", _auc_multi, True), Scorer("acc", _acc_multi, True)],
 }
+WEIGHTED_AUC = Scorer("auc_weighted", _auc_weighted, True)
+
+
+def score_table(df: DataFrame, y: str, yhat: str, scorers: Sequence[Scorer], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., scorer, value) of any scorers, the built-in ones or a caller's own."""
+    parts = [sc.fn(df, y, yhat, list(by)).select(*by, F.lit(sc.name).alias("scorer"), F.col("value").cast("double").alias("value")) for sc in scorers]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def best_row(summary: DataFrame, scorer: Scorer) -> DataFrame:
@@ -69,12 +120,33 @@ def best_row(summary: DataFrame, scorer: Scorer) -> DataFrame:
 # ---------------------------------------------------------------------------
 # feature vectors
 # ---------------------------------------------------------------------------
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features", fill: float = 0.0) -> DataFrame:
-    """Numeric features -> vector; nulls filled (MLlib trees take no nulls)."""
+def nominal(col: str, levels: int) -> Column:
+    """A level index 0 .. levels - 1, marked so that tree learners split it by sets of levels."""
+    return F.col(col).alias(col, metadata={"ml_attr": {"type": "nominal", "num_vals": int(levels), "name": col}})
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features", fill: float = 0.0, levels: Mapping[str, int] | None = None) -> DataFrame:
+    """Numeric features -> vector; nulls filled (MLlib trees take no nulls).  ``levels`` names the
+    nominal features and how many levels each has."""
     d = df.fillna(fill, list(features))
+    if levels:
+        d = d.select(*[nominal(c, levels[c]) if c in levels else F.col(c) for c in d.columns])
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(d)
 
 
+def rank_index(ranks: str | Column, levels: int) -> Column:
+    """X3's rank (1 = highest mean; the median rank, maybe a half, for unknown levels) as a level index."""
+    r = F.col(ranks) if isinstance(ranks, str) else ranks
+    return F.least(F.greatest(F.floor(r) - 1, F.lit(0)), F.lit(levels - 1)).cast("double")
+
+
+def fit_all(jobs: Sequence[Callable[[], object]], workers: int = 4) -> list:
+    """Run fits side by side from a pool on the driver: each is a chain of small jobs, which
+    alone would leave most executors idle between them.  Results in the order of ``jobs``."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def normalised_weight(df: DataFrame, col: str, out: str = "w") -> DataFrame:
     """Weight / min(weight) (null weights -> 1)."""
     lo = df.select(F.min(col)).scalar()
@@ -85,17 +157,21 @@ def normalised_weight(df: DataFrame, col: str, out: str = "w") -> DataFrame:
 # M1-M5 learners
 # ---------------------------------------------------------------------------
 def gbt_regressor(n_trees: int = 10, depth: int = 4, step: float = 0.1, weight: str | None = None,
-                  seed: int = 1, min_rows: int = 1, subsample: float = 1.0) -> GBTRegressor:
-    kw = dict(maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, minInstancesPerNode=min_rows,
-              subsamplingRate=subsample, labelCol="label", featuresCol="features")
-    if weight:
-        kw["weightCol"] = weight
-    return GBTRegressor(**kw)
+                  seed: int = 1, min_rows: int = 1, subsample: float = 1.0, levels: Mapping[str, int] | None = None) -> GBTRegressor:
+    return GBTRegressor(**_gbt(n_trees, depth, step, weight, seed, min_rows, subsample, levels))
+
+
+def gbt_classifier(n_trees: int = 10, depth: int = 4, step: float = 0.1, seed: int = 1, min_rows: int = 1, subsample: float = 1.0,
+                   weight: str | None = None, levels: Mapping[str, int] | None = None) -> GBTClassifier:
+    return GBTClassifier(**_gbt(n_trees, depth, step, weight, seed, min_rows, subsample, levels))
 
 
-def gbt_classifier(n_trees: int = 10, depth: int = 4, step: float = 0.1, seed: int = 1) -> GBTClassifier:
-    return GBTClassifier(maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed,
-                         labelCol="label", featuresCol="features")
+def _gbt(n_trees, depth, step, weight, seed, min_rows, subsample, levels) -> dict:
+    """Every level of a nominal feature needs a bin of its own."""
+    bins = max([32, *(levels or {}).values()])
+    out = dict(maxIter=n_trees, maxDepth=depth, stepSize=step, seed=seed, minInstancesPerNode=min_rows, subsamplingRate=subsample,
+               maxBins=bins, labelCol="label", featuresCol="features")
+    return out | ({"weightCol": weight} if weight else {})
 
 
 def poisson_glm(reg: float = 0.0) -> GeneralizedLinearRegression:
@@ -133,8 +209,9 @@ def params_key(params: dict) -> str:
 
 
 def prefix_predictions(model, df: DataFrame, sizes: Sequence[int], features: str = "features") -> DataFrame:
-    """Predictions of the first n trees of a fitted GBT regressor for every n
-    in ``sizes``: sum of tree weight x tree prediction over the prefix.
+    """Predictions of the first n trees of a fitted GBT model for every n in ``sizes``: sum of tree
+    weight x tree prediction over the prefix; for a classifier the probability of class 1,
+    the logistic function of twice that sum.
     One pass; tree models are broadcast with the plan by MLlib itself."""
     trees, wts = model.trees, model.treeWeights
     out = df
@@ -148,63 +225,84 @@ def prefix_predictions(model, df: DataFrame, sizes: Sequence[int], features: str
     for i, p in enumerate(preds):
         run = p if run is None else run + p
         if (i + 1) in sizes:
-            acc[f"yhat_{i + 1}"] = run
+            acc[f"yhat_{i + 1}"] = inv_logit(2 * run) if isinstance(model, GBTClassificationModel) else run
     return out.withColumns(acc).drop(*[f"_t{i}" for i in range(len(preds))])
 
 
-def score_columns(df: DataFrame, label: str, cols: dict, scorers: Sequence[Scorer]) -> dict:
-    """All scorers for several prediction columns in few passes: RMSE and
-    Pearson in one aggregate, Spearman by one long-form ranking over all
-    columns, AUC likewise.  Returns {(key, scorer): value}."""
-    out = {}
-    names = {sc.name for sc in scorers}
-    aggs = []
-    for k, c in cols.items():
-        if "rmse" in names:
-            aggs.append(F.sqrt(F.avg(F.pow(F.col(label) - F.col(c), 2))).alias(f"rmse|{k}"))
-        if "pear" in names:
-            aggs.append(F.corr(label, c).alias(f"pear|{k}"))
-    if aggs:
-        r = df.agg(*aggs).first().asDict()
-        out.update({(kk.split("|")[1], kk.split("|")[0]): v for kk, v in r.items()})
-    if "spear" in names or "auc" in names:
-        long = df.select(label, F.explode(F.array(*[F.struct(F.lit(str(k)).alias("_k"), F.col(c).alias("_p"))
-                                                    for k, c in cols.items()])).alias("s")).select(label, "s.*")
-        if "spear" in names:
-            for r in st.spearman(long, label, "_p", by=["_k"]).collect():
-                out[(r["_k"], "spear")] = r["spearman"]
-        if "auc" in names:
-            for r in st.auc(long, label, "_p", by=["_k"]).collect():
-                out[(r["_k"], "auc")] = r["auc"]
-    return out
-
-
-def grid_prefix_scores(train: DataFrame, folds: DataFrame, grid: Sequence[dict], sizes: Sequence[int],
-                       scorers: Sequence[Scorer], fold_col: str = "split", role_col: str = "role",
-                       weight: str | None = None) -> list[tuple]:
-    """M8: for every grid point and split fit once with max(sizes) trees and
-    score every prefix size on the split's train and test rows.
-
-    ``folds`` should be materialised by the caller (it is read once per fit).
-    Returns rows (params, split, n_trees, fold_type, scorer, value)."""
-    rows = []
-    splits = sorted(r[0] for r in folds.select(fold_col).distinct().collect())   # split ids (bounded)
-    for params in grid:
-        for s in splits:
-            part = folds.where(F.col(fold_col) == s)
-            tr = part.where(F.col(role_col) == "train")
-            te = part.where(F.col(role_col) == "test")
-            m = gbt_regressor(n_trees=max(sizes), weight=weight, **params).fit(tr)
-            for ft, d in (("train", tr), ("test", te)):
-                pp = prefix_predictions(m, d, sizes)
-                sc = score_columns(pp, "label", {n: f"yhat_{n}" for n in sizes}, scorers)
-                for (n, name), v in sc.items():
-                    rows.append((params_key(params), int(s), int(n), ft, name,
-                                 None if v is None else float(v)))
-    return rows
+CV_KEYS = ["params", "split", "n_trees", "fold_type"]
+CV_SCHEMA = "params string, split int, n_trees int, fold_type string, scorer string, value double"
 
 
-CV_SCHEMA = "params string, split int, n_trees int, fold_type string, scorer string, value double"
+def grid_predictions(folds: DataFrame, grid: Sequence[dict], sizes: Sequence[int], make: Callable[..., object],
+                     fold_col: str = "split", role_col: str = "role", workers: int = 4) -> DataFrame:
+    """M8, fits and predictions: one fit per grid point and split with the largest size, several at
+    a time, and the stacked table (params, split, n_trees, fold_type, label, yhat) of every prefix size.
+
+    ``folds`` should be written (it is read by every fit).  ``make`` takes a grid point and
+    ``n_trees`` and returns a GBT estimator.
+    """
+    splits = sorted(r[0] for r in folds.select(fold_col).distinct().collect())  # split ids
+    points = [(params, s) for params in grid for s in splits]
+
+    def fit(params: dict, s: int):
+        part = folds.where((F.col(fold_col) == s) & (F.col(role_col) == "train"))
+        return make(n_trees=max(sizes), **params).fit(part)
+
+    models = fit_all([lambda p=p, s=s: fit(p, s) for p, s in points], workers)
+    parts = []
+    for (params, s), model in zip(points, models, strict=True):
+        pred = prefix_predictions(model, folds.where(F.col(fold_col) == s), sizes)
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("n_trees"), F.col(f"yhat_{n}").alias("yhat")) for n in sizes]))
+        parts.append(pred.select(F.lit(params_key(params)).alias("params"), F.lit(int(s)).alias("split"), F.col(role_col).alias("fold_type"), "label", each.alias("_s"))
+                     .select(*[c for c in CV_KEYS if c != "n_trees"], "_s.n_trees", "label", "_s.yhat"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stacked_scores(preds: DataFrame, folds: DataFrame, task: str, fold_col: str = "split", role_col: str = "role") -> DataFrame:
+    """M8, scores: the REGR or CLASS scorers of every (params, split, n_trees, fold_type) at once.
+
+    A tree ensemble predicts few different values, so the predictions are first added
+    up per key and predicted value (in each task, before any shuffle); what the scorers need of the labels goes into
+    those sums.  For Spearman that is the label's rank among the rows of its split and role, which no
+    model changes: ranked once for all of them.  Predicted values are ranked, or counted for the
+    AUC, for all keys in one running sum.
+    """
+    n = F.count(F.lit(1)).cast("double")
+    if task == "CLASS":
+        hit = (F.col("label") == (F.col("yhat") > 0.5).cast("double")).cast("double")
+        c = od.cumulative(preds, "yhat", {"n": n, "pos": F.sum("label"), "neg": F.sum(1 - F.col("label")), "hit": F.sum(hit)}, by=CV_KEYS)
+        below = F.col("cum_neg") - F.col("neg")
+        wide = c.groupBy(*CV_KEYS).agg((F.sum(F.col("pos") * (below + F.col("neg") / 2)) / F.nullif(F.first("tot_pos") * F.first("tot_neg"), F.lit(0.0))).alias("auc"),
+                                       (F.sum("hit") / F.sum("n")).alias("acc"))
+        return wide.unpivot(CV_KEYS, ["auc", "acc"], "scorer", "value")
+    ranks = od.average_rank_table(folds.where(F.col("label").isNotNull()), "label", [fold_col, role_col], "_ry")
+    labels = lookup.key_counts(folds, [fold_col, role_col, "label"], "_n").join(ranks, [fold_col, role_col, "label"])
+    labels = cut_lineage(labels.withColumnsRenamed({fold_col: "split", role_col: "fold_type"}), "label-ranks")
+    rows = lookup.attach(preds, labels, ["split", "fold_type", "label"], "_n", how="inner")
+    mid = folds.select(F.avg("label")).scalar()  # sums of values near 0 lose no digits
+    dy, dp = F.col("label") - mid, F.col("yhat") - mid
+    c = od.cumulative(rows, "yhat", {"n": n, "ry": F.sum("_ry"), "ryy": F.sum(F.col("_ry") * F.col("_ry")), "se": F.sum(F.pow(F.col("label") - F.col("yhat"), 2)),
+                                     "y": F.sum(dy), "yy": F.sum(dy * dy)}, by=CV_KEYS).withColumn("yhat", F.col("value"))
+    rank, total = F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2, F.col("tot_n")
+    m = (total + 1) / 2  # exact mean of the ranks
+    s = c.groupBy(*CV_KEYS).agg(
+        F.sum("n").alias("n"), F.sum("se").alias("se"),
+        F.sum((rank - m) * (F.col("ry") - F.col("n") * m)).alias("cxy"), F.sum(F.col("n") * (rank - m) * (rank - m)).alias("cxx"),
+        F.sum(F.col("ryy") - 2 * m * F.col("ry") + F.col("n") * m * m).alias("cyy"),
+        F.sum("y").alias("y"), F.sum("yy").alias("yy"), F.sum(F.col("n") * dp).alias("p"), F.sum(F.col("n") * dp * dp).alias("pp"), F.sum(dp * F.col("y")).alias("py"))
+    cov = F.col("py") - F.col("p") * F.col("y") / F.col("n")
+    var = (F.col("yy") - F.col("y") * F.col("y") / F.col("n")) * (F.col("pp") - F.col("p") * F.col("p") / F.col("n"))
+    wide = s.select(*CV_KEYS, (F.col("cxy") / F.sqrt(F.nullif(F.col("cxx") * F.col("cyy"), F.lit(0.0)))).alias("spear"),
+                    F.when(var > 0, cov / F.sqrt(var)).alias("pear"), F.sqrt(F.col("se") / F.col("n")).alias("rmse"))
+    return wide.unpivot(CV_KEYS, ["spear", "pear", "rmse"], "scorer", "value")
+
+
+def grid_prefix_scores(folds: DataFrame, grid: Sequence[dict], sizes: Sequence[int], task: str = "REGR",
+                       make: Callable[..., object] | None = None, workers: int = 4) -> DataFrame:
+    """M8: (params, split, n_trees, fold_type, scorer, value) of every grid point, split and prefix size,
+    written once: the fits are not part of a later plan."""
+    make = make or (gbt_classifier if task == "CLASS" else gbt_regressor)
+    return cut_lineage(stacked_scores(grid_predictions(folds, grid, sizes, make, workers=workers), folds, task), "cv-scores")
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -223,6 +321,23 @@ def generalisation_gap(cv: DataFrame) -> DataFrame:
     return m.withColumn("gap", F.col("train") - F.col("test"))
 
 
+def facet_means(cv: DataFrame, scorer: str) -> DataFrame:
+    """Mean score by each single value of each parameter, train beside test: (parameter, value, n_trees, train, test).
+
+    Parameters are read off the grid point's name."""
+    entry = r"\('([^']+)', ([^)]+)\)"
+    one = cv.where(F.col("scorer") == scorer).withColumn("_p", F.explode(F.regexp_extract_all("params", F.lit(entry), 0)))
+    name, value = F.regexp_extract("_p", entry, 1), F.regexp_extract("_p", entry, 2)
+    return (one.groupBy(F.regexp_replace(name, "^param_", "").alias("parameter"), value.alias("value"), "n_trees")
+            .pivot("fold_type", ["train", "test"]).agg(F.avg("value")))
+
+
+def run_lines(runs: DataFrame, model: str = "model", run: str = "run", score: str = "test_score") -> DataFrame:
+    """One line per run over the models: the run's score for each model, and how far it lies from the model's mean."""
+    mean = runs.groupBy(model).agg(F.avg(score).alias("_mean"))
+    return runs.join(F.broadcast(mean), model).select(run, model, score, (F.col(score) - F.col("_mean")).alias("from_mean"))  # a row per model
+
+
 def model_comparison(runs: DataFrame, model: str = "model", score: str = "test_score") -> DataFrame:
     """Box statistics of the test score per model."""
     return st.box_stats(runs, score, [model])

@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators import lookup
 from almanac.operators import ordered as od
+from almanac.session import cut_lineage
 
 TWO52, TWO53 = 1 << 52, 1 << 53
 
@@ -163,7 +165,8 @@ def weighted_bootstrap(df: DataFrame, keys: Sequence[str], weight: Column | None
     d = df.withColumn("_w", w.cast("double"))
     totals = [F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_sw")]
     if by:
-        d = d.join(F.broadcast(d.groupBy(*by).agg(*totals)), list(by))  # one row per fold
+        groups = cut_lineage(d.groupBy(*by).agg(*totals, F.count(F.lit(1)).alias("_rows")), "bootstrap-groups")
+        d = lookup.attach(d, groups, list(by), "_rows", how="inner")
     else:
         d = d.withColumns({c: d.agg(*totals).select(c).scalar() for c in ("_n", "_sw")})
     d = d.withColumn("_lam", F.col("_n") * F.col("_w") / F.nullif(F.col("_sw"), F.lit(0.0))).drop("_n", "_sw")

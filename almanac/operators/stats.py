@@ -10,11 +10,14 @@ Ordered statistics (ranks, quantiles, ECDF) go through ``ordered.cumulative``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.operators import lookup
 from almanac.operators import ordered as od
+from almanac.session import cut_lineage
 
 
 def long_form(df: DataFrame, cols: Sequence[str], value_type: str = "double",
@@ -75,6 +78,35 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     return cnt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def drop_columns(df: DataFrame, cols: Sequence[str], max_missing: float = 0.95, one_level: bool = True) -> DataFrame:
+    """``df`` without the columns of ``cols`` that are null on more than ``max_missing`` of the rows,
+    or (``one_level``) hold one value only.  One aggregate; a number per column reaches the driver."""
+    row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"_m{i}") for i, c in enumerate(cols)],
+                 *[(F.min(c) == F.max(c)).alias(f"_o{i}") for i, c in enumerate(cols)]).first()
+    return df.drop(*[c for i, c in enumerate(cols) if (row[f"_m{i}"] or 0.0) > max_missing or (one_level and row[f"_o{i}"])])
+
+
+def feature_lists(meta: DataFrame, df: DataFrame, top_n: int = 10) -> DataFrame:
+    """(list, kind, feature) for three kinds of learners, from a metadata table (variable, modeltype) of
+    columns that are ready.
+
+    ``standard``: metrics and categories as they are, with the ranks of categories of more than ``top_n`` levels;
+    ``binned``: binned metrics (not those of one bin) and categories; ``encoded``: metrics and all categories as ranks.
+    """
+    names = [r["variable"] for r in meta.select("variable").collect()]  # the sheet's rows
+    r = meta.join(n_unique(df, names), "variable")
+    is_metr, many = F.col("modeltype") == "metr", (F.col("modeltype") == "cate") & (F.col("n_unique") > top_n)
+    name, encoded = F.col("variable"), F.concat("variable", F.lit("_ENCODED"))
+
+    def entry(when: Column, kind: str, lst: str, feature: Column) -> Column:
+        return F.when(when, F.struct(F.lit(lst).alias("list"), F.lit(kind).alias("kind"), feature.alias("feature")))
+
+    rows = F.array(entry(is_metr, "metr", "standard", name), entry(many, "metr", "standard", encoded), entry(~is_metr, "cate", "standard", name),
+                   entry(is_metr & (F.col("n_unique") > 1), "cate", "binned", F.concat("variable", F.lit("_BINNED"))), entry(~is_metr, "cate", "binned", name),
+                   entry(F.lit(True), "metr", "encoded", F.when(is_metr, name).otherwise(encoded)))
+    return r.select(F.explode(F.array_compact(rows)).alias("_f")).select("_f.*")
+
+
 # ---------------------------------------------------------------------------
 # Type narrowing
 # ---------------------------------------------------------------------------
@@ -165,13 +197,12 @@ def chi2_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Output: var1, var2, n, m (= min levels), chi2.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    # one scan: every row emits one (pair, level, level) struct per pair
-    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.col(a).cast("string").alias("l1"), F.col(b).cast("string").alias("l2"))
-                    for a, b in pairs])
-    long = (df.select(F.explode(arr).alias("s")).select("s.*")
+    # rows are counted by their levels first; a combination of levels, not a row, emits one struct per pair
+    combos = df.groupBy(*[F.col(c).cast("string").alias(c) for c in cols]).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(a).alias("l1"), F.col(b).alias("l2")) for a, b in pairs])
+    long = (combos.select("_rows", F.explode(arr).alias("s")).select("_rows", "s.*")
             .where(F.col("l1").isNotNull() & F.col("l2").isNotNull()))
-    cells = long.groupBy("var1", "var2", "l1", "l2").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    cells = cut_lineage(long.groupBy("var1", "var2", "l1", "l2").agg(F.sum("_rows").alias("o")), "cells")
     pk = ["var1", "var2"]
     r = cells.groupBy(*pk, "l1").agg(F.sum("o").alias("r"))
     c = cells.groupBy(*pk, "l2").agg(F.sum("o").alias("c"))
@@ -246,27 +277,55 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return g.select(*by, (cxy / F.sqrt(F.nullif(cxx * cyy, F.lit(0.0)))).alias("spearman"))
 
 
+def with_column_ranks(df: DataFrame, cols: Sequence[str], suffix: str = "_rank") -> DataFrame:
+    """The average rank of every column among its own values beside it (null stays null).
+
+    Distinct values of all columns are counted and ranked in one go; each row looks its
+    values up, a frequent value without a shuffle (``lookup``).
+    """
+    counts = od.cumulative(long_form(df, cols), "value", {"_n": F.count(F.lit(1))}, by=["variable"])
+    ranks = counts.select("variable", "value", "_n", (F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2).alias("rank"))
+    ranks = cut_lineage(ranks, "column-ranks")
+    out = df
+    for c in cols:
+        own = ranks.where(F.col("variable") == c).select(F.col("value").alias("_v"), F.col("rank").alias(c + suffix), "_n")
+        out = lookup.attach(out.withColumn("_v", F.col(c).cast("double")), own, ["_v"], "_n").drop("_v")
+    return out
+
+
 def spearman_pairs(df: DataFrame, cols: Sequence[str], cutoff: float | None = None) -> DataFrame:
     """|Spearman| for every pair (pairwise deletion, ranks within the
     pair's complete rows), the null share of both columns, and - with a
     ``cutoff`` - only pairs whose columns both have some |rho| above it.
 
-    Works in long form keyed by the pair, so all pairs rank in one job.
+    Every column is ranked once, and one aggregate of one row per input row gives the
+    correlations of all pairs.  Where the other column of a pair is null on some of a column's rows,
+    the ranks within the pair differ: only those pairs are ranked again, by themselves.
     """
+    cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    arr = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                             F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                    for a, b in pairs])
-    long = df.select(F.explode(arr).alias("s")).select("s.*")   # one scan for all pairs
-    pk = ["var1", "var2"]
-    rho = spearman(long, "x", "y", pk).select(*pk, F.abs("spearman").alias("abs_spearman"))
+    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
+    known = df.agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(cols)], *[F.count(F.when(w, 1)).alias(f"_{a}|{b}") for (a, b), w in both.items()]).first()
+    n = {c: known[i] for i, c in enumerate(cols)}  # numbers of rows: columns and pairs
+    again = [(a, b) for a, b in pairs if not known[f"_{a}|{b}"] == n[a] == n[b]]
+    once = [p for p in pairs if p not in again]
+    parts = []
+    if once:
+        used = [c for c in cols if any(c in p for p in once)]
+        ranked = with_column_ranks(df.select(*used), used)
+        row = ranked.agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"_{k}") for k, (a, b) in enumerate(once)])
+        parts.append(row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.abs(F.col(f"_{k}")).alias("abs_spearman"))
+                                                    for k, (a, b) in enumerate(once)])).alias("_s")).select("_s.*"))
+    for a, b in again:
+        parts.append(spearman(df, a, b).select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.abs("spearman").alias("abs_spearman")))
+    rho = cut_lineage(reduce(DataFrame.unionByName, parts), "rho")  # a row per pair
     ms = missing_share(df, cols).select("variable", "miss_share")
     rho = (rho.join(ms.withColumnsRenamed({"variable": "var1", "miss_share": "miss1"}), "var1")
            .join(ms.withColumnsRenamed({"variable": "var2", "miss_share": "miss2"}), "var2"))
     if cutoff is not None:
-        both = rho.select(F.col("var1").alias("v"), "abs_spearman").unionByName(
+        either = rho.select(F.col("var1").alias("v"), "abs_spearman").unionByName(
             rho.select(F.col("var2").alias("v"), "abs_spearman"))
-        keep = both.groupBy("v").agg(F.max("abs_spearman").alias("mx")).where(F.col("mx") > cutoff)
+        keep = either.groupBy("v").agg(F.max("abs_spearman").alias("mx")).where(F.col("mx") > cutoff)
         rho = (rho.join(keep.select(F.col("v").alias("var1")), "var1", "left_semi")
                .join(keep.select(F.col("v").alias("var2")), "var2", "left_semi"))
     return rho
@@ -336,7 +395,7 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     q = od.exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by)
     qw = (q.groupBy(*by).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("quantile"))
           .withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"}))
-    d = df.join(qw, list(by))
+    d = lookup.attach(df, cut_lineage(qw.join(lookup.key_counts(df, list(by)), list(by)), "quartiles"), list(by), "_count", how="inner") if by else df.join(F.broadcast(qw))
     iqr = F.col("q3") - F.col("q1")
     return d.groupBy(*by, "q1", "median", "q3").agg(
         F.avg(col).alias("mean"),

@@ -20,7 +20,7 @@ partition is bounded by the calendar span whatever the data volume.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -195,6 +195,35 @@ def shift_forward(df: DataFrame, h: int, cols: Sequence[str], partition: Sequenc
     return df.withColumns({c: lag_days(c, h, partition, gap_free) for c in cols})
 
 
+def series_table(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), id_col: str = "id", order: str = DAYNO) -> DataFrame:
+    """One row per series: ``keep`` (the same on all its rows) and ``days``, its rows in
+    order as an array of structs.  A series has one row per day of a gap-free grid, so the array
+    is bounded by the calendar; a shift by k days is the element k places before."""
+    return df.groupBy(id_col).agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(F.struct(order, *cols))).alias("days"))
+
+
+def shifted_rows(series: DataFrame, own: Sequence[str], shifts: dict[str, int | Callable[[Column], Column]], keep: Sequence[str] = (),
+                 id_col: str = "id", where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """J6/J7 over ``series_table``: rows of ``own`` columns as they are, and each column of ``shifts`` from
+    that many days earlier (null before the first day).
+
+    A shift may depend on the row's day (a struct).  Rows come from their series' array: no join,
+    window, sort or shuffle, so one table serves any number of horizons.  ``where`` picks days
+    before they are expanded.
+    """
+    days = F.col("days")
+    at = F.sequence(F.lit(0), F.size(days) - 1)
+    if where is not None:
+        at = F.filter(at, lambda i: where(F.get(days, i)))
+
+    def row(i: Column) -> Column:
+        d = F.get(days, i)
+        back = {c: k(d) if callable(k) else F.lit(k) for c, k in shifts.items()}
+        return F.struct(*[d[c].alias(c) for c in own], *[F.get(days, i - k)[c].alias(c) for c, k in back.items()])
+
+    return series.select(id_col, *keep, F.inline(F.transform(at, row)))
+
+
 def horizon_join(base: DataFrame, features: DataFrame, h: int, keys: Sequence[str] = ("id",),
                  date_col: str = "date") -> DataFrame:
     """J6/J7 for feature tables from outside: move the feature table forward by
@@ -212,6 +241,39 @@ def pick_by_flag(df: DataFrame, stem: str, flag_col: str = "snap") -> DataFrame:
             .drop(f"{stem}0", f"{stem}1"))
 
 
+def autocorrelations(df: DataFrame, value: str, order: str, lags: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n, rho) with the autocorrelations of lags 1 .. ``lags`` as an array.  One row per
+    step of a series, so the ordering window is bounded by the calendar."""
+    by = list(by)
+    w = Window.partitionBy(*by).orderBy(order)
+    d = df.withColumn("_z", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
+    d = d.select(*by, "_z", *[F.lag("_z", k).over(w).alias(f"_z{k}") for k in range(1, lags + 1)])
+    c0 = F.nullif(F.sum(F.col("_z") * F.col("_z")), F.lit(0.0))
+    return d.groupBy(*by).agg(F.count("_z").alias("n"), F.array(*[F.sum(F.col("_z") * F.col(f"_z{k}")) / c0 for k in range(1, lags + 1)]).alias("rho"))
+
+
+def pacf(rho: str | Column, lags: int) -> Column:
+    """Partial autocorrelations from autocorrelations, as arrays, by the Durbin-Levinson
+    recursion: the coefficients of order k - 1 and their reverse give the next one, and those of order k."""
+    rho = F.col(rho) if isinstance(rho, str) else rho
+    first = F.slice(rho, 1, 1)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def step(state: Column, k: Column) -> Column:
+        phi, before = state["phi"], F.slice(rho, 1, k - 1)
+        num = F.get(rho, k - 1) - total(F.zip_with(phi, F.reverse(before), lambda p, r: p * r))
+        den = F.lit(1.0) - total(F.zip_with(phi, before, lambda p, r: p * r))
+        return F.struct(phi.alias("phi"), state["out"].alias("out"), (num / F.nullif(den, F.lit(0.0))).alias("a"))
+
+    def grow(state: Column) -> Column:
+        a = state["a"]
+        moved = F.zip_with(state["phi"], F.reverse(state["phi"]), lambda p, q: p - a * q)
+        return F.struct(F.concat(moved, F.array(a)).alias("phi"), F.concat(state["out"], F.array(a)).alias("out"), a.alias("a"))
+
+    start = F.struct(first.alias("phi"), first.alias("out"), F.get(rho, 0).alias("a"))
+    return F.aggregate(F.sequence(F.lit(2), F.lit(lags)), start, lambda s, k: grow(step(s, k)), lambda s: s["out"]) if lags > 1 else first
+
+
 def regular_grid(df: DataFrame, key: str, ts_col: str, value_col: str, step: str = "hour",
                  agg: str = "sum", span: str = "global") -> DataFrame:
     """W14 (first half): aggregate onto a regular grid per key, missing steps null.

@@ -195,13 +195,15 @@ class TargetRankEncoder(_Est):
     ties by level); levels without flagged rows rank last; levels unseen at
     fit (and nulls) get the median rank.  Numeric targets use the mean,
     string targets the indicator of the majority class.
+
+    With ``weight``, the rows are sums already: the target is a sum over ``weight`` rows.
     """
 
     def __init__(self, features: Sequence[str], flag_col: str = "encode_flag", target: str = "target",
-                 remove_burned: bool = False, suffix: str = "_ENCODED"):
+                 remove_burned: bool = False, suffix: str = "_ENCODED", weight: str | None = None):
         super().__init__()
         self.features, self.flag_col, self.target = list(features), flag_col, target
-        self.remove_burned, self.suffix = remove_burned, suffix
+        self.remove_burned, self.suffix, self.weight = remove_burned, suffix, weight
 
     def _fit(self, df: DataFrame) -> "TargetRankEncoderModel":
         is_str = dict(df.dtypes)[self.target] == "string"
@@ -211,10 +213,12 @@ class TargetRankEncoder(_Est):
             tmp = (F.col(self.target) == top.select(self.target).scalar()).cast("double")
         else:
             tmp = F.col(self.target).cast("double")
-        d = df.withColumn("_tmp", tmp)
-        lf = long_form(d, self.features, "string", keys=["_tmp", self.flag_col])
+        rows = F.col(self.weight).cast("double") if self.weight else tmp.isNotNull().cast("double")
+        d = df.withColumns({"_tmp": tmp, "_rows": rows})
+        lf = long_form(d, self.features, "string", keys=["_tmp", "_rows", self.flag_col])
+        flagged = F.col(self.flag_col) == 1
         levels = lf.where(F.col("value").isNotNull()).groupBy("variable", "value").agg(
-            F.avg(F.when(F.col(self.flag_col) == 1, F.col("_tmp"))).alias("target_mean"))
+            (F.sum(F.when(flagged, F.col("_tmp"))) / F.nullif(F.sum(F.when(flagged, F.col("_rows"))), F.lit(0.0))).alias("target_mean"))
         # the fitted state: one aggregate job, written once to the shared
         # checkpoint folder and read by the ranking and the transform
         levels = cut_lineage(levels, "target_levels")
@@ -373,33 +377,32 @@ def log_shift(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def random_impute(df: DataFrame, feature: str, key: str, seed: int = 0,
                   ref: DataFrame | None = None) -> DataFrame:
     """Each null gets an observed value of the column drawn uniformly with
-    replacement (from ``ref`` if given), by a hash of (key, seed).
+    replacement (from ``ref`` if given), by a hash of (key, seed): rows that repeat a key draw alike,
+    and every row stays one row.
 
     No observed value is numbered one by one: the observed values are
     pre-aggregated to (value, count) and numbered by running counts
     (``ordered.cumulative``); a draw idx in [0, m) finds its value as the
     number of value blocks starting at or before idx (a second running count
-    over the union of block starts and draws), then two equi-joins.
+    over the union of block starts and draws).  Blocks that many draws fall into, and draws that
+    many rows share, are looked up without being dealt by key (``lookup``).
     """
     ref = ref if ref is not None else df
     obs = ref.where(F.col(feature).isNotNull())
     blocks = od.cumulative(obs, feature, {"_n": F.count(F.lit(1)), "_one": F.lit(1)})
     # one row per distinct value: start position and ordinal
-    blocks = blocks.select(F.col("value").alias("_val"),
-                           (F.col("cum__n") - F.col("_n")).alias("_start"),
-                           F.col("cum__one").alias("_ord"))
+    blocks = cut_lineage(blocks.select(F.col("value").alias("_val"), (F.col("cum__n") - F.col("_n")).alias("_start"),
+                                       F.col("cum__one").cast("long").alias("_ord"), "_n"), "blocks")
     m = obs.select(F.count(F.lit(1))).scalar()
-    nulls = df.where(F.col(feature).isNull()).select(
-        key, F.pmod(hash_order([key], seed, feature), m).alias("_idx"))
-    marks = (blocks.select(F.col("_start").alias("_pos"), F.lit(1.0).alias("_w"))
-             .unionByName(nulls.select(F.col("_idx").alias("_pos"), F.lit(0.0).alias("_w"))))
-    ordn = od.cumulative(marks, "_pos", {"_s": F.sum("_w")}).select(
-        F.col("value").cast("long").alias("_idx"), F.col("cum__s").cast("long").alias("_ord"))
-    draws = (nulls.join(ordn, "_idx").join(blocks.select("_ord", "_val"), "_ord")
-             .select(key, F.col("_val").alias("_draw")))
-    return (df.join(draws, key, "left")
-            .withColumn(feature, F.coalesce(F.col(feature), F.col("_draw").cast(dict(df.dtypes)[feature])))
-            .drop("_draw"))
+    at = F.when(F.col(feature).isNull(), F.pmod(hash_order([key], seed, feature), m))
+    draws = lookup.key_counts(df.select(at.alias("_idx")), ["_idx"], "_rows")
+    marks = (blocks.select(F.col("_start").alias("_pos"), F.lit(1.0).alias("_w"), F.lit(0).cast("long").alias("_rows"))
+             .unionByName(draws.select(F.col("_idx").alias("_pos"), F.lit(0.0).alias("_w"), "_rows")))
+    found = od.cumulative(marks, "_pos", {"_s": F.sum("_w"), "_r": F.sum("_rows")}).where(F.col("_r") > 0).select(
+        F.col("value").cast("long").alias("_idx"), F.col("cum__s").cast("long").alias("_ord"), F.col("_r").alias("_rows"))
+    values = lookup.attach(found, blocks.select("_ord", "_val", "_n"), ["_ord"], "_n").drop("_ord")
+    out = lookup.attach(df.withColumn("_idx", at), cut_lineage(values, "draws"), ["_idx"], "_rows").drop("_idx")
+    return out.withColumn(feature, F.coalesce(F.col(feature), F.col("_val").cast(dict(df.dtypes)[feature]))).drop("_val")
 
 
 # ---------------------------------------------------------------------------
@@ -496,5 +499,6 @@ def rescale_probabilities(probs: DataFrame, row: str, cls: str, p: str,
     (class, share) tables keyed by class (one row per class)."""
     s = b_sample.withColumnRenamed("share", "_bs")
     a = b_all.withColumnRenamed("share", "_ba")
-    t = probs.join(s, cls).join(a, cls).withColumn("_t", F.col(p) * F.col("_ba") / F.col("_bs"))
+    shares = cut_lineage(s.join(a, cls).join(lookup.key_counts(probs, [cls]), cls), "shares")
+    t = lookup.attach(probs, shares, [cls], "_count", how="inner").withColumn("_t", F.col(p) * F.col("_ba") / F.col("_bs"))
     return t.withColumn(p, F.col("_t") / F.sum("_t").over(Window.partitionBy(row))).drop("_t", "_bs", "_ba")

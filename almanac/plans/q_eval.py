@@ -126,11 +126,12 @@ def importance_regr(spark, sf_dir):
 WITH {_regr_sql()},
 t AS (SELECT variable, importance,
              100 * importance / (SELECT max(importance) FROM imp) AS importance_scaled,
-             sum(importance) OVER (ORDER BY importance DESC, variable ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             100 * sum(importance) OVER (ORDER BY importance DESC, variable ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                / (SELECT sum(importance) FROM imp) AS importance_cum,
+             100 * importance / (SELECT sum(importance) FROM imp) AS importance_sumnormed,
              row_number() OVER (ORDER BY importance DESC, variable) AS rank FROM imp)
 SELECT variable, {sql_r6('importance')} AS importance, {sql_r6('importance_scaled')} AS importance_scaled,
-       {sql_r6('importance_cum')} AS importance_cum, rank,
+       {sql_r6('importance_cum')} AS importance_cum, {sql_r6('importance_sumnormed')} AS importance_sumnormed, rank,
        CASE WHEN importance_scaled > -1e-9 AND importance_scaled <= 10 THEN 'low'
             WHEN importance_scaled > 10 AND importance_scaled <= 50 THEN 'medium'
             WHEN importance_scaled > 50 AND importance_scaled <= 100.000000001 THEN 'high' END AS band,
@@ -140,7 +141,22 @@ FROM t
 def importance_table(spark, sf_dir):
     imp = ev.importance_regression(_regr_input(spark, sf_dir), REGR_CATE + REGR_METR, "o_totalprice")
     out = ev.importance_table(imp, top_n=3)
-    return rounded(out, ["importance", "importance_scaled", "importance_cum"])
+    return rounded(out, ["importance", "importance_scaled", "importance_cum", "importance_sumnormed"])
+
+
+@register("top_feature_levels", sql=f"""
+WITH {_regr_sql()},
+top AS (SELECT variable FROM imp ORDER BY importance DESC, variable LIMIT 3),
+l AS ({_union([f"SELECT '{c}' AS variable, {c} AS level, y FROM dr" for c in REGR_CATE])})
+SELECT variable, level, count(*) AS n, {sql_r6('avg(y)')} AS target_mean FROM l JOIN top USING (variable) WHERE level IS NOT NULL GROUP BY variable, level
+""")
+def top_feature_levels(spark, sf_dir):
+    """T4: mean target by level, of the categorical features among the three most important ones."""
+    d = _regr_input(spark, sf_dir)
+    table = ev.importance_table(ev.importance_regression(d, REGR_CATE + REGR_METR, "o_totalprice"), top_n=3)
+    long = st.long_form(d, REGR_CATE, "string", keys=["o_totalprice"]).where(F.col("value").isNotNull())
+    out = ev.top_rows(long, table).groupBy("variable", F.col("value").alias("level"))
+    return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("target_mean")), ["target_mean"])
 
 
 # --- roc_curve / pr_curve / precision_vs_tested / average_precision: E5, E9, E10
@@ -245,6 +261,21 @@ def accuracy(spark, sf_dir):
     return rounded(lab.agg(st.accuracy(lab, "y", "pred").alias("accuracy")))
 
 
+@register("class_residuals", sql=f"""
+WITH {CLASS_SQL},
+r AS (SELECT y, 1 - p AS residual FROM cp WHERE class = y),
+q AS (SELECT y, quantile_cont(residual, 0.25) AS q1, quantile_cont(residual, 0.5) AS median, quantile_cont(residual, 0.75) AS q3 FROM r GROUP BY y)
+SELECT r.y, {', '.join(f"{sql_r6(c)} AS {c}" for c in ('q1', 'median', 'q3'))}, {sql_r6('avg(residual)')} AS mean,
+       {sql_r6('min(CASE WHEN residual >= q1 - 1.5 * (q3 - q1) THEN residual END)')} AS whisker_lo,
+       {sql_r6('max(CASE WHEN residual <= q3 + 1.5 * (q3 - q1) THEN residual END)')} AS whisker_hi, count(*) AS n
+FROM r JOIN q ON q.y = r.y GROUP BY r.y, q1, median, q3
+""")
+def class_residuals(spark, sf_dir):
+    """Residuals of class predictions, 1 - p(true class), as box statistics by true class."""
+    r = ev.class_residuals(class_probs(spark, sf_dir), "y")
+    return rounded(st.box_stats(r, "residual", ["y"]), ["q1", "median", "q3", "mean", "whisker_lo", "whisker_hi"])
+
+
 # --- calibration: E7, E8 ------------------------------------------------------
 _CAL_EDGES = [i * (1.0 + ev.CALIB_EPS) / 5 for i in range(1, 5)]
 

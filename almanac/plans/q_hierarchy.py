@@ -54,9 +54,8 @@ SELECT level, {DIMS}, {sql_r6('demand')} AS demand, {sql_r6('sales')} AS sales,
 """)
 def level_sums_12(spark, sf_dir):
     wp = _wp(spark, sf_dir)
-    out = hy.level_aggregate(wp, [F.coalesce(F.sum("demand"), F.lit(0.0)).alias("demand"),
-                                  F.sum("sales").alias("sales"), F.count(F.lit(1)).alias("n_rows")])
-    return rounded(out, ["demand", "sales"])
+    out = hy.level_aggregate(wp, {"demand": F.sum("demand"), "sales": F.sum("sales"), "n_rows": F.count(F.lit(1))})
+    return rounded(out.withColumn("demand", F.coalesce("demand", F.lit(0.0))), ["demand", "sales"])
 
 
 # --- level_sales_weight: A3, A5 ---------------------------------------------

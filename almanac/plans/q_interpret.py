@@ -1,12 +1,18 @@
-"""Catalogue: contribution ledgers over one-hot features."""
+"""Catalogue: contribution ledgers over one-hot features (E17, E18, J12, J15, X8, X11),
+permutation importance and partial dependence (E14, E16) of a closed-form model that SQL shares."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators import interpret as ip
+from almanac.operators import modeling as md
 from almanac.operators import sampling as sp
 from almanac.operators import transformers as tf
+from almanac.operators.evaluation import importance_table
 from almanac.plans.registry import register, rounded, sql_r6
 from almanac.session import cut_lineage
 from almanac.sources.tables import read_table
@@ -173,3 +179,128 @@ def ledger_checks(spark, sf_dir):
         found = ip.ledger_check(led, model_predictions(rows, coefs, intercepts, prior, task), "row_id")
         parts.append(found.select(F.lit(task).alias("task"), "target", "n_rows", F.col("n_mismatch").cast("long").alias("n_mismatch")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# --- permutation importance and partial dependence: E14, E16 -------------------------
+FEATURES = METR + CATE
+QUANTILES = [i / 10 for i in range(11)]
+
+
+def predictor(spark, sf_dir, task: str):
+    """Rows (written, with ``y``) and a function that adds the closed-form model's prediction ``yhat`` to any frame
+    with the features: a number, the probability of class 1, or the probabilities of ``CLASSES``."""
+    rows, positions, coefs, intercepts, prior = fitted(spark, sf_dir, task)
+    y = {"REGR": F.col("price"), "CLASS": F.expr(TARGETS["CLASS"]["1"]).cast("double"), "MULTICLASS": F.array_position(F.array(*map(F.lit, CLASSES)), F.col("status")) - 1}[task]
+
+    def predict(frame):
+        out, targets = ip.linear_scores(frame, coefs, intercepts, positions, METR, CATE)
+        score = {t: F.col(f"_score_{t}") for t in targets}
+        if task == "REGR":
+            yhat = score["price"]
+        elif task == "CLASS":
+            yhat = ip.rescaled_logit(score["1"], prior)
+        else:
+            each = ip.rescaled_softmax({t: score[t] for t in CLASSES}, prior)
+            yhat = F.array(*[each[t] for t in CLASSES])
+        return out.withColumn("yhat", yhat).drop(*[f"_score_{t}" for t in targets])
+
+    return rows.withColumn("y", y), predict
+
+
+def yhat_sql(task: str, rows: str, keys: list[str]) -> str:
+    """CTEs w (scores by target, side by side) and p (predictions; MULTICLASS: a row per class) of the rows of a CTE."""
+    joins = " ".join([f"JOIN coefs m{k} ON m{k}.variable = '{m}' AND m{k}.target = i.target" for k, m in enumerate(METR)]
+                     + [f"JOIN coefs c{k} ON c{k}.variable = '{c}' AND c{k}.value = v.{c} AND c{k}.target = i.target" for k, c in enumerate(CATE)])
+    terms = " + ".join(["i.intercept"] + [f"m{k}.coef * v.{m}" for k, m in enumerate(METR)] + [f"c{k}.coef" for k in range(len(CATE))])
+    targets = list(TARGETS[task])
+    wide = ", ".join(f"max(CASE WHEN i.target = '{t}' THEN {terms} END) AS s{k}" for k, t in enumerate(targets))
+    link = link_sql(task, lambda t: f"s{targets.index(t)}", "class")
+    each = f", (SELECT unnest({CLASSES!r}) AS class)" if task == "MULTICLASS" else ""
+    return f"""
+w AS (SELECT {', '.join('v.' + k for k in keys)}, {wide} FROM {rows} v CROSS JOIN icpt i {joins} GROUP BY ALL),
+p AS (SELECT *, {link} AS yhat FROM w{each})"""
+
+
+def _auc(rows: str, by: str) -> str:
+    return f"""SELECT {by}, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / NULLIF(sum(y) * (count(*) - sum(y)), 0) AS value
+FROM (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY yhat) + (count(*) OVER (PARTITION BY {by}, yhat) - 1) / 2.0 AS r FROM {rows}) GROUP BY {by}"""
+
+
+PERMUTED = ["score_orig", "importance", "importance_scaled", "importance_sumnormed"]
+
+
+def permutation_sql(task: str) -> str:
+    h = sp.sql_hash(["row_id"], 42)
+    swapped = _union([f"SELECT a.row_id, a.price, a.status, '{v}' AS variant, " + ", ".join(f"{'b' if f == v else 'a'}.{f}" for f in FEATURES)
+                      + " FROM own a JOIN moved b USING (pos)" for v in ("", *FEATURES)])
+    y = {"REGR": "price", "CLASS": "CAST(status = 'F' AS INTEGER)", "MULTICLASS": "CAST(status = class AS INTEGER)"}[task]
+    score = {"REGR": "SELECT variant, corr(y, yhat) AS value FROM q GROUP BY variant", "CLASS": _auc("q", "variant"),
+             "MULTICLASS": f"SELECT variant, avg(value) AS value FROM ({_auc('q', 'variant, class')}) GROUP BY variant"}[task]
+    return f"""
+WITH {model_sql(task)},
+own AS (SELECT *, row_number() OVER (ORDER BY row_id) AS pos FROM x),
+moved AS (SELECT *, row_number() OVER (ORDER BY {h}, row_id) AS pos FROM x),
+vr AS ({swapped}),{yhat_sql(task, 'vr', ['row_id', 'price', 'status', 'variant'])},
+q AS (SELECT variant, {'class, ' if task == 'MULTICLASS' else ''}{y} AS y, yhat FROM p),
+sc AS ({score}),
+imp AS (SELECT variant AS variable, (SELECT value FROM sc WHERE variant = '') AS score_orig, greatest(0, (SELECT value FROM sc WHERE variant = '') - value) AS importance
+        FROM sc WHERE variant <> ''),
+t AS (SELECT *, 100 * importance / (SELECT max(importance) FROM imp) AS importance_scaled, 100 * importance / (SELECT sum(importance) FROM imp) AS importance_sumnormed FROM imp)
+SELECT variable, {', '.join(f'{sql_r6(c)} AS {c}' for c in PERMUTED)} FROM t
+"""
+
+
+def _register_permutation(name: str, task: str, scorer: str):
+    @register(name, sql=permutation_sql(task))
+    def importance(spark, sf_dir):
+        rows, predict = predictor(spark, sf_dir, task)
+        rows = rows.select("row_id", "y", *FEATURES)
+        how = next(sc for sc in md.SCORERS[task] if sc.name == scorer)
+        table = importance_table(ip.permutation_importance(rows, FEATURES, "row_id", "y", predict, how))
+        return rounded(table.select("variable", *PERMUTED))
+
+    importance.__doc__ = f"One shared permutation, all variants scored at once, {task}."
+    return importance
+
+
+permutation_regr = _register_permutation("permutation_regr", "REGR", "pear")
+permutation_class = _register_permutation("permutation_class", "CLASS", "auc")
+permutation_multiclass = _register_permutation("permutation_multiclass", "MULTICLASS", "auc")
+
+
+def dependence_sql(task: str) -> str:
+    parts = []
+    for f in FEATURES:
+        values = f"SELECT DISTINCT unnest(quantile_cont({f}, {QUANTILES!r})) AS g FROM x" if f in METR else f"SELECT DISTINCT {f} AS g FROM x"
+        parts.append(f"SELECT row_id, '{f}' AS feature, row_number() OVER (PARTITION BY row_id ORDER BY g) AS k, {', '.join(f'g AS {c}' if c == f else c for c in FEATURES)} FROM x, ({values})")
+    number = " ".join(f"WHEN feature = '{m}' THEN {sql_r6(m)}" for m in METR)
+    level = " ".join(f"WHEN feature = '{c}' THEN {c}" for c in CATE)
+    target = "class" if task == "MULTICLASS" else "'target'"
+    return f"""
+WITH {model_sql(task)},
+pd AS ({_union(parts)}),{yhat_sql(task, 'pd', ['row_id', 'feature', 'k', *FEATURES])}
+SELECT feature, k, {target} AS target, max(CASE {number} END) AS value, max(CASE {level} END) AS level, {sql_r6('avg(yhat)')} AS yhat_mean FROM p GROUP BY feature, k, {target}
+"""
+
+
+def _register_dependence(name: str, task: str):
+    @register(name, sql=dependence_sql(task))
+    def dependence(spark, sf_dir):
+        rows, predict = predictor(spark, sf_dir, task)
+        parts = []
+        for f in FEATURES:
+            grid = ip.dependence_grid(rows, f, QUANTILES if f in METR else None)
+            parts.append(ip.partial_dependence(rows, f, [g for g in FEATURES if g != f], grid, predict, CLASSES if task == "MULTICLASS" else None))
+        out = reduce(DataFrame.unionByName, parts)
+        number = F.when(F.col("feature").isin(METR), F.expr("try_cast(value AS double)"))
+        out = out.withColumns({"_g": number, "level": F.when(F.col("feature").isin(CATE), F.col("value"))})
+        w = Window.partitionBy("feature", "target").orderBy("_g", "level")  # the grid of one feature
+        return rounded(out.select("feature", F.row_number().over(w).cast("long").alias("k"), "target", F.col("_g").alias("value"), "level", "yhat_mean"))
+
+    dependence.__doc__ = f"Mean prediction by decile or level of each feature, {task}."
+    return dependence
+
+
+dependence_regr = _register_dependence("dependence_regr", "REGR")
+dependence_class = _register_dependence("dependence_class", "CLASS")
+dependence_multiclass = _register_dependence("dependence_multiclass", "MULTICLASS")

@@ -127,6 +127,59 @@ def pacf_from_acf(rho: list[float]) -> list[float]:
     return out
 
 
+def _seasonal_sql(src: str, out: str, p: int) -> str:
+    """CTEs that take the seasonal part of period p off the series x of a CTE."""
+    h = p // 2
+    frame = f"(ORDER BY date ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    return f"""
+{out}_r AS (SELECT date, x, (row_number() OVER (ORDER BY date) - 1) % {p} AS ph, CASE WHEN count(x) OVER {frame} = {p} THEN avg(x) OVER {frame} END AS t FROM {src}),
+{out}_p AS (SELECT ph, avg(x - t) AS a FROM {out}_r GROUP BY ph),
+{out} AS (SELECT r.date, r.x - (p.a - (SELECT avg(a) FROM {out}_p)) AS x FROM {out}_r r JOIN {out}_p p USING (ph))"""
+
+
+def less_seasonal(d, p: int):
+    """The series without its seasonal part of period p: phase means of what a centred moving average leaves,
+    centred to sum zero."""
+    h = p // 2
+    w = Window.orderBy("date")
+    fw = w.rowsBetween(-h, h)
+    d = d.select("date", "x", ((F.row_number().over(w) - 1) % p).alias("_ph"), F.when(F.count("x").over(fw) == p, F.avg("x").over(fw)).alias("_t"))
+    ph = d.groupBy("_ph").agg(F.avg(F.col("x") - F.col("_t")).alias("_a"))
+    centre = ph.select(F.avg("_a")).scalar()
+    return d.join(F.broadcast(ph), "_ph").select("date", (F.col("x") - (F.col("_a") - centre)).alias("x"))  # p rows
+
+
+@register("pacf", sql=f"""
+WITH RECURSIVE {DAILY_SQL[1:]},{_seasonal_sql('dm', 'd7', 7)},{_seasonal_sql('d7', 'd61', 61)},
+s AS ({_union([f"SELECT '{name}' AS series, date, x FROM {src}" for name, src in (('raw', 'dm'), ('less7', 'd7'), ('less7_61', 'd61'))])}),
+z AS (SELECT series, date, x - avg(x) OVER (PARTITION BY series) AS z FROM s),
+lagged AS (SELECT series, z, {', '.join(f'lag(z, {k}) OVER w AS z{k}' for k in range(1, MAX_LAG + 1))} FROM z WINDOW w AS (PARTITION BY series ORDER BY date)),
+acf AS (SELECT series, count(*) AS n, [{', '.join(f'sum(z * z{k}) / sum(z * z)' for k in range(1, MAX_LAG + 1))}] AS rho FROM lagged GROUP BY series),
+rhos AS (SELECT series, 'plain' AS kind, rho FROM acf
+         UNION ALL SELECT series, 'adjusted', list_transform(range(1, {MAX_LAG + 1}), lambda k: rho[k] * n / (n - k)) FROM acf),
+dl(series, kind, rho, k, phi, a) AS (
+  SELECT series, kind, rho, 1, [rho[1]], rho[1] FROM rhos
+  UNION ALL
+  SELECT series, kind, rho, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - b * phi[k + 1 - j]), b), b
+  FROM (SELECT *, (rho[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[k + 1 - j])))
+                  / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[j]))) AS b FROM dl WHERE k < {MAX_LAG}))
+SELECT p.series, CAST(p.k AS INTEGER) AS k, {sql_r6('p.rho[p.k]')} AS acf, {sql_r6('p.a')} AS pacf, {sql_r6('q.a')} AS pacf_adjusted
+FROM dl p JOIN dl q ON q.series = p.series AND q.k = p.k WHERE p.kind = 'plain' AND q.kind = 'adjusted'
+""")
+def pacf(spark, sf_dir):
+    """Autocorrelations and partial autocorrelations of the daily mean demand for lags 1..40: as it is, without
+    the weekly seasonality, and without the 61-day one of what is left.  ``pacf_adjusted`` starts
+    from autocovariances divided by their own number of terms."""
+    raw = daily_mean(spark, sf_dir)
+    d7 = less_seasonal(raw, 7)
+    parts = [d.select(F.lit(name).alias("series"), "date", "x") for name, d in (("raw", raw), ("less7", d7), ("less7_61", less_seasonal(d7, 61)))]
+    s = ts.autocorrelations(parts[0].unionByName(parts[1]).unionByName(parts[2]), "x", "date", MAX_LAG, ["series"])
+    adjusted = F.transform("rho", lambda r, i: r * F.col("n") / (F.col("n") - i - 1))
+    zipped = F.arrays_zip(F.col("rho").alias("acf"), ts.pacf("rho", MAX_LAG).alias("pacf"), ts.pacf(adjusted, MAX_LAG).alias("pacf_adjusted"))
+    out = s.select("series", F.posexplode(zipped).alias("i", "_v")).select("series", (F.col("i") + 1).alias("k"), "_v.*")
+    return rounded(out)
+
+
 # --- seasonal_decompose: W18 ---------------------------------------------------
 def _decomp_sql(p):
     h = p // 2

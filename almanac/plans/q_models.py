@@ -8,7 +8,11 @@ Model fits read the full tables; only the ensemble sizes are kept small
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.operators import interpret as ip
@@ -16,6 +20,7 @@ from almanac.operators import modeling as md
 from almanac.operators import sampling as sp
 from almanac.operators import timeseries as ts
 from almanac.operators.evaluation import importance_table
+from almanac.operators.transformers import TargetRankEncoder
 from almanac.plans import forecast as fc
 from almanac.plans import panel as pl
 from almanac.plans.q_stats import scored_docs
@@ -31,32 +36,79 @@ TS_FEATURES = ["demand_lag0", "demand_lag6", "demand_mean1week", "demand_mean4we
 SWD_STEM = "demand_mean4week_sameweekday_samesnap"
 SWD_FEATURES = ["demand_mean4week_sameweekday", SWD_STEM]
 FEATURES = DAY_FEATURES + TS_FEATURES + SWD_FEATURES
+#: Categories of a series, as ranks of their mean demand in the burned year.
+CATE_FEATURES = [f"{c}_ENCODED" for c in fx.HIERARCHY]
+TREE_FEATURES = FEATURES + CATE_FEATURES
+WEEKDAYS = 7
+
+
+@dataclass(frozen=True)
+class HorizonFeatures:
+    """Everything that does not depend on the horizon, one row per series (written).
+
+    ``levels`` has the number of levels of each nominal feature.
+    """
 
+    series: DataFrame
+    levels: dict[str, int]
 
-def horizon_features(spark, sf_dir, hs: list[int]):
-    """The panel with horizon-free features computed once and written to the
-    shared checkpoint folder; each horizon's frame is a shifted copy of that
-    table (lags inside the series partitioning, no join), so the panel and
-    its windows run once however many horizons are modelled."""
+    def rows(self, shift: int | Callable, weeks: int | Callable, where: Callable | None = None) -> DataFrame:
+        """Days with the features of ``shift`` days earlier (``weeks``: of whole weeks earlier)."""
+        flags = [f"{SWD_STEM}0", f"{SWD_STEM}1"]
+        g = ts.shifted_rows(self.series, ["date", "fold", "myfold", "demand", "w", "boot", *DAY_FEATURES],
+                            dict.fromkeys(TS_FEATURES, shift) | dict.fromkeys([SWD_FEATURES[0], *flags], weeks), CATE_FEATURES, where=where)
+        g = ts.pick_by_flag(pl.keep_final_rows(g), SWD_STEM)
+        return md.assemble(g.withColumn("label", F.col("demand")), TREE_FEATURES, levels=self.levels)
+
+    def horizon(self, h: int) -> DataFrame:
+        """Every day as it is seen h days before."""
+        return self.rows(h, ts.week_rounded(h))
+
+    def test_days(self, first_day: str) -> DataFrame:
+        """Each test day at its own horizon (column ``horizon``): day 1 is seen one day before, day 28 four weeks before."""
+        def h(d):
+            return F.datediff(d["date"], F.to_date(F.lit(first_day))) + 1
+        out = self.rows(h, lambda d: (F.floor((h(d) - 1) / 7).cast("int") + 1) * 7, where=lambda d: d["fold"] == "test")
+        return out.withColumn("horizon", F.datediff("date", F.to_date(F.lit(first_day))) + 1)
+
+
+def horizon_features(spark, sf_dir) -> HorizonFeatures:
+    """The panel's features, computed and written once as one row per series: a horizon's frame
+    is read off that row by position, so neither the panel nor its windows run again
+    however many horizons are modelled.
+
+    Categories get the rank of their mean demand (X3), fitted on the burned first year (P12).
+    ``boot`` is the row's multiplicity in a bootstrap weighted by the root of the series'
+    sales (T6), the same draw for every horizon; ``w`` the weight by inverse error.
+    """
+    spec = fx.panel_spec(spark, sf_dir)
     b = pl.null_rules(pl.weighted_panel(pl.base_panel(spark, sf_dir)))
     b = b.withColumn("dayofweek", F.weekday("date"))
     f = ts.add_lags(b, ["demand"], [0, 6])
     f = ts.add_rolling_weeks(f, {"demand": {1: ("mean",), 4: ("mean",), 12: ("mean",)}})
     f = ts.add_sameweekday(f, weeks=(4,), aggs=("mean",))
     f = ts.add_samesnap(f, weeks=(4,))
-    f = md.normalised_weight(f, "weight_rmse")
-    stems = ["demand_mean4week_sameweekday", f"{SWD_STEM}0", f"{SWD_STEM}1"]
-    keep = ["id", "date", ts.DAYNO, "fold", "myfold", "demand", "w",
-            *[c for c in DAY_FEATURES], *TS_FEATURES, *stems]
-    base = cut_lineage(f.select(*keep), "features_base")
-    out = {}
-    for h in hs:
-        g = ts.shift_forward(base, h, TS_FEATURES)
-        g = ts.shift_forward(g, ts.week_rounded(h), stems)
-        g = ts.pick_by_flag(pl.keep_final_rows(g), SWD_STEM)
-        g = g.select("id", "date", "fold", "myfold", "demand", "w", *FEATURES)
-        out[h] = md.assemble(g.withColumn("label", F.col("demand")), FEATURES)
-    return out
+    stems = [SWD_FEATURES[0], f"{SWD_STEM}0", f"{SWD_STEM}1"]
+    cols = ["date", "fold", "myfold", "demand", *DAY_FEATURES, *TS_FEATURES, *stems]
+    series = cut_lineage(ts.series_table(f.select("id", *fx.HIERARCHY, "weight_rmse", "weight_sales", ts.DAYNO, *cols), cols, [*fx.HIERARCHY, "weight_rmse", "weight_sales"]), "series")
+
+    days = series.select("id", *fx.HIERARCHY, "weight_sales", F.inline(F.transform("days", lambda d: F.struct(d["date"].alias("date"), d["fold"].alias("fold"), d["demand"].alias("demand")))))
+    burned = days.withColumn("encode_flag", (F.col("date") < F.to_date(F.lit(spec.util_before))).cast("int"))
+    # a category's mean from its series' sums: no row of the panel is copied per category
+    sums = burned.groupBy("id", "encode_flag").agg(*[F.first(c).alias(c) for c in fx.HIERARCHY], F.sum("demand").alias("_s"), F.count("demand").alias("_n"))
+    encoder = TargetRankEncoder(list(fx.HIERARCHY), "encode_flag", "_s", weight="_n").fit(sums)
+    levels = {f"{r['variable']}_ENCODED": r["n"] for r in encoder.ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+    coded = encoder.transform(series).withColumns({c: md.rank_index(c, levels[c]) for c in CATE_FEATURES})
+
+    train = days.where((F.col("fold") == "train") & F.col("demand").isNotNull())
+    total = train.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.sqrt("weight_sales")).alias("w"))
+    per_row = F.sqrt("weight_sales") * total.select("n").scalar() / F.nullif(total.select("w").scalar(), F.lit(0.0))
+    drawn = days.select("id", "date", sp.poisson_count(F.coalesce(per_row, F.lit(0.0)), ["id", "date"], seed=2).alias("boot"))
+    boot = drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("date", "boot"))).alias("_boot"))
+    coded = md.normalised_weight(coded, "weight_rmse").join(boot, "id")
+    coded = coded.withColumn("days", F.transform("days", lambda d, i: d.withField("boot", F.get(F.col("_boot"), i)["boot"].cast("double")).withField("w", F.col("w"))))
+    levels["dayofweek"] = WEEKDAYS
+    return HorizonFeatures(cut_lineage(coded.select("id", *CATE_FEATURES, "days"), "features"), levels)
 
 
 def _train(frame):
@@ -67,16 +119,17 @@ def _train(frame):
 @register("fit_gbt_regr")
 def fit_gbt_regr(spark, sf_dir):
     """Weighted boosted trees at horizon 28; predictions on the inner test fold."""
-    fr = horizon_features(spark, sf_dir, [28])[28]
+    hf = horizon_features(spark, sf_dir)
+    fr = hf.horizon(28)
     tr = fr.where((F.col("myfold") == "train") & F.col("demand").isNotNull())
-    m = md.gbt_regressor(n_trees=10, depth=4, weight="w").fit(tr)
+    m = md.gbt_regressor(n_trees=10, depth=4, weight="w", levels=hf.levels).fit(tr)
     te = fr.where(F.col("myfold") == "test")
     return m.transform(te).select("id", ds("date").alias("date"), "demand", F.col("prediction").alias("yhat"))
 
 
 @register("fit_poisson")
 def fit_poisson(spark, sf_dir):
-    fr = horizon_features(spark, sf_dir, [28])[28]
+    fr = md.assemble(horizon_features(spark, sf_dir).horizon(28).drop("features"), FEATURES)
     tr = fr.where((F.col("myfold") == "train") & F.col("demand").isNotNull())
     m = md.poisson_glm(0.01).fit(tr)
     te = fr.where(F.col("myfold") == "test")
@@ -84,11 +137,17 @@ def fit_poisson(spark, sf_dir):
 
 
 # --- forecast_single / forecast_direct: M6, M7, U1, P20 ---------------------------
+def _drawn(frame):
+    """The bootstrap sample: rows that were drawn, as often as they were."""
+    return _train(frame).where("boot > 0")
+
+
 @register("forecast_single")
 def forecast_single(spark, sf_dir):
     """One model for the whole 28-day test period (horizon 28), floored."""
-    fr = horizon_features(spark, sf_dir, [28])[28]
-    m = md.gbt_regressor(n_trees=10, depth=4, weight="w").fit(_train(fr))
+    hf = horizon_features(spark, sf_dir)
+    fr = hf.horizon(28)
+    m = md.gbt_regressor(n_trees=10, depth=4, weight="boot", levels=hf.levels).fit(_drawn(fr))
     p = m.transform(fr.where(F.col("fold") == "test"))
     return p.select("id", ds("date").alias("date"),
                     fc.floor_prediction(F.col("prediction"), F.col("sell_price_isna")).alias("yhat"))
@@ -99,42 +158,42 @@ DIRECT_H = list(range(1, 29))
 
 @register("forecast_direct")
 def forecast_direct(spark, sf_dir):
-    """One model per horizon h, each scoring only day test_start + h - 1;
-    features are computed once and shifted per horizon; results unioned."""
-    frames = horizon_features(spark, sf_dir, DIRECT_H)
-    day0 = F.to_date(F.lit(fx.panel_spec(spark, sf_dir).test_start))
+    """One model per horizon h, fitted on a weighted bootstrap, each scoring only day test_start + h - 1;
+    several models are fitted at a time, and the test days of all horizons are one written table."""
+    hf = horizon_features(spark, sf_dir)
+    models = md.fit_all([lambda h=h: md.gbt_regressor(n_trees=5, depth=4, weight="boot", levels=hf.levels).fit(_drawn(hf.horizon(h))) for h in DIRECT_H])
+    test = hf.test_days(fx.panel_spec(spark, sf_dir).test_start)
+    test = cut_lineage(test.drop("features"), "test-days")
     parts = []
-    for h in DIRECT_H:
-        fr = frames[h]
-        m = md.gbt_regressor(n_trees=5, depth=4, weight="w").fit(_train(fr))
-        p = m.transform(fr.where(F.col("date") == F.date_add(day0, h - 1)))
-        parts.append(p.select("id", ds("date").alias("date"), F.lit(h).alias("horizon"),
-                              fc.floor_prediction(F.col("prediction"), F.col("sell_price_isna")).alias("yhat")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for h, m in zip(DIRECT_H, models, strict=True):
+        p = m.transform(md.assemble(test.where(F.col("horizon") == h), TREE_FEATURES, levels=hf.levels))
+        parts.append(p.select("id", ds("date").alias("date"), "horizon", fc.floor_prediction(F.col("prediction"), F.col("sell_price_isna")).alias("yhat")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --- fit_gbt_class / fit_mlp: M2, M5 --------------------------------------------
+DOC_CATE = ["lang", "source"]
+
+
 def _doc_frame(spark, sf_dir):
-    d = scored_docs(spark, sf_dir)
-    for c in ("lang", "source"):
-        d = StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc").fit(d).transform(d)
-    d = d.withColumn("label", F.col("quality").cast("double")).withColumn("log_chars", F.log1p("n_chars"))
-    return md.assemble(d, ["log_chars", "lang_idx", "source_idx"])
+    """Labelled documents with two categories as ranks, marked nominal, and their numbers of levels."""
+    d = scored_docs(spark, sf_dir).withColumns({"label": F.col("quality").cast("double"), "log_chars": F.log1p("n_chars"), "_all": F.lit(1)})
+    encoder = TargetRankEncoder(DOC_CATE, "_all", "label", suffix="_idx").fit(d)
+    levels = {f"{r['variable']}_idx": r["n"] for r in encoder.ranks.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+    d = encoder.transform(d).withColumns({f"{c}_idx": md.rank_index(f"{c}_idx", levels[f"{c}_idx"]) for c in DOC_CATE})
+    return md.assemble(d, ["log_chars", *levels], levels=levels), levels
 
 
 @register("fit_gbt_class")
 def fit_gbt_class(spark, sf_dir):
-    d = _doc_frame(spark, sf_dir)
-    m = md.gbt_classifier(n_trees=10, depth=3).fit(d)
+    d, levels = _doc_frame(spark, sf_dir)
+    m = md.gbt_classifier(n_trees=10, depth=3, levels=levels).fit(d)
     return md.p_class1(m.transform(d)).select("doc_id", "quality", "p")
 
 
 @register("fit_mlp")
 def fit_mlp(spark, sf_dir):
-    d = _doc_frame(spark, sf_dir)
+    d, _ = _doc_frame(spark, sf_dir)
     m = md.mlp(3, (8,), 2, 50).fit(d)
     return md.p_class1(m.transform(d)).select("doc_id", "quality", "p")
 
@@ -165,13 +224,17 @@ def fit_lasso(spark, sf_dir):
 GRID = md.product_grid({"depth": [2, 4], "min_rows": [1, 10], "subsample": [0.5, 1.0]})
 SIZES = [1, 2, 3, 4, 5, 6]
 SPLITS = 5
+WORKERS = 8
+
+
+def _cv_folds(d, key: str):
+    """Train/test-separated splits, written with what a fit reads."""
+    return cut_lineage(sp.cv_split(d.select(key, "fold", "label", "features"), [key], n_splits=SPLITS), "cv_folds")
 
 
 def _cv_table(spark, sf_dir):
-    d = md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES)
-    folds = cut_lineage(sp.cv_split(d, ["o_orderkey"], n_splits=SPLITS), "cv_folds")
-    rows = md.grid_prefix_scores(d, folds, GRID, SIZES, md.SCORERS["REGR"])
-    return spark.createDataFrame(rows, md.CV_SCHEMA)
+    folds = _cv_folds(md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES), "o_orderkey")
+    return md.grid_prefix_scores(folds, GRID, SIZES, "REGR", workers=WORKERS)
 
 
 @register("grid_prefix_scores")
@@ -191,20 +254,57 @@ def gengap(spark, sf_dir):
     return md.generalisation_gap(_cv_table(spark, sf_dir))
 
 
+@register("cv_facets")
+def cv_facets(spark, sf_dir):
+    """Mean Spearman by each value of each grid parameter and ensemble size."""
+    return md.facet_means(_cv_table(spark, sf_dir), "spear")
+
+
+def _best(summary, task: str, scorer: str):
+    best = md.best_row(summary, next(sc for sc in md.SCORERS[task] if sc.name == scorer)).first()
+    return best, next(p for p in GRID if md.params_key(p) == best["params"])
+
+
 @register("grid_best_refit")
 def grid_best_refit(spark, sf_dir):
     """The grid's best row by mean test Spearman, refitted on all train orders
     with its parameters and size; predictions of the test orders."""
-    summary = cut_lineage(md.cv_summary(_cv_table(spark, sf_dir)), "cv_summary")
-    spear = next(sc for sc in md.SCORERS["REGR"] if sc.name == "spear")
-    best = md.best_row(summary, spear).first()
-    params = next(p for p in GRID if md.params_key(p) == best["params"])
+    best, params = _best(md.cv_summary(_cv_table(spark, sf_dir)), "REGR", "spear")
     d = md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES)
     m = md.gbt_regressor(n_trees=best["n_trees"], **params).fit(d.where(F.col("fold") == "train"))
     return m.transform(d.where(F.col("fold") == "test")).select(
         "o_orderkey", "label", F.col("prediction").alias("yhat"), F.lit(best["params"]).alias("params"), F.lit(best["n_trees"]).alias("n_trees"))
 
 
+def _class_folds(spark, sf_dir):
+    d, levels = _doc_frame(spark, sf_dir)
+    d = sp.shuffle_split(d, ["doc_id"], 0.2).withColumnRenamed("role", "fold")
+    return d, levels
+
+
+def _class_grid(spark, sf_dir):
+    """Frame, levels and CV scores of the grid of boosted classifiers."""
+    d, levels = _class_folds(spark, sf_dir)
+    make = partial(md.gbt_classifier, levels=levels)
+    return d, levels, md.grid_prefix_scores(_cv_folds(d, "doc_id"), GRID, SIZES, "CLASS", make, workers=WORKERS)
+
+
+@register("grid_class_summary")
+def grid_class_summary(spark, sf_dir):
+    """The same search for a classifier: AUC and accuracy of every grid point and size."""
+    return md.cv_summary(_class_grid(spark, sf_dir)[2])
+
+
+@register("grid_class_refit")
+def grid_class_refit(spark, sf_dir):
+    """The classifier grid's best row by mean test AUC, refitted on all train rows; probabilities of the test rows."""
+    d, levels, cv = _class_grid(spark, sf_dir)
+    best, params = _best(md.cv_summary(cv), "CLASS", "auc")
+    m = md.gbt_classifier(n_trees=best["n_trees"], levels=levels, **params).fit(d.where(F.col("fold") == "train"))
+    return md.p_class1(m.transform(d.where(F.col("fold") == "test"))).select(
+        "doc_id", F.col("label").cast("int").alias("label"), "p", F.lit(best["params"]).alias("params"), F.lit(best["n_trees"]).alias("n_trees"))
+
+
 # --- cv_compare / model_comparison / learning_curve: M9, E20, M11 ----------------
 @register("cv_compare")
 def cv_compare(spark, sf_dir):
@@ -213,71 +313,67 @@ def cv_compare(spark, sf_dir):
     folds = cut_lineage(sp.cv_split(d, ["o_orderkey"], n_splits=3), "cv_folds")
     learners = {"lasso": lambda: md.lasso(0.01), "gbt": lambda: md.gbt_regressor(5, 3),
                 "poisson": lambda: md.poisson_glm(0.01)}
-    rows = []
-    for name, make in learners.items():
-        for s in range(3):
-            part = folds.where(F.col("split") == s)
-            m = make().fit(part.where(F.col("role") == "train"))
-            pred = m.transform(part.where(F.col("role") == "test"))
-            sc = md.score_columns(pred, "label", {"p": "prediction"}, md.SCORERS["REGR"])
-            rows.append((name, s, float(sc[("p", "rmse")]), float(sc[("p", "spear")])))
-    return spark.createDataFrame(rows, "model string, run int, test_score double, test_spear double")
+    runs = [(name, s) for name in learners for s in range(3)]
+    models = md.fit_all([lambda name=name, s=s: learners[name]().fit(folds.where((F.col("split") == s) & (F.col("role") == "train"))) for name, s in runs])
+    preds = [m.transform(folds.where((F.col("split") == s) & (F.col("role") == "test"))).select(F.lit(name).alias("model"), F.lit(s).alias("run"), "label", "prediction")
+             for (name, s), m in zip(runs, models, strict=True)]
+    preds = cut_lineage(reduce(DataFrame.unionByName, preds), "cv-predictions")
+    scores = md.score_table(preds, "label", "prediction", [sc for sc in md.SCORERS["REGR"] if sc.name != "pear"], ["model", "run"])
+    return (scores.groupBy("model", "run").pivot("scorer", ["rmse", "spear"]).agg(F.first("value"))
+            .withColumnsRenamed({"rmse": "test_score", "spear": "test_spear"}))
 
 
 @register("model_comparison")
 def model_comparison(spark, sf_dir):
-    return md.model_comparison(cv_compare(spark, sf_dir), "model", "test_score")
+    return md.model_comparison(cut_lineage(cv_compare(spark, sf_dir), "cv-runs"), "model", "test_score")
+
+
+@register("model_runs")
+def model_runs(spark, sf_dir):
+    """E20's lines: every run's score for each model."""
+    return md.run_lines(cut_lineage(cv_compare(spark, sf_dir), "cv-runs"))
 
 
 @register("learning_curve")
 def learning_curve(spark, sf_dir):
-    """Nested training subsets (5% .. 100%) -> train and test score per size."""
+    """Nested training subsets (5% .. 100%) -> train and test score per size; the fits run
+    side by side, and all of them are scored in one pass."""
     d = md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES)
     sizes = [round(0.05 + i * 0.95 / 9, 4) for i in range(10)]
-    tr = sp.train_size_subsets(d.where(F.col("fold") == "train"), ["o_orderkey"], sizes)
-    te = d.where(F.col("fold") == "test")
-    rows = []
-    for s in sizes:
-        sub = tr.where(F.col("train_size") == s)
-        m = md.lasso(0.01).fit(sub)
-        rows.append((s, sub.count(), float(md._rmse(m.transform(sub), "label", "prediction")),
-                     float(md._rmse(m.transform(te), "label", "prediction"))))
-    return spark.createDataFrame(rows, "train_size double, n_train long, train_rmse double, test_rmse double")
+    d = cut_lineage(d.withColumn("_u", sp.hash_uniform(["o_orderkey"], 1)).select("o_orderkey", "fold", "label", "features", "_u"), "curve")
+    train = d.where(F.col("fold") == "train")
+    models = md.fit_all([lambda s=s: md.lasso(0.01).fit(train.where(F.col("_u") <= s)) for s in sizes])
+    out = d
+    for k, m in enumerate(models):
+        out = m.setPredictionCol(f"_p{k}").transform(out)
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("train_size"), F.col(f"_p{k}").alias("p")) for k, s in enumerate(sizes)]))
+    out = out.select("fold", "label", "_u", each.alias("s")).select("fold", "label", "_u", "s.*")
+    used = (F.col("fold") == "train") & (F.col("_u") <= F.col("train_size"))
+    err = F.pow(F.col("label") - F.col("p"), 2)
+    return out.groupBy("train_size").agg(F.count(F.when(used, 1)).alias("n_train"), F.sqrt(F.avg(F.when(used, err))).alias("train_rmse"),
+                                         F.sqrt(F.avg(F.when(F.col("fold") == "test", err))).alias("test_rmse"))
 
 
 # --- permutation_importance / partial_dependence: E14, E16 -------------------------
 def _fitted_lasso(spark, sf_dir):
     d = order_frame(spark, sf_dir)
     m = md.lasso(0.01).fit(md.assemble(d.where(F.col("fold") == "train"), ORDER_FEATURES))
-    return d, m
+    return d, lambda x: m.transform(md.assemble(x, ORDER_FEATURES)).withColumn("yhat", F.col("prediction"))
 
 
 @register("permutation_importance")
 def permutation_importance(spark, sf_dir):
     """Score drop (RMSE increase) per permuted feature on the test orders,
     scaled and banded as an importance table."""
-    d, m = _fitted_lasso(spark, sf_dir)
+    d, predict = _fitted_lasso(spark, sf_dir)
     te = d.where(F.col("fold") == "test")
-
-    def score(frame):
-        return md._rmse(m.transform(md.assemble(frame, ORDER_FEATURES)), "label", "prediction")
-
-    rows = ip.permutation_importance(te, ORDER_FEATURES, "o_orderkey", score, greater_is_better=False)
-    imp = spark.createDataFrame(rows, "variable string, score_orig double, importance double")
-    return importance_table(imp)
+    rmse = next(sc for sc in md.SCORERS["REGR"] if sc.name == "rmse")
+    return importance_table(ip.permutation_importance(te, ORDER_FEATURES, "o_orderkey", "label", predict, rmse))
 
 
 @register("partial_dependence")
 def partial_dependence(spark, sf_dir):
     """Mean prediction with each feature overwritten by its deciles."""
-    from almanac.operators import ordered as od
-    d, m = _fitted_lasso(spark, sf_dir)
-    parts = []
-    for f in ORDER_FEATURES:
-        grid = od.exact_quantiles(d, f, [i / 10 for i in range(11)]).select("quantile").distinct()
-        pdp = ip.partial_dependence(d, f, grid, lambda x: m.transform(md.assemble(x.drop("features"), ORDER_FEATURES)))
-        parts.append(pdp)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("feature", "value", "yhat_mean")
+    d, predict = _fitted_lasso(spark, sf_dir)
+    parts = [ip.partial_dependence(d, f, [g for g in ORDER_FEATURES if g != f], ip.dependence_grid(d, f, [i / 10 for i in range(11)]), predict) for f in ORDER_FEATURES]
+    return reduce(DataFrame.unionByName, parts).select("feature", F.col("value").cast("double").alias("value"), "yhat_mean")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from almanac.operators import modeling as md
 from almanac.operators import stats as st
 from almanac.plans.registry import r6, register, rounded, sql_r6
-from almanac.sources.tables import metadata_table, read_table
+from almanac.sources.tables import metadata_table, read_table, ready_columns
 
 
 def _union(parts):
@@ -152,6 +153,60 @@ def narrow_types(spark, sf_dir):
     return st.narrow_types_plan(li.drop("l_returnflag", "l_linestatus", "l_shipdate"), float_convert=True)
 
 
+@register("narrowed_sums", sql=f"""
+SELECT count(*) AS n, sum(CAST(l_linenumber AS BIGINT)) AS lines, {sql_r6('sum(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE))')} AS quantity,
+       {sql_r6('max(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE))')} AS price, 'tinyint' AS line_type, 'float' AS price_type FROM lineitem
+""")
+def narrowed_sums(spark, sf_dir):
+    """The plan of narrow types applied to the table, and totals of the narrowed columns."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_linenumber", "l_quantity", "l_extendedprice"])
+    plan = [(r["variable"], r["spark_type"]) for r in st.narrow_types_plan(li, float_convert=True).collect()]  # a row per column
+    narrow = st.apply_types(li, plan)
+    types = dict(narrow.dtypes)
+    out = narrow.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"),
+                     F.max(F.col("l_extendedprice").cast("double")).alias("price"))
+    return rounded(out, ["quantity", "price"]).withColumns({"line_type": F.lit(types["l_linenumber"]), "price_type": F.lit(types["l_extendedprice"])})
+
+
+@register("drop_columns", sql=f"""
+WITH {INJ_SQL[1:]}
+SELECT o_orderkey, o_custkey, o_orderstatus, {sql_r6('o_totalprice')} AS o_totalprice, o_orderpriority FROM oi
+""")
+def drop_columns(spark, sf_dir):
+    """Orders without the column that is null on more than 95 of 100 rows and the one that has one level."""
+    o = st.drop_columns(injected_orders(spark, sf_dir), OI_COLS)
+    return rounded(o)
+
+
+# --- feature_lists: S6, P24, E23 ----------------------------------------------
+LISTS_META = [("o_totalprice", "ready", "metr", "N"), ("c_acctbal", "ready", "metr", "N"), ("o_flag", "ready", "metr", "N"), ("o_shippriority", "draft", "metr", "N"),
+              ("o_orderstatus", "ready", "cate", "N"), ("o_orderpriority", "ready", "cate", "N"), ("o_custkey", "ready", "cate", "N"), ("o_comment", "ready", "cate", "Y")]
+LISTS_TOP = 10
+_LISTS_SRC = """
+fl AS (SELECT o_totalprice, c_acctbal, 1.0 AS o_flag, o_orderstatus, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey
+       FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@register("feature_lists", sql=f"""
+WITH {_LISTS_SRC[1:]},
+meta AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in LISTS_META)}) t(variable, status, modeltype, h_dep)),
+ready AS (SELECT variable, modeltype FROM meta WHERE status = 'ready' AND h_dep = 'N'),
+k AS ({_union([f"SELECT '{v}' AS variable, count(DISTINCT {v}) AS n FROM fl" for v, s, _, h in LISTS_META if s == 'ready' and h == 'N'])}),
+r AS (SELECT ready.*, k.n, modeltype = 'cate' AND n > {LISTS_TOP} AS many FROM ready JOIN k USING (variable))
+SELECT 'standard' AS list, 'metr' AS kind, CASE WHEN many THEN variable || '_ENCODED' ELSE variable END AS feature FROM r WHERE modeltype = 'metr' OR many
+UNION ALL SELECT 'standard', 'cate', variable FROM r WHERE modeltype = 'cate'
+UNION ALL SELECT 'binned', 'cate', variable || '_BINNED' FROM r WHERE modeltype = 'metr' AND n > 1
+UNION ALL SELECT 'binned', 'cate', variable FROM r WHERE modeltype = 'cate'
+UNION ALL SELECT 'encoded', 'metr', CASE WHEN modeltype = 'cate' THEN variable || '_ENCODED' ELSE variable END FROM r
+""")
+def feature_lists(spark, sf_dir):
+    """The columns that each kind of learner reads, from the ready rows of the metadata sheet and the data's levels."""
+    o = read_table(spark, sf_dir, "orders", ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"])
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    d = o.join(c, o.o_custkey == c.c_custkey).withColumns({"o_flag": F.lit(1.0), "o_custkey": F.col("o_custkey").cast("string")})
+    return st.feature_lists(ready_columns(metadata_table(spark, LISTS_META)).where("h_dep = 'N'"), d, LISTS_TOP)
+
+
 # --- crosstab_share: A18 ----------------------------------------------------
 @register("crosstab_share", sql=f"""
 WITH ct AS (SELECT o_orderpriority, o_orderstatus, CAST(count(*) AS DOUBLE) AS n FROM orders
@@ -279,6 +334,21 @@ def spearman_pairs(spark, sf_dir):
     return rounded(st.spearman_pairs(_li_nulls(spark, sf_dir), LI_NUM))
 
 
+CUTOFF = 0.05
+
+
+@register("spearman_cutoff", sql=f"""
+WITH {LI_NULLS_SQL[1:]},
+rk AS ({_union([f"SELECT '{a}' AS var1, '{b}' AS var2, {_rank_sql(a)} AS rx, {_rank_sql(b)} AS ry FROM li WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in PAIRS])}),
+rho AS (SELECT var1, var2, abs(corr(rx, ry)) AS abs_spearman FROM rk GROUP BY var1, var2),
+kept AS (SELECT v FROM (SELECT var1 AS v, abs_spearman FROM rho UNION ALL SELECT var2, abs_spearman FROM rho) GROUP BY v HAVING max(abs_spearman) > {CUTOFF})
+SELECT var1, var2, {sql_r6('abs_spearman')} AS abs_spearman FROM rho WHERE var1 IN (SELECT v FROM kept) AND var2 IN (SELECT v FROM kept)
+""")
+def spearman_cutoff(spark, sf_dir):
+    """Pairs of the columns that correlate with some other column above the cutoff."""
+    return rounded(st.spearman_pairs(_li_nulls(spark, sf_dir), LI_NUM, CUTOFF).select("var1", "var2", "abs_spearman"))
+
+
 @register("pearson", sql=f"""
 WITH {LI_NULLS_SQL[1:]}
 {_union([f"SELECT '{a}' AS var1, '{b}' AS var2, {sql_r6(f'corr({a}, {b})')} AS pearson FROM li" for a, b in PAIRS])}
@@ -357,6 +427,32 @@ def auc_ovr(spark, sf_dir):
     return rounded(st.auc_ovr(class_probs(spark, sf_dir), "o_orderkey", "y"))
 
 
+@register("multiclass_scores", sql=f"""
+WITH {CLASS_SQL},
+per AS (SELECT class, (sum(CASE WHEN yy = 1 THEN rk END) - sum(yy) * (sum(yy) + 1) / 2.0) / NULLIF(sum(yy) * (count(*) - sum(yy)), 0) AS auc, sum(yy) AS n_true
+        FROM (SELECT class, CAST(y = class AS INTEGER) AS yy, rank() OVER (PARTITION BY class ORDER BY p) + (count(*) OVER (PARTITION BY class, p) - 1) / 2.0 AS rk FROM cp) GROUP BY class),
+pr AS (SELECT o_orderkey, y, class AS pred FROM cp QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p DESC, class) = 1)
+SELECT 'auc' AS scorer, {sql_r6('avg(auc)')} AS value FROM per
+UNION ALL SELECT 'auc_weighted', {sql_r6('sum(auc * n_true) / sum(n_true)')} FROM per
+UNION ALL SELECT 'acc', {sql_r6('avg(CASE WHEN y = pred THEN 1.0 ELSE 0.0 END)')} FROM pr
+""")
+def multiclass_scores(spark, sf_dir):
+    """The MULTICLASS scorers of the registry, and the weighted AUC, over arrays of class probabilities."""
+    wide = class_probs(spark, sf_dir).groupBy("o_orderkey", "y").pivot("class", CLASSES).agg(F.first("p"))
+    d = wide.select((F.array_position(F.array(*map(F.lit, CLASSES)), F.col("y")) - 1).alias("y"), F.array(*CLASSES).alias("probs"))
+    return rounded(md.score_table(d, "y", "probs", [*md.SCORERS["MULTICLASS"], md.WEIGHTED_AUC]))
+
+
+@register("own_scorer", sql=f"""
+WITH {SCORED_SQL[1:]}
+SELECT lang, 'brier' AS scorer, {sql_r6('-avg(pow(quality - score, 2))')} AS value FROM sd GROUP BY lang
+""")
+def own_scorer(spark, sf_dir):
+    """A caller's scorer, given as a function, beside the built-in ones: the negative Brier score by language."""
+    brier = md.Scorer("brier", lambda df, y, p, by: df.groupBy(*by).agg((-F.avg(F.pow(F.col(y) - F.col(p), 2))).alias("value")), True)
+    return rounded(md.score_table(scored_docs(spark, sf_dir), "quality", "score", [brier], ["lang"]))
+
+
 # --- distributions: A25-A27, A29, A24 ----------------------------------------
 @register("histogram_by_class", sql=f"""
 WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events),

@@ -1,6 +1,7 @@
 """End-to-end properties of the panel, hierarchy and ledger plans."""
 
 import math
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
@@ -8,13 +9,16 @@ from almanac.operators import hierarchy as hy
 from almanac.operators import interpret as ip
 from almanac.plans import forecast as fc
 from almanac.plans import panel as pl
+from almanac.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 
 
 def test_panel_is_dense_and_keyed(spark):
     p = pl.base_panel(spark, SF_SMALL)
     n_series = p.select("id").distinct().count()
-    assert p.count() == n_series * 547
+    spec = fx.panel_spec(spark, SF_SMALL)
+    days = (date.fromisoformat(spec.end) - date.fromisoformat(spec.start)).days + 1
+    assert p.count() == n_series * days and n_series > 0 and days > fx.HORIZON
     assert p.groupBy("id", "date").count().where("count > 1").count() == 0
 
 
@@ -37,8 +41,9 @@ def test_wrmsse_is_zero_for_perfect_forecast(spark):
 def test_submission_round_trip(spark):
     wp = pl.weighted_panel(pl.base_panel(spark, SF_SMALL))
     pred = fc.naive_forecast(wp).where(F.col("myfold") == "test")
-    sub = fc.to_submission(pred, "2001-05-06")
-    back = fc.from_submission(sub, "2001-05-06", suffix="_evaluation")
+    first_day = fx.panel_spec(spark, SF_SMALL).inner_test_start
+    sub = fc.to_submission(pred, first_day)
+    back = fc.from_submission(sub, first_day, suffix="_evaluation")
     a = pred.select(F.regexp_replace("id", "_[^_]*$", "").alias("id_copy"), "date",
                     F.coalesce(F.bround("yhat", 5), F.lit(0.0)).alias("yhat"))
     assert a.exceptAll(back).count() == 0 and back.exceptAll(a).count() == 0
@@ -74,8 +79,10 @@ def test_direct_forecast_one_row_per_series_and_horizon(spark):
     import __spark_entry__ as entry
     out = entry.queries()["forecast_direct"](spark, SF_SMALL).toPandas()
     assert out.groupby(["id", "horizon"]).size().eq(1).all()
-    assert set(out.horizon) == {1, 14, 28} and out.yhat.notna().all()
+    assert set(out.horizon) == set(range(1, fx.HORIZON + 1)) and out.yhat.notna().all()
     assert out.groupby("horizon")["date"].nunique().eq(1).all()
+    first_day = date.fromisoformat(fx.panel_spec(spark, SF_SMALL).test_start)
+    assert all(d == str(first_day + timedelta(h - 1)) for h, d in zip(out.horizon, out.date, strict=True))
 
 
 def test_forecast_direct_and_grid_are_complete():
