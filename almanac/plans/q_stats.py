@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from almanac.operators import modeling as md
 from almanac.operators import stats as st
 from almanac.plans.registry import r6, register, rounded, sql_r6
+from almanac.session import cut_lineage
 from almanac.sources.tables import metadata_table, read_table, ready_columns
 
 
@@ -334,19 +335,28 @@ def spearman_pairs(spark, sf_dir):
     return rounded(st.spearman_pairs(_li_nulls(spark, sf_dir), LI_NUM))
 
 
-CUTOFF = 0.05
+CUTOFF = 0.3
+ORDER_NUM = ["qty", "gross", "n_lines", "disc"]
+_ORDER_NUM_SQL = """
+od AS (SELECT sum(l_quantity) AS qty, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) END AS gross,
+              CAST(count(*) AS DOUBLE) AS n_lines, floor(avg(l_discount) * 1e6 + 0.5e0) / 1e6 AS disc FROM lineitem GROUP BY l_orderkey)"""
+_ORDER_PAIRS = [(a, b) for i, a in enumerate(ORDER_NUM) for b in ORDER_NUM[i + 1:]]
 
 
 @register("spearman_cutoff", sql=f"""
-WITH {LI_NULLS_SQL[1:]},
-rk AS ({_union([f"SELECT '{a}' AS var1, '{b}' AS var2, {_rank_sql(a)} AS rx, {_rank_sql(b)} AS ry FROM li WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in PAIRS])}),
+WITH {_ORDER_NUM_SQL[1:]},
+rk AS ({_union([f"SELECT '{a}' AS var1, '{b}' AS var2, {_rank_sql(a)} AS rx, {_rank_sql(b)} AS ry FROM od WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in _ORDER_PAIRS])}),
 rho AS (SELECT var1, var2, abs(corr(rx, ry)) AS abs_spearman FROM rk GROUP BY var1, var2),
 kept AS (SELECT v FROM (SELECT var1 AS v, abs_spearman FROM rho UNION ALL SELECT var2, abs_spearman FROM rho) GROUP BY v HAVING max(abs_spearman) > {CUTOFF})
 SELECT var1, var2, {sql_r6('abs_spearman')} AS abs_spearman FROM rho WHERE var1 IN (SELECT v FROM kept) AND var2 IN (SELECT v FROM kept)
 """)
 def spearman_cutoff(spark, sf_dir):
-    """Pairs of the columns that correlate with some other column above the cutoff."""
-    return rounded(st.spearman_pairs(_li_nulls(spark, sf_dir), LI_NUM, CUTOFF).select("var1", "var2", "abs_spearman"))
+    """Pairs of the columns of an order that correlate with some other column above the cutoff."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"])
+    gross = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
+    od = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.when(F.col("l_orderkey") % 5 != 0, gross).alias("gross"),
+                                      F.count(F.lit(1)).cast("double").alias("n_lines"), r6(F.avg("l_discount")).alias("disc"))
+    return rounded(st.spearman_pairs(cut_lineage(od, "orders"), ORDER_NUM, CUTOFF).select("var1", "var2", "abs_spearman"))
 
 
 @register("pearson", sql=f"""
