@@ -8,10 +8,11 @@ Model fits read the full tables; only the ensemble sizes are kept small
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial, reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,17 +53,20 @@ class HorizonFeatures:
     series: DataFrame
     levels: dict[str, int]
 
-    def rows(self, shift: int | Callable, weeks: int | Callable, where: Callable | None = None) -> DataFrame:
+    def rows(self, shift: int | Callable, weeks: int | Callable, where: Callable, own: Sequence[str] = ("date", "fold", "myfold", "demand", "w", "boot")) -> DataFrame:
         """Days with the features of ``shift`` days earlier (``weeks``: of whole weeks earlier)."""
         flags = [f"{SWD_STEM}0", f"{SWD_STEM}1"]
-        g = ts.shifted_rows(self.series, ["date", "fold", "myfold", "demand", "w", "boot", *DAY_FEATURES],
-                            dict.fromkeys(TS_FEATURES, shift) | dict.fromkeys([SWD_FEATURES[0], *flags], weeks), CATE_FEATURES, where=where)
-        g = ts.pick_by_flag(pl.keep_final_rows(g), SWD_STEM)
-        return md.assemble(g.withColumn("label", F.col("demand")), TREE_FEATURES, levels=self.levels)
+        g = ts.shifted_rows(self.series, [*own, *DAY_FEATURES], dict.fromkeys(TS_FEATURES, shift) | dict.fromkeys([SWD_FEATURES[0], *flags], weeks), CATE_FEATURES, where=where)
+        return md.assemble(ts.pick_by_flag(g, SWD_STEM).withColumn("label", F.col("demand")), TREE_FEATURES, levels=self.levels)
 
     def horizon(self, h: int) -> DataFrame:
-        """Every day as it is seen h days before."""
-        return self.rows(h, ts.week_rounded(h))
+        """Train days with demand, and all test days, as they are seen h days before."""
+        return self.rows(h, ts.week_rounded(h), lambda d: (d["fold"] == "test") | d["demand"].isNotNull())
+
+    def drawn(self, h: int) -> DataFrame:
+        """The train days of the bootstrap sample, with how often each was drawn, as they are seen h days before."""
+        out = self.rows(h, ts.week_rounded(h), lambda d: (d["fold"] == "train") & d["demand"].isNotNull() & (d["boot"] > 0), ("demand", "boot"))
+        return out.select("label", "boot", "features")
 
     def test_days(self, first_day: str) -> DataFrame:
         """Each test day at its own horizon (column ``horizon``): day 1 is seen one day before, day 28 four weeks before."""
@@ -111,10 +115,6 @@ def horizon_features(spark, sf_dir) -> HorizonFeatures:
     return HorizonFeatures(cut_lineage(coded.select("id", *CATE_FEATURES, "days"), "features"), levels)
 
 
-def _train(frame):
-    return frame.where((F.col("fold") == "train") & F.col("demand").isNotNull())
-
-
 # --- fit_gbt_regr / fit_poisson: M1, M3 ------------------------------------------
 @register("fit_gbt_regr")
 def fit_gbt_regr(spark, sf_dir):
@@ -137,18 +137,22 @@ def fit_poisson(spark, sf_dir):
 
 
 # --- forecast_single / forecast_direct: M6, M7, U1, P20 ---------------------------
-def _drawn(frame):
-    """The bootstrap sample: rows that were drawn, as often as they were."""
-    return _train(frame).where("boot > 0")
+def _fit_drawn(hf, h: int, n_trees: int):
+    """Trees on the bootstrap sample at one horizon.  The learner reads its input three times before it keeps its own
+    form of it; the rows are expanded once."""
+    rows = hf.drawn(h).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return md.gbt_regressor(n_trees=n_trees, depth=4, weight="boot", levels=hf.levels).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 @register("forecast_single")
 def forecast_single(spark, sf_dir):
     """One model for the whole 28-day test period (horizon 28), floored."""
     hf = horizon_features(spark, sf_dir)
-    fr = hf.horizon(28)
-    m = md.gbt_regressor(n_trees=10, depth=4, weight="boot", levels=hf.levels).fit(_drawn(fr))
-    p = m.transform(fr.where(F.col("fold") == "test"))
+    m = _fit_drawn(hf, 28, 10)
+    p = m.transform(hf.rows(28, 28, lambda d: d["fold"] == "test"))
     return p.select("id", ds("date").alias("date"),
                     fc.floor_prediction(F.col("prediction"), F.col("sell_price_isna")).alias("yhat"))
 
@@ -161,7 +165,7 @@ def forecast_direct(spark, sf_dir):
     """One model per horizon h, fitted on a weighted bootstrap, each scoring only day test_start + h - 1;
     several models are fitted at a time, and the test days of all horizons are one written table."""
     hf = horizon_features(spark, sf_dir)
-    models = md.fit_all([lambda h=h: md.gbt_regressor(n_trees=5, depth=4, weight="boot", levels=hf.levels).fit(_drawn(hf.horizon(h))) for h in DIRECT_H])
+    models = md.fit_all([lambda h=h: _fit_drawn(hf, h, 5) for h in DIRECT_H])
     test = hf.test_days(fx.panel_spec(spark, sf_dir).test_start)
     test = cut_lineage(test.drop("features"), "test-days")
     parts = []

@@ -14,6 +14,8 @@ SUBSET = [
     "quantile_bins", "target_encode", "impute_median_mean_mode", "sparse_matrix_map",
     "importance_class", "importance_multi", "roc_curve", "class_metrics", "calibration_quantile",
     "panel_melt_roundtrip", "seasonal_decompose", "contribution_ledger",
+    "ledger_class", "ledger_multiclass", "ledger_checks", "permutation_multiclass", "dependence_class",
+    "pacf", "multiclass_scores", "spearman_cutoff", "feature_lists", "class_residuals", "sparse_matrix_keys",
 ]
 
 
