@@ -253,3 +253,15 @@ def test_equal_tokens_are_found():
     assert all(both.a.tokens[k] == both.b.tokens[both.same[k]] for k in known)
     a = both._a.encode("A", add_special_tokens=False).ids[0]
     assert both._b.id_to_piece(int(both.same[a])) == "A"  # not the byte piece
+
+
+# -- SQL ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_language_id"])
+def test_queries_equal_their_sql(spark, duck, name):
+    from almanac.llm.queries import ORACLE, QUERIES
+    from tools.check_oracle import norm, vhash
+    got, want = QUERIES[name](spark, SF_SMALL).toPandas(), duck.execute(ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    assert vhash(norm(got)) == vhash(norm(want))
