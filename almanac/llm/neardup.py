@@ -15,8 +15,8 @@ No group is ever expanded into all its pairs:
    class that meets most others over all its buckets (of a group of edited
    copies, the original), and the confirmed links are joined into components;
 3. only classes that are still in another component than a bucket's head are
-   compared with all classes that the head met, in blocks: a task holds two
-   parts of the group, counts common shingles through an inverted index and
+   compared with all classes that the head met, in blocks: a task holds a part of
+   them and a part of the group, counts common shingles through an inverted index and
    emits links between different components only, never the pairs.
 
 After step 3 any two classes of a bucket are in one component or were compared,
@@ -31,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.graph import components
 from almanac.llm.text import grams, mix, slices, word_hashes
+from almanac.operators import lookup
 from almanac.session import cut_lineage
 
 BANDS, ROWS = 40, 5
@@ -132,7 +132,16 @@ def _near(num: int, den: int) -> Column:
     return (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (_differ("sketch_a", "sketch_b") <= sketch_limit(num, den))
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(id, set) of texts: the name of the class and its shingles, sorted."""
+    for batch in batches:
+        for _, _, data, off in slices(batch.column(0)):
+            full = [s for s in shingle_sets(data, off, n) if len(s)]
+            full = [np.sort(s) for s in full]
+            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in full], pa.binary()), pa.array([s.tobytes() for s in full], pa.binary())], ["id", "set"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, n_b) whose full sets have 100 * |a & b| >= threshold * |a | b|.
 
     A task gets one ``a`` and a part of its ``b``: a class with very many
@@ -141,55 +150,52 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     parts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / GROUP_SHINGLES).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
     heads = dealt.select("a", "part").distinct().withColumn("id", F.col("a"))
-    rows = dealt.union(heads).join(texts, "id").select("a", "part", "id", "text")
-    kind = pairs.schema["a"].dataType
+    rows = dealt.union(heads).join(sets, "id").select("a", "part", "id", "set")
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
         a = key[0].as_py()
-        ids = table.column("id").to_pylist()
-        heads, linked = [], []
-        for want_head in (True, False):
-            at = [k for k, x in enumerate(ids) if (x == a) == want_head]
-            mine = [ids[k] for k in at]
-            for i, j, data, off in slices(table.column("text").take(pa.array(at, pa.int64()))):
-                for x, s in zip(mine[i:j], shingle_sets(data, off, n), strict=True):
-                    if want_head:
-                        heads.append(s)
-                    elif any((both := len(np.intersect1d(h, s, assume_unique=True))) * den >= num * (len(h) + len(s) - both) for h in heads):
-                        linked.append(x)
-        return pa.table({"a": pa.array([a] * len(linked), table.schema.field("a").type), "b": pa.array(linked, table.schema.field("id").type)})
-
-    return rows.groupBy("a", "part").applyInArrow(decide, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-
-
-def _blocks(group: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+        ids, every = table.column("id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        head = every[ids.index(a)]
+        linked = []
+        for x, s in zip(ids, every, strict=True):
+            both = len(np.intersect1d(head, s, assume_unique=True))
+            if x != a and both * den >= num * (len(head) + len(s) - both):
+                linked.append(x)
+        return pa.table({"a": pa.array([a] * len(linked), pa.binary()), "b": pa.array(linked, pa.binary())})
+
+    return rows.groupBy("a", "part").applyInArrow(decide, "a binary, b binary")
+
+
+def _blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes of one group (head, id, comp, apart, n, sketch)
     of which at least one is apart and whose components differ.
 
-    A group is dealt into parts of about ``BLOCK_SHINGLES`` shingles; a task gets
-    two parts.  Sketches rule out most pairs; the others are counted exactly.
+    Only the classes that are apart are compared with all: they, and all of the group, are dealt into parts
+    of about ``BLOCK_SHINGLES`` shingles, and a task gets one part of each.  What travels are sets, once
+    for every part of the other side; where few are apart, that is once.  Sketches rule
+    out most pairs; the others are counted exactly.
     """
-    parts = group.groupBy("head").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
-    dealt = group.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = dealt.select("head", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "apart", "sketch").join(texts, "id")
-    kind = group.schema["id"].dataType
+    apart_n = F.sum(F.when(F.col("apart"), F.col("n")))
+    parts = group.groupBy("head").agg(F.ceil(apart_n / BLOCK_SHINGLES).alias("rows"), F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cols"), F.count(F.lit(1)).alias("members"))
+    dealt = lookup.attach(group, cut_lineage(parts, "block-parts"), ["head"], "members", how="inner")
+
+    def side(name: str, own: str, other: str, rows: DataFrame) -> DataFrame:
+        at = {own: F.pmod(F.xxhash64("id"), F.col(own)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))}
+        return rows.select("head", at["rows"].alias("i"), at["cols"].alias("j"), F.lit(name).alias("side"), "id", "comp", "apart", "sketch")
+
+    cells = side("row", "rows", "cols", dealt.where("apart")).unionByName(side("col", "cols", "rows", dealt)).join(sets, "id")
     limit = sketch_limit(num, den)
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        order = pa.compute.sort_indices(table.column("id"))
-        table = table.take(order)
-        sets: list[np.ndarray] = []
-        for _, _, data, off in slices(table.column("text")):
-            sets += shingle_sets(data, off, n)
-        part = table.column("part").to_numpy()
+        ids = table.column("id").to_pylist()
+        left, right = ([k for k, x in enumerate(table.column("side").to_pylist()) if x == name] for name in ("row", "col"))
+        every = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
         comp = table.column("comp").to_pylist()
         name = {c: k for k, c in enumerate(dict.fromkeys(comp))}
         comp = np.array([name[c] for c in comp], np.int64)
         apart = table.column("apart").to_numpy(zero_copy_only=False)
-        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(sets), -1).view(np.uint64)
-        size = np.array([len(s) for s in sets])
+        sketch = np.array(table.column("sketch").to_pylist(), np.int64).reshape(len(ids), -1).view(np.uint64)
+        size = np.array([len(s) for s in every])
         tops = np.arange(len(name))
 
         def find(c: int) -> int:
@@ -198,29 +204,28 @@ def _blocks(group: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
                 c = tops[c]
             return c
 
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        order = np.argsort(every := np.concatenate([sets[k] for k in right]), kind="stable")
-        tokens, owner = every[order], np.repeat(np.arange(len(right)), size[right])[order]
+        left, right = np.array(left, np.int64), np.array(right, np.int64)
+        order = np.argsort(tokens := np.concatenate([every[k] for k in right]), kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(right)), size[right])[order]
         out = []
         for x in left:
             differ = np.bitwise_count(sketch[right] ^ sketch[x]).sum(axis=1)
-            maybe = (differ <= limit) & (comp[right] != comp[x]) & (apart[right] | apart[x]) & (np.minimum(size[right], size[x]) * den >= np.maximum(size[right], size[x]) * num)
-            if i == j:
-                maybe &= right > x
+            maybe = (differ <= limit) & (comp[right] != comp[x]) & (np.minimum(size[right], size[x]) * den >= np.maximum(size[right], size[x]) * num)
+            for y in np.flatnonzero(maybe & apart[right]):  # a pair that is apart on both sides is met twice
+                maybe[y] = ids[x] < ids[right[y]]
             if not maybe.any():
                 continue
-            lo, hi = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
+            lo, hi = np.searchsorted(tokens, every[x], "left"), np.searchsorted(tokens, every[x], "right")
             reach = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
             both = np.bincount(owner[reach], minlength=len(right))
             for y in np.flatnonzero(maybe & (both * den >= num * (size[right] + size[x] - both))):
                 cx, cy = find(comp[x]), find(comp[right[y]])
                 if cx != cy:
                     tops[max(cx, cy)] = min(cx, cy)
-                    out.append((x, right[y]))
-        ids = table.column("id").combine_chunks() if isinstance(table.column("id"), pa.ChunkedArray) else table.column("id")
-        return pa.table({"a": ids.take(pa.array([x for x, _ in out], pa.int64())), "b": ids.take(pa.array([y for _, y in out], pa.int64()))})
+                    out.append((ids[x], ids[right[y]]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return cells.groupBy("head", "i", "j").applyInArrow(decide, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return cells.groupBy("head", "i", "j").applyInArrow(decide, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100,
@@ -232,7 +237,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     ``component_id`` is the smallest id reachable over links.  A null or empty
     text, or one without words, has an empty set and is linked with nothing.
     Rows without an id get a null component and are kept; rows that repeat an
-    id count as one document.  Other columns are ignored.
+    id count as one document with all their texts: a link of any of them is a link of the document.
+    Other columns are ignored.
+
+    Classes of equal sets are named by a fingerprint of the set, so an id that heads two of them
+    mixes nothing up.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = src.schema["id"].dataType
@@ -241,8 +250,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
                            T.StructField("bands", longs), T.StructField("sketch", longs)])
     signed = cut_lineage(src.mapInArrow(lambda batches: _sign(batches, shingle_words), schema), "signatures")
 
-    classes = cut_lineage(signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id")), "classes")
-    firsts = cut_lineage(signed.join(classes, ["print", "id"], "left_semi").dropDuplicates(["id"]).drop("print"), "firsts")
+    named = signed.where("n > 0 AND id IS NOT NULL")
+    classes = cut_lineage(named.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    firsts = cut_lineage(named.join(classes.select("print", F.col("first").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print"])
+                         .select(F.col("print").alias("id"), "n", "bands", "sketch"), "firsts")
     sketches = firsts.select("id", "n", "sketch")
 
     bands = firsts.select(F.explode("bands").alias("key"), "id")
@@ -251,32 +262,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
     members = cut_lineage(met.select("key", "id").join(degree, "id"), "members")
     heads = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("head"))
-    texts = cut_lineage(src.join(degree.select("id"), "id", "left_semi"), "texts")
+    wanted = cut_lineage(degree.join(classes.withColumnRenamed("print", "id"), "id").select("id", "first"), "wanted")
+    held = src.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("text")
+    sets = cut_lineage(held.mapInArrow(lambda batches: _sets(batches, shingle_words), "id binary, set binary")
+                       .join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
     sides = [sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b); alike pairs only reach the full sets."""
         alike = pairs.join(sides[0], "a").join(sides[1], "b").where(_near(num, den)).select("a", "b", "n_b")
-        return cut_lineage(_confirm(cut_lineage(alike, "alike"), texts, shingle_words, num, den), "links")
+        return cut_lineage(_confirm(cut_lineage(alike, "alike"), sets, num, den), "links")
 
     def placed(labels: DataFrame) -> DataFrame:
         """Members with their component, and whether it is another than their bucket's head's."""
         of_head = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("key", "head", F.coalesce("comp", "head").alias("head_comp"))
-        return cut_lineage(members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-                           .join(of_head, "key").withColumn("apart", F.col("comp") != F.col("head_comp")), "placed")
+        return (members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+                .join(of_head, "key").withColumn("apart", F.col("comp") != F.col("head_comp")))
 
     stars = members.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(stars)
-
-    now = placed(components(links))
-    open_heads = now.where("apart").select("head").distinct()
-    group = (now.join(open_heads, "head", "left_semi").groupBy("head", "id").agg(F.first("comp").alias("comp"), F.max("apart").alias("apart"))
-             .join(sketches, "id"))
-    labels = components(links.union(cut_lineage(_blocks(group, texts, shingle_words, num, den), "block_links")))
-
-    placed_class = cut_lineage(classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
-                               .select("print", F.coalesce("comp", "id").alias("component_id")), "placed_classes")
-    return (signed.select("id", "n", "print").join(placed_class, "print", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # classes of one document are linked by it
+    several = named.groupBy("id").agg(F.min("print").alias("a"), F.max("print").alias("_top")).where("a < _top").select("id", "a")
+    one_document = named.join(several, "id").select("a", F.col("print").alias("b")).where("a <> b").distinct()
+    links = cut_lineage(confirmed(stars).union(one_document), "links")
+
+    # a class meets a head in up to all bands: one row of the two, before anything is dealt by head
+    group = cut_lineage(placed(components(links)).groupBy("head", "id").agg(F.first("comp").alias("comp"), F.max("apart").alias("apart")), "groups")
+    open_heads = group.groupBy("head").agg(F.count(F.lit(1)).alias("members"), F.max("apart").alias("open")).where("open")
+    group = lookup.attach(group, cut_lineage(open_heads, "open-heads"), ["head"], "members", how="inner").drop("open").join(sketches, "id")
+    labels = components(links.union(cut_lineage(_blocks(cut_lineage(group, "open-groups"), sets, num, den), "block_links")))
+
+    grouped = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").select("print", "first", "copies", F.coalesce("comp", "print").alias("comp"))
+    least = grouped.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    placed_class = lookup.attach(cut_lineage(grouped, "placed"), cut_lineage(least, "components"), ["comp"], "members").select("print", "component_id", "copies")
+    # empty rows and rows without an id wait for no class
+    out = lookup.attach(signed.select("id", "n", "print"), cut_lineage(placed_class, "placed_classes"), ["print"], "copies")
+    return (out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                       F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))

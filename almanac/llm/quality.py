@@ -12,7 +12,7 @@ most ``SLOTS`` of them), as has the calibration table (``BINS`` rows).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -220,24 +220,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "quality") -> DataFrame:
-    """``id_col``, ``held_out``, ``score``, ``predicted`` of every row of ``docs``.
+                   label_col: str = "quality", keep: Sequence[str] = ()) -> DataFrame:
+    """``id_col``, the columns of ``keep``, ``held_out``, ``score``, ``predicted`` of every row of ``docs``.
 
     The statistics are written once to the shared folder and read by the fit
     and the scoring.  Labels that are null, or of ids that are not in ``docs``,
     are not learned from; a repeated label counts as often as it stands there.
     A row without an id gets a score and is not held out.
     """
-    stats = cut_lineage(document_statistics(docs, id_col, text_col), "statistics")
+    row = F.struct(id_col, *keep).alias("_row")
+    stats = cut_lineage(document_statistics(docs.select(row, text_col), "_row", text_col).select("_row.*", "stats"), "statistics")
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col), F.col(label_col).cast("double").alias("label"))
     model = fit(cut_lineage(stats.join(known, id_col).select("stats", "label"), "training"))
-    schema = T.StructType([T.StructField(id_col, stats.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    rows = stats.select(row, "stats")
+    schema = T.StructType([rows.schema["_row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["_row", "score"])
 
-    return (stats.mapInArrow(run, schema)
-            .select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")
+    return (rows.mapInArrow(run, schema).select("_row.*", "score")
+            .select(id_col, *keep, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score")
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from almanac.llm import bpe, decontam, lm, neardup, quality, secret_scan, substring, text
 from almanac.llm.queries import BYTE_RANKS, TOKENIZER
@@ -116,6 +117,30 @@ def test_near_duplicates_on_awkward_rows(docs, no_docs):
     assert neardup.near_duplicates(no_docs, 2).collect() == []
 
 
+def test_an_id_with_two_texts_loses_no_link(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, "x y z"), (9, a), (9, None)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {5: 5, 6: 5, 7: 5, 8: 8, 9: 5}
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+def test_near_duplicates_with_hot_groups(spark, monkeypatch, hot):
+    """A group of which a part is apart from its head, next to copies without number."""
+    from almanac.operators import lookup
+    monkeypatch.setattr(lookup, "HOT", hot)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
+    words = [f"v{k}" for k in range(100)]
+    rows = []
+    for i in range(60):  # a chain: each differs from the next in a few words, the ends in many
+        w = list(words)
+        w[:i] = [f"c{k}" for k in range(i)]
+        rows.append((100 + 7 * i % 60 * 10 + i, " ".join(w)))
+    rows += [(1000 + k, " ".join(words)) for k in range(40)] + [(2000 + k, "other words of no kin at all") for k in range(3)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == components(rows, 2)
+
+
 def test_near_duplicates_of_a_large_edited_group(spark, monkeypatch):
     """Copies around the threshold: many are linked with the original only."""
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
@@ -391,6 +416,27 @@ def test_quality_separates_held_out_rows(spark):
 # -- pipeline ------------------------------------------------------------------------
 
 
+def test_pipeline_decides_on_rows_and_keeps_all_columns(spark, docs, no_docs):
+    """Repeated and missing ids, and columns called like the stages' own."""
+    import corpus_pipeline
+
+    from tests.conftest import SF_SMALL
+    more = docs.withColumns({"path": docs["word"], "blob": docs["word"], "rule": docs["key"], "_row": docs["key"], "_path": docs["word"], "kept": docs["key"]})
+    item = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").first()["text"]
+    extra = more.where("doc_id = 9").select(*[F.lit(item).alias("text") if c == "text" else c for c in more.columns])
+    rows = more.unionByName(extra)  # id 9 once clean and once with a benchmark item
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, rows, SF_SMALL)
+        assert out.columns == rows.columns and out.count() <= rows.count(), name
+        assert stage(spark, rows.limit(0), SF_SMALL).collect() == []
+    left = corpus_pipeline.decontaminate_stage(spark, rows, SF_SMALL).where("doc_id = 9").collect()
+    assert [r.text for r in left] == ["One  TWO"]
+    dedup = corpus_pipeline.near_dedup_stage(spark, rows, SF_SMALL).collect()
+    near = [r for r in dedup if r.text and r.text.startswith(BASE)]
+    assert [r.doc_id for r in near] == [1]  # of six rows with this text, one of them without an id
+    assert sorted(str(r.doc_id) for r in dedup if not (r.text or "").strip()) == sorted(str(i) for i, t in DOCS if not (t or "").strip())
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
