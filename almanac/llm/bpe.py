@@ -86,6 +86,9 @@ class PrefixBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self._packed = {i: i.to_bytes(4, "little") for i in self.strings}
+        bare = [b for b in byte_letters() if not {b, b + "</w>"} <= set(self.vocab)]
+        if bare:  # every prefix of a word must have a last token
+            raise ValueError(f"{path} has no token of its own for {len(bare)} bytes")
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._letters = byte_letters()
         self._pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
@@ -93,8 +96,7 @@ class PrefixBpe:
         self._build(model["merges"])
         self._pair_ok = Remembered(lambda pair: self._meet(pair >> 32, pair & 0xFFFFFFFF)[0] == NEVER, 4 * CACHE_WORDS)
         self._piece = Remembered(self._encode_piece)
-        self.word_ids = Remembered(lambda w: self._encode_word(w)[0])
-        self.word_text = Remembered(lambda w: self._encode_word(w)[1])
+        self.word_ids = Remembered(self._encode_word)
 
     def _build(self, merges: list) -> None:
         self.rank: dict[tuple[int, int], int] = {}
@@ -142,7 +144,7 @@ class PrefixBpe:
             else:
                 j += 1
 
-    def _encode_piece(self, piece: str) -> tuple[bytes, str]:
+    def _encode_piece(self, piece: str) -> bytes:
         letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self._letters.__getitem__, piece.encode()))
         n = len(letters)
         last, size = [0] * (n + 1), [0] * (n + 1)
@@ -162,16 +164,14 @@ class PrefixBpe:
             out.append(last[end])
             end -= size[end]
         out.reverse()
-        return b"".join([self._packed[t] for t in out]), " ".join([self.strings[t] for t in out])
+        return b"".join([self._packed[t] for t in out])
 
-    def _encode_word(self, word: str) -> tuple[bytes, str]:
+    def _encode_word(self, word: str) -> bytes:
         if word.isalpha():
             return self._piece[word]
         if word[-1] in ".," and word[:-1].isalpha():
-            found = [self._piece[word[:-1]], self._piece[word[-1]]]
-        else:
-            found = [self._piece[p] for p in self._pieces.findall(word)]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            return self._piece[word[:-1]] + self._piece[word[-1]]
+        return b"".join([self._piece[p] for p in self._pieces.findall(word)])
 
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
@@ -183,21 +183,22 @@ class PrefixBpe:
             return self._words.findall(text)
         return text.split()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and their decoded text."""
+    def encode_ids(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         if self._cut is None or not any(s in text for s in self.special):
-            words = self._split(text)
-            return b"".join(map(self.word_ids.__getitem__, words)), " ".join(map(self.word_text.__getitem__, words))
-        ids, out = [], []
+            return b"".join(map(self.word_ids.__getitem__, self._split(text)))
+        ids = []
         for part in self._cut.split(text):
             if part in self.special:
-                ids.append(np.array([self.special[part]], "<u4").tobytes())
-                out.append(part)
+                ids.append(self._packed[self.special[part]])
             else:
-                words = self._split(part)
-                ids += map(self.word_ids.__getitem__, words)
-                out += map(self.word_text.__getitem__, words)
-        return b"".join(ids), " ".join(out)
+                ids += map(self.word_ids.__getitem__, self._split(part))
+        return b"".join(ids)
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text, and the text that they decode to."""
+        ids = self.encode_ids(text)
+        return ids, self.decode(ids)
 
     def plain_ids(self, text: str) -> bytes:
         """Ids of a text in which special strings are ordinary text."""
@@ -205,7 +206,11 @@ class PrefixBpe:
 
     def decode(self, ids: bytes) -> str:
         """Token strings joined with one space; ids outside the vocabulary are left out."""
-        return " ".join(s for i in np.frombuffer(ids, "<u4").tolist() if (s := self.strings.get(i)) is not None)
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        try:
+            return " ".join(map(self.strings.__getitem__, numbers))
+        except KeyError:
+            return " ".join([self.strings[i] for i in numbers if i in self.strings])
 
 
 @lru_cache(maxsize=2)
