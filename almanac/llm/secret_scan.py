@@ -77,7 +77,10 @@ def find(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, i
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
                 found.append((m.start(), order, m.end(), rule.key))
     if found and not text.isascii():
-        at = {p: len(text[:p].decode(errors="replace")) for f in found for p in (f[0], f[2])}
+        at, chars, last = {}, 0, 0
+        for p in sorted({p for f in found for p in (f[0], f[2])}):  # matches begin and end at ASCII bytes
+            chars += len(text[last:p].decode(errors="replace"))
+            at[p], last = chars, p
         found = [(at[s], o, at[e], k) for s, o, e, k in found]
     return [(key, start, end) for start, _, end, key in sorted(found)]
 
