@@ -203,23 +203,23 @@ def series_table(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), i
 
 
 def shifted_rows(series: DataFrame, own: Sequence[str], shifts: dict[str, int | Callable[[Column], Column]], keep: Sequence[str] = (),
-                 id_col: str = "id", where: Callable[[Column], Column] | None = None) -> DataFrame:
+                 id_col: str = "id", where: Callable[[Column, Column], Column] | None = None, beside: Sequence[str] = ()) -> DataFrame:
     """J6/J7 over ``series_table``: rows of ``own`` columns as they are, and each column of ``shifts`` from
     that many days earlier (null before the first day).
 
     A shift may depend on the row's day (a struct).  Rows come from their series' array: no join,
-    window, sort or shuffle, so one table serves any number of horizons.  ``where`` picks days
-    before they are expanded.
+    window, sort or shuffle, so one table serves any number of horizons.  ``where`` picks days, by
+    struct and position, before they are expanded; ``beside`` names arrays of the series with one value per day.
     """
     days = F.col("days")
     at = F.sequence(F.lit(0), F.size(days) - 1)
     if where is not None:
-        at = F.filter(at, lambda i: where(F.get(days, i)))
+        at = F.filter(at, lambda i: where(F.get(days, i), i))
 
     def row(i: Column) -> Column:
         d = F.get(days, i)
         back = {c: k(d) if callable(k) else F.lit(k) for c, k in shifts.items()}
-        return F.struct(*[d[c].alias(c) for c in own], *[F.get(days, i - k)[c].alias(c) for c, k in back.items()])
+        return F.struct(*[d[c].alias(c) for c in own], *[F.get(F.col(c), i).alias(c) for c in beside], *[F.get(days, i - k)[c].alias(c) for c, k in back.items()])
 
     return series.select(id_col, *keep, F.inline(F.transform(at, row)))
 

@@ -53,26 +53,27 @@ class HorizonFeatures:
     series: DataFrame
     levels: dict[str, int]
 
-    def rows(self, shift: int | Callable, weeks: int | Callable, where: Callable, own: Sequence[str] = ("date", "fold", "myfold", "demand", "w", "boot")) -> DataFrame:
+    def rows(self, shift: int | Callable, weeks: int | Callable, where: Callable, own: Sequence[str] = ("date", "fold", "myfold", "demand"), beside: Sequence[str] = ()) -> DataFrame:
         """Days with the features of ``shift`` days earlier (``weeks``: of whole weeks earlier)."""
         flags = [f"{SWD_STEM}0", f"{SWD_STEM}1"]
-        g = ts.shifted_rows(self.series, [*own, *DAY_FEATURES], dict.fromkeys(TS_FEATURES, shift) | dict.fromkeys([SWD_FEATURES[0], *flags], weeks), CATE_FEATURES, where=where)
+        g = ts.shifted_rows(self.series, [*own, *DAY_FEATURES], dict.fromkeys(TS_FEATURES, shift) | dict.fromkeys([SWD_FEATURES[0], *flags], weeks),
+                            [*CATE_FEATURES, "w"], where=where, beside=beside)
         return md.assemble(ts.pick_by_flag(g, SWD_STEM).withColumn("label", F.col("demand")), TREE_FEATURES, levels=self.levels)
 
     def horizon(self, h: int) -> DataFrame:
         """Train days with demand, and all test days, as they are seen h days before."""
-        return self.rows(h, ts.week_rounded(h), lambda d: (d["fold"] == "test") | d["demand"].isNotNull())
+        return self.rows(h, ts.week_rounded(h), lambda d, i: (d["fold"] == "test") | d["demand"].isNotNull())
 
     def drawn(self, h: int) -> DataFrame:
         """The train days of the bootstrap sample, with how often each was drawn, as they are seen h days before."""
-        out = self.rows(h, ts.week_rounded(h), lambda d: (d["fold"] == "train") & d["demand"].isNotNull() & (d["boot"] > 0), ("demand", "boot"))
+        out = self.rows(h, ts.week_rounded(h), lambda d, i: (d["fold"] == "train") & d["demand"].isNotNull() & (F.get(F.col("boot"), i) > 0), ["demand"], ["boot"])
         return out.select("label", "boot", "features")
 
     def test_days(self, first_day: str) -> DataFrame:
         """Each test day at its own horizon (column ``horizon``): day 1 is seen one day before, day 28 four weeks before."""
         def h(d):
             return F.datediff(d["date"], F.to_date(F.lit(first_day))) + 1
-        out = self.rows(h, lambda d: (F.floor((h(d) - 1) / 7).cast("int") + 1) * 7, where=lambda d: d["fold"] == "test")
+        out = self.rows(h, lambda d: (F.floor((h(d) - 1) / 7).cast("int") + 1) * 7, where=lambda d, i: d["fold"] == "test")
         return out.withColumn("horizon", F.datediff("date", F.to_date(F.lit(first_day))) + 1)
 
 
@@ -97,6 +98,7 @@ def horizon_features(spark, sf_dir) -> HorizonFeatures:
     series = cut_lineage(ts.series_table(f.select("id", *fx.HIERARCHY, "weight_rmse", "weight_sales", ts.DAYNO, *cols), cols, [*fx.HIERARCHY, "weight_rmse", "weight_sales"]), "series")
 
     days = series.select("id", *fx.HIERARCHY, "weight_sales", F.inline(F.transform("days", lambda d: F.struct(d["date"].alias("date"), d["fold"].alias("fold"), d["demand"].alias("demand")))))
+    days = cut_lineage(days, "days")  # what the encoder and the bootstrap read of the wide rows
     burned = days.withColumn("encode_flag", (F.col("date") < F.to_date(F.lit(spec.util_before))).cast("int"))
     # a category's mean from its series' sums: no row of the panel is copied per category
     sums = burned.groupBy("id", "encode_flag").agg(*[F.first(c).alias(c) for c in fx.HIERARCHY], F.sum("demand").alias("_s"), F.count("demand").alias("_n"))
@@ -105,14 +107,13 @@ def horizon_features(spark, sf_dir) -> HorizonFeatures:
     coded = encoder.transform(series).withColumns({c: md.rank_index(c, levels[c]) for c in CATE_FEATURES})
 
     train = days.where((F.col("fold") == "train") & F.col("demand").isNotNull())
-    total = train.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.sqrt("weight_sales")).alias("w"))
-    per_row = F.sqrt("weight_sales") * total.select("n").scalar() / F.nullif(total.select("w").scalar(), F.lit(0.0))
+    total = train.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.sqrt("weight_sales")).alias("w")).first()  # two numbers
+    per_row = F.sqrt("weight_sales") * F.lit(total["n"]) / F.nullif(F.lit(total["w"]).cast("double"), F.lit(0.0))
     drawn = days.select("id", "date", sp.poisson_count(F.coalesce(per_row, F.lit(0.0)), ["id", "date"], seed=2).alias("boot"))
-    boot = drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("date", "boot"))).alias("_boot"))
+    boot = drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("date", F.col("boot").cast("double").alias("boot")))).alias("_boot")).select("id", F.col("_boot.boot").alias("boot"))
     coded = md.normalised_weight(coded, "weight_rmse").join(boot, "id")
-    coded = coded.withColumn("days", F.transform("days", lambda d, i: d.withField("boot", F.get(F.col("_boot"), i)["boot"].cast("double")).withField("w", F.col("w"))))
     levels["dayofweek"] = WEEKDAYS
-    return HorizonFeatures(cut_lineage(coded.select("id", *CATE_FEATURES, "days"), "features"), levels)
+    return HorizonFeatures(cut_lineage(coded.select("id", *CATE_FEATURES, "w", "boot", "days"), "features"), levels)
 
 
 # --- fit_gbt_regr / fit_poisson: M1, M3 ------------------------------------------
@@ -152,7 +153,7 @@ def forecast_single(spark, sf_dir):
     """One model for the whole 28-day test period (horizon 28), floored."""
     hf = horizon_features(spark, sf_dir)
     m = _fit_drawn(hf, 28, 10)
-    p = m.transform(hf.rows(28, 28, lambda d: d["fold"] == "test"))
+    p = m.transform(hf.rows(28, 28, lambda d, i: d["fold"] == "test"))
     return p.select("id", ds("date").alias("date"),
                     fc.floor_prediction(F.col("prediction"), F.col("sell_price_isna")).alias("yhat"))
 

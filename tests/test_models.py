@@ -31,7 +31,7 @@ def test_shifted_rows_equal_lags(spark):
     series = ts.series_table(df, ["x", "flag"], ["grp"])
     out = ts.shifted_rows(series, [ts.DAYNO, "flag"], {"x": 3}, ["grp"]).collect()
     assert sorted((r.id, r.grp, r[ts.DAYNO], r.flag, r.x) for r in out) == [(i, i.upper(), d, d % 2, float(10 * (i == "a") + d - 3) if d >= 3 else None) for i in "ab" for d in range(12)]
-    own = ts.shifted_rows(series, [ts.DAYNO], {"x": lambda d: d[ts.DAYNO] - 1}, where=lambda d: d["flag"] == 1).collect()
+    own = ts.shifted_rows(series, [ts.DAYNO], {"x": lambda d: d[ts.DAYNO] - 1}, where=lambda d, i: d["flag"] == 1).collect()
     assert sorted((r.id, r[ts.DAYNO], r.x) for r in own) == [(i, d, float(10 * (i == "a") + 1)) for i in "ab" for d in range(12) if d % 2]
 
 
