@@ -237,15 +237,20 @@ def _cv_folds(d, key: str):
     return cut_lineage(sp.cv_split(d.select(key, "fold", "label", "features"), [key], n_splits=SPLITS), "cv_folds")
 
 
-def _cv_table(spark, sf_dir):
-    folds = _cv_folds(md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES), "o_orderkey")
+def _cv_orders(spark, sf_dir):
+    """What the folds and fits read of the orders, written."""
+    return cut_lineage(md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES).select("o_orderkey", "fold", "label", "features"), "order-frame")
+
+
+def _cv_table(spark, sf_dir, orders=None):
+    folds = _cv_folds(orders if orders is not None else _cv_orders(spark, sf_dir), "o_orderkey")
     return md.grid_prefix_scores(folds, GRID, SIZES, "REGR", workers=WORKERS)
 
 
 @register("grid_prefix_scores")
 def grid_prefix_scores(spark, sf_dir):
     """Grid x split x ensemble size: one fit per grid point and split with the
-    largest size, every prefix scored by the REGR scorers."""
+    largest size, every prefix scored by the REGR scorers.  Fits and scores read cells of binned features."""
     return _cv_table(spark, sf_dir)
 
 
@@ -274,8 +279,8 @@ def _best(summary, task: str, scorer: str):
 def grid_best_refit(spark, sf_dir):
     """The grid's best row by mean test Spearman, refitted on all train orders
     with its parameters and size; predictions of the test orders."""
-    best, params = _best(md.cv_summary(_cv_table(spark, sf_dir)), "REGR", "spear")
-    d = md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES)
+    d = _cv_orders(spark, sf_dir)
+    best, params = _best(md.cv_summary(_cv_table(spark, sf_dir, d)), "REGR", "spear")
     m = md.gbt_regressor(n_trees=best["n_trees"], **params).fit(d.where(F.col("fold") == "train"))
     return m.transform(d.where(F.col("fold") == "test")).select(
         "o_orderkey", "label", F.col("prediction").alias("yhat"), F.lit(best["params"]).alias("params"), F.lit(best["n_trees"]).alias("n_trees"))
