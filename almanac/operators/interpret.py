@@ -153,13 +153,15 @@ def rescaled_softmax(scores: Mapping[str, Column], prior: Mapping[str, float] |
     return {t: n / den for t, n in nom.items()}
 
 
-def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Mapping[str, float] | None = None) -> DataFrame:
+def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Mapping[str, float] | None = None, targets: Sequence[str] | None = None) -> DataFrame:
     """Sort each (row, target) ledger intercept first, then by |value|
     (ties by variable); cumulative value, rank and the prediction after each
     step.  REGR: yhat = cumulative value; CLASS: inv_logit of it;
     MULTICLASS: softmax over targets of every target's cumulative value taken
     in this target's order (J15: other targets' values at the same (row,
-    variable) come from a pivot, not one self-join per class).
+    variable) come from a window).  All windows are bounded by a row's entries and keep rows that were dealt by
+    ``row_id`` where they are, so a caller who deals the rows before their contributions are made shuffles nothing else.
+    ``targets`` saves a pass that lists them.
 
     ``prior`` (``prior_ratio``) rescales the probabilities of an undersampled fit; CLASS
     names its classes "1" and "0".
@@ -176,10 +178,9 @@ def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Ma
         return d.withColumn("yhat", F.col("shap_value_cum"))
     if target_type == "CLASS":
         return d.withColumn("yhat", rescaled_logit("shap_value_cum", prior))
-    targets = [r[0] for r in contrib.select("target").distinct().orderBy("target").collect()]  # class list
-    wide = (contrib.groupBy(row_id, "variable").pivot("target", targets).agg(F.first("shap_value"))
-            .withColumnsRenamed({t: f"_sv_{t}" for t in targets}))
-    d = d.join(wide, [row_id, "variable"], "left")
+    targets = targets or [r[0] for r in contrib.select("target").distinct().orderBy("target").collect()]  # class list
+    beside = Window.partitionBy(row_id, "variable")
+    d = d.withColumns({f"_sv_{t}": F.when(F.col(row_id).isNotNull(), F.max(F.when(F.col("target") == t, F.col("shap_value"))).over(beside)) for t in targets})
     each = rescaled_softmax({t: F.sum(f"_sv_{t}").over(run) for t in targets}, prior)
     own = F.lit(None).cast("double")
     for t in targets:
@@ -187,6 +188,39 @@ def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Ma
     return d.withColumn("yhat", own).drop(*[f"_sv_{t}" for t in targets])
 
 
+def keyed_contributions_onehot(df: DataFrame, key: str, coefs: DataFrame, intercepts: DataFrame, position_map: DataFrame,
+                                metr: Sequence[str], cate: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``linear_contributions_onehot``, and the targets, with one shuffle.
+
+    The rows are dealt by key once, before anything is added to them; each feature looks up its level's coefficients where the
+    row stands, and rows with equal keys are summed.
+    """
+    bias = {r["target"]: r["intercept"] for r in intercepts.orderBy("target").collect()}  # a row per target
+    named = cut_lineage(coefs.join(position_map, "position"), "named-coefs")
+    base = {(r["variable"], r["target"]): r["_base"] for r in named.groupBy("variable", "target").agg(F.sum(F.col("coef") * F.col("mean")).alias("_base")).collect()}  # variables x targets
+    slope = {(r["variable"], r["target"]): r["coef"] for r in named.where(F.col("value").isNull()).collect()}  # metrics x targets
+    d = df.select(key, *metr, *cate).repartition(od.default_buckets(df), F.col(key))
+    for c in cate:
+        own = (named.where((F.col("variable") == c) & F.col("value").isNotNull()).groupBy(F.col("value").alias("_level"))
+               .agg(F.first("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("target", "coef"))).alias(f"_c_{c}")))
+        d = lookup.attach(d.withColumn("_level", F.col(c).cast("string")), cut_lineage(own, "level-coefs"), ["_level"], "_n").drop("_level")
+    sums, values = [], []
+    for v in (*metr, *cate):
+        x = F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))) if v in metr else None
+        for k, t in enumerate(bias):
+            found = F.when(x != 0, F.lit(slope.get((v, t), 0.0)) * x).otherwise(F.lit(0.0)) if v in metr else F.col(f"_c_{v}")[t]
+            sums.append(F.sum(found - F.lit(base.get((v, t), 0.0))).alias(f"_s_{v}_{k}"))
+        values.append(F.max(F.col(v).cast("double" if v in metr else "string")).alias(f"_v_{v}"))
+    rows = d.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"), *sums, *values)
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    start = [F.lit(b + sum(s for (_, u), s in base.items() if u == t)) * F.col("_rows") for t, b in bias.items()]
+    each = [("intercept", none, text, F.array(*start))]
+    each += [(v, F.col(f"_v_{v}") if v in metr else none, text if v in metr else F.col(f"_v_{v}"), F.array(*[F.col(f"_s_{v}_{k}") for k in range(len(bias))])) for v in (*metr, *cate)]
+    entries = [F.struct(F.lit(t).alias("target"), F.lit(v).alias("variable"), sv[k].alias("shap_value"), x.alias("variable_value"), level.alias("variable_level"))
+               for k, t in enumerate(bias) for v, x, level, sv in each]
+    return rows.select(key, F.explode(F.array(*entries)).alias("_e")).select(key, "_e.*"), list(bias)
+
+
 def ledger_check(led: DataFrame, pred: DataFrame, row_id: str, yhat: str = "p") -> DataFrame:
     """The final-rank prediction of each (row, target) against the model
     prediction (numpy ``isclose``); counts per target."""

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from almanac.operators import interpret as ip
+from almanac.operators import ordered as od
 from almanac.operators import timeseries as ts
 from almanac.plans import panel as pl
 from almanac.plans import sqlfrag as q
@@ -327,8 +328,8 @@ FROM led
 """)
 def contribution_ledger(spark, sf_dir):
     x = _ledger_input(spark, sf_dir)
-    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
-    led = ip.ledger(con, "row_id", "MULTICLASS")
+    con = ip.linear_contributions(x.repartition(od.default_buckets(x), "row_id"), "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
+    led = ip.ledger(con, "row_id", "MULTICLASS", targets=list(LEDGER_COEFS))
     return rounded(led.select("row_id", "target", "variable", "shap_value", "variable_value", "flag_intercept",
                               "abs_shap_value", "shap_value_cum", F.col("rank").cast("long"), "yhat"),
                    ["shap_value", "variable_value", "abs_shap_value", "shap_value_cum", "yhat"])
@@ -352,8 +353,8 @@ FROM last JOIN pr ON pr.row_id = last.row_id AND pr.target = last.target GROUP B
 def contribution_check(spark, sf_dir):
     """Ledger end points against the model's own softmax probabilities."""
     x = _ledger_input(spark, sf_dir)
-    con = ip.linear_contributions(x, "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
-    led = ip.ledger(con, "row_id", "MULTICLASS")
+    con = ip.linear_contributions(x.repartition(od.default_buckets(x), "row_id"), "row_id", LEDGER_FEATURES, LEDGER_COEFS, LEDGER_INTERCEPTS, _baseline(x))
+    led = ip.ledger(con, "row_id", "MULTICLASS", targets=list(LEDGER_COEFS))
     scores = {t: F.lit(LEDGER_INTERCEPTS[t]) + sum((F.lit(cf[f]) * F.col(f) for f in LEDGER_FEATURES), F.lit(0.0))
               for t, cf in LEDGER_COEFS.items()}
     den = None
