@@ -153,6 +153,23 @@ def rescaled_softmax(scores: Mapping[str, Column], prior: Mapping[str, float] |
     return {t: n / den for t, n in nom.items()}
 
 
+def with_softmax(df: DataFrame, scores: Mapping[str, Column], prior: Mapping[str, float] | None, out: str = "yhat") -> DataFrame:
+    """``df`` with the array ``out`` of ``rescaled_softmax`` over all targets, in the order of ``scores``.
+
+    The largest score, the numerators and their sum are columns of their own, and the numerators are made by functions over the
+    array: written out in one expression each would stand there dozens of times, in a generated method too long to be compiled."""
+    names = list(scores)
+    top = F.greatest(*[F.coalesce(s, F.lit(float("-inf"))) for s in scores.values()]) if len(names) > 1 else scores[names[0]]
+    ratios = F.array(*[F.lit(float(prior[t]) if prior else 1.0) for t in names])
+    d = df.withColumns({"_top": top, "_each": F.array(*scores.values())})
+    d = d.withColumn("_nom", F.zip_with("_each", ratios, lambda s, r: F.exp(s - F.col("_top")) * r))
+    den = F.col("_nom")[0]
+    for k in range(1, len(names)):
+        den = den + F.col("_nom")[k]
+    d = d.withColumn("_den", den).withColumn(out, F.transform("_nom", lambda x: x / F.col("_den")))
+    return d.drop("_top", "_each", "_nom", "_den")
+
+
 def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Mapping[str, float] | None = None, targets: Sequence[str] | None = None) -> DataFrame:
     """Sort each (row, target) ledger intercept first, then by |value|
     (ties by variable); cumulative value, rank and the prediction after each
@@ -239,18 +256,18 @@ def linear_scores(df: DataFrame, coefs: DataFrame, intercepts: DataFrame, positi
     named = coefs.join(position_map, "position")
     slope = {(r["variable"], r["target"]): r["coef"] for r in named.where(F.col("value").isNull()).collect()}  # metrics x targets
     for c in cate:
-        own = (named.where((F.col("variable") == c) & F.col("value").isNotNull()).groupBy(F.col("value").alias("_level"))
-               .agg(F.first("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("target", "coef"))).alias(f"_c_{c}")))
+        each = [F.first(F.when(F.col("target") == t, F.col("coef")), ignorenulls=True).alias(f"_c_{c}_{k}") for k, t in enumerate(bias)]
+        own = named.where((F.col("variable") == c) & F.col("value").isNotNull()).groupBy(F.col("value").alias("_level")).agg(F.first("n").alias("_n"), *each)
         df = lookup.attach(df.withColumn("_level", F.col(c).cast("string")), cut_lineage(own, "level-coefs"), ["_level"], "_n").drop("_level")
     scores = {}
-    for t, b in bias.items():
+    for k, (t, b) in enumerate(bias.items()):
         s = F.lit(b)
         for m in metr:
             s = s + F.lit(slope.get((m, t), 0.0)) * F.col(m)
         for c in cate:
-            s = s + F.col(f"_c_{c}")[t]
+            s = s + F.col(f"_c_{c}_{k}")
         scores[f"{out}_{t}"] = s
-    return df.withColumns(scores).drop(*[f"_c_{c}" for c in cate]), list(bias)
+    return df.withColumns(scores).drop(*[f"_c_{c}_{k}" for c in cate for k in range(len(bias))]), list(bias)
 
 
 # ---------------------------------------------------------------------------

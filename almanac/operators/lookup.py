@@ -4,7 +4,7 @@ An equi-join deals rows by key, so a key with a third of the rows makes one task
 with a third of the rows.  Here the table carries how many rows each key has: keys
 above one part in ``HOT`` of all rows, of which there are fewer than ``HOT``, are sent to
 every task; the rows of all other keys are dealt by key, and rows that have their
-values already are dealt by a hash of the row.
+values already are dealt by a hash of the row.  A table of at most ``HOT`` keys goes to every task whole.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], count: str, how
     not take part in the row hash.
     """
     values = [c for c in table.columns if c not in (*keys, count)]
+    if table.count() <= HOT:
+        return df.join(F.broadcast(table.select(*keys, *values)), list(keys), how).select(*df.columns, *values)
     total = table.select(F.sum(count)).scalar()
     is_hot = F.col(count) * F.lit(HOT) > total
     hot = table.where(is_hot).select(*keys, F.struct(*values).alias("_hot"))
