@@ -7,21 +7,17 @@ partition would move every row to one task.  Instead:
 
 1. pre-aggregate to one row per (group, value) - map-side partial
    aggregation, so a value held by a third of all rows is one row;
-2. cut each group's value range into ``n_buckets`` slices at approximate
-   quantiles (a bounded array per group);
-3. give each value its slice by binary search over that array (a
-   ``aggregate`` loop of log2(n_buckets) steps, JVM side);
-4. slice totals -> exclusive offsets by a window over the (few) slices;
-5. running sum inside each slice + the slice offset.
-
-Slices only balance the work: results are exact whatever the approximate
-bounds are, and every step is deterministic, so a lost task recomputes the
-same values.
+2. deal these rows by range of (group, value) into ``n_buckets`` slices and write
+   them with their slice;
+3. slice totals -> exclusive offsets by a window over the (few) slices;
+4. running sum inside each slice + the slice offset.
+
+Slices only balance the work: results are exact wherever the slices' bounds
+lie, and the slices are written, so a lost task recomputes the same values.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,23 +29,6 @@ def default_buckets(df: DataFrame) -> int:
     return max(2, n)
 
 
-def count_less(bounds: Column, k: Column, n_max: int) -> Column:
-    """Number of elements of the ascending array ``bounds`` strictly below ``k``:
-    a binary search in an ``aggregate`` loop of log2(n) steps."""
-    steps = max(1, math.ceil(math.log2(n_max + 1)) + 1)
-    init = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
-
-    def step(acc, _):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        below = F.coalesce(F.get(bounds, mid) < k, F.lit(False))
-        active = lo < hi
-        return F.struct(F.when(active & below, mid + 1).otherwise(lo).alias("lo"),
-                        F.when(active & ~below, mid).otherwise(hi).alias("hi"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
-
-
 def cumulative(df: DataFrame, value: str | Column, sums: Mapping[str, Column],
                by: Sequence[str] = (), descending: bool = False,
                n_buckets: int | None = None) -> DataFrame:
@@ -61,8 +40,8 @@ def cumulative(df: DataFrame, value: str | Column, sums: Mapping[str, Column],
 
     ``value`` must be numeric; its column in the output is ``value``.
 
-    The aggregate is written once to the shared folder; the slice bounds, the
-    slice totals and the result read that table, so the input is scanned once.
+    The aggregate is written once to the shared folder; the slice totals and the
+    result read that table, so the input is scanned once.
     """
     from almanac.session import cut_lineage
     by = list(by)
@@ -71,15 +50,8 @@ def cumulative(df: DataFrame, value: str | Column, sums: Mapping[str, Column],
            .groupBy(*by, vcol.cast("double").alias("value"))
            .agg(*[c.alias(n) for n, c in sums.items()]))
     key = (-F.col("value")) if descending else F.col("value")
-    agg = cut_lineage(agg.withColumn("__k", key), "value_counts")
-    nb = n_buckets or default_buckets(df)
-    fr = [i / nb for i in range(1, nb)]
-    if by:
-        bounds = agg.groupBy(*by).agg(F.percentile_approx("__k", fr, 10000).alias("__bounds"))
-        agg = agg.join(bounds, by)
-    else:
-        agg = agg.withColumn("__bounds", agg.select(F.percentile_approx("__k", fr, 10000)).scalar())
-    agg = agg.withColumn("__b", count_less(F.col("__bounds"), F.col("__k"), nb)).drop("__bounds")
+    ranged = agg.withColumn("__k", key).repartitionByRange(n_buckets or default_buckets(df), *map(F.col, by), F.col("__k"))
+    agg = cut_lineage(ranged.withColumn("__b", F.spark_partition_id()), "value_counts")
 
     names = list(sums)
     tot = agg.groupBy(*by, "__b").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.columns import inv_logit
@@ -42,9 +44,8 @@ def quantile_bins(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", QB_COLS)
     model = tf.QuantileBinner(QB_COLS, 10, suffix="_bin").fit(li)
     out = model.transform(li)
-    arr = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"{c}_bin").alias("bin"),
-                             F.col(c).cast("double").alias("x")) for c in QB_COLS])
-    long = out.select(F.explode(arr).alias("s")).select("s.*").where(F.col("x").isNotNull())
+    parts = [out.select(F.lit(c).alias("variable"), F.col(f"{c}_bin").alias("bin"), F.col(c).cast("double").alias("x")) for c in QB_COLS]
+    long = reduce(DataFrame.unionByName, parts).where(F.col("x").isNotNull())  # each part reads and bins one column only
     return rounded(long.groupBy("variable", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")), ["lo", "hi"])
 
