@@ -223,7 +223,7 @@ def importance_class(df: DataFrame, features: Sequence[str], target: str) -> Dat
 def importance_multiclass(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Mean over classes of the one-vs-rest AUC of the level's class share."""
     lv = level_long(df, features, target).where(F.col("level").isNotNull())
-    ct = lv.groupBy("variable", "level", target).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ct = cut_lineage(lv.groupBy("variable", "level", target).agg(F.count(F.lit(1)).cast("double").alias("n")), "level-counts")  # read three times
     tot = ct.groupBy("variable", "level").agg(F.sum("n").alias("_lt"))
     classes = ct.select(F.col(target).alias("class")).distinct()
     # level x class rows only for observed (level, class) plus zero-share rows:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from almanac.operators import evaluation as ev
 from almanac.operators import ordered as od
 from almanac.plans.catalogue import QUERIES
 
@@ -27,3 +28,16 @@ def test_quantile_bins_read_a_column_at_a_time(spark, tmp_path):
     assert "explode" not in plan_of(out)
     n = {r["variable"]: r["n"] for r in out.groupBy("variable").agg(F.sum("n").alias("n")).collect()}
     assert n == {"l_quantity": 40, "l_extendedprice": 40, "l_discount": 32}
+
+
+def test_levels_of_a_multiclass_target_are_counted_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def as_read(x):
+        calls.add(1)
+        return x
+
+    df = spark.createDataFrame([("xyz"[i % 3], "ab"[i % 2]) for i in range(12)], "v string, t string").withColumn("v", as_read("v"))
+    assert ev.importance_multiclass(df, ["v"], "t").collect()[0]["variable"] == "v"
+    assert calls.value == 12
