@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from almanac.llm.graph import components
+from almanac.llm.graph import components, joined
 from almanac.llm.text import grams, mix, slices, word_hashes
 from almanac.operators import lookup
 from almanac.session import cut_lineage
@@ -149,7 +149,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / GROUP_SHINGLES).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("id"))
-    heads = dealt.select("a", "part").distinct().withColumn("id", F.col("a"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
     rows = dealt.union(heads).join(sets, "id").select("a", "part", "id", "set")
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
@@ -167,23 +167,19 @@ def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _blocks(group: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes of one group (head, id, comp, apart, n, sketch)
+    """Links (a, b) between classes of one group (head, id, comp, apart, sketch, rows, cols)
     of which at least one is apart and whose components differ.
 
-    Only the classes that are apart are compared with all: they, and all of the group, are dealt into parts
+    Only the classes that are apart are compared with all: they, and all of the group, are dealt into ``rows`` and ``cols`` parts
     of about ``BLOCK_SHINGLES`` shingles, and a task gets one part of each.  What travels are sets, once
     for every part of the other side; where few are apart, that is once.  Sketches rule
     out most pairs; the others are counted exactly.
     """
-    apart_n = F.sum(F.when(F.col("apart"), F.col("n")))
-    parts = group.groupBy("head").agg(F.ceil(apart_n / BLOCK_SHINGLES).alias("rows"), F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cols"), F.count(F.lit(1)).alias("members"))
-    dealt = lookup.attach(group, cut_lineage(parts, "block-parts"), ["head"], "members", how="inner")
-
     def side(name: str, own: str, other: str, rows: DataFrame) -> DataFrame:
         at = {own: F.pmod(F.xxhash64("id"), F.col(own)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))}
         return rows.select("head", at["rows"].alias("i"), at["cols"].alias("j"), F.lit(name).alias("side"), "id", "comp", "apart", "sketch")
 
-    cells = side("row", "rows", "cols", dealt.where("apart")).unionByName(side("col", "cols", "rows", dealt)).join(sets, "id")
+    cells = side("row", "rows", "cols", group.where("apart")).unionByName(side("col", "cols", "rows", group)).join(sets, "id")
     limit = sketch_limit(num, den)
 
     def decide(key: tuple, table: pa.Table) -> pa.Table:
@@ -250,50 +246,55 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
                            T.StructField("bands", longs), T.StructField("sketch", longs)])
     signed = cut_lineage(src.mapInArrow(lambda batches: _sign(batches, shingle_words), schema), "signatures")
 
+    # rows of equal sets have equal sizes, bands and sketches: any of them stands for the class
     named = signed.where("n > 0 AND id IS NOT NULL")
-    classes = cut_lineage(named.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    firsts = cut_lineage(named.join(classes.select("print", F.col("first").alias("id")), ["print", "id"], "left_semi").dropDuplicates(["print"])
-                         .select(F.col("print").alias("id"), "n", "bands", "sketch"), "firsts")
-    sketches = firsts.select("id", "n", "sketch")
+    classes = cut_lineage(named.groupBy("print").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")]), "classes")
+    sketches = classes.select(F.col("print").alias("id"), "n", "sketch")
 
-    bands = firsts.select(F.explode("bands").alias("key"), "id")
+    bands = classes.select(F.explode("bands").alias("key"), F.col("print").alias("id"))
     shared = bands.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
     met = cut_lineage(bands.join(shared, "key"), "met")
-    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
-    members = cut_lineage(met.select("key", "id").join(degree, "id"), "members")
+    degree = cut_lineage(met.groupBy("id").agg(F.sum("size").alias("degree")).join(classes.select(F.col("print").alias("id"), "first"), "id"), "degrees")
+    members = cut_lineage(met.select("key", "id").join(degree.select("id", "degree"), "id"), "members")
     heads = members.groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("head"))
-    wanted = cut_lineage(degree.join(classes.withColumnRenamed("print", "id"), "id").select("id", "first"), "wanted")
-    held = src.join(wanted.select(F.col("first").alias("id")).distinct(), "id", "left_semi").select("text")
+    # a class meets a head in up to all bands: one row of the two
+    headed = cut_lineage(members.select("key", "id").join(heads, "key").select("head", "id").distinct(), "headed")
+    held = src.join(degree.select(F.col("first").alias("id")), "id", "left_semi").select("text")
     sets = cut_lineage(held.mapInArrow(lambda batches: _sets(batches, shingle_words), "id binary, set binary")
-                       .join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
+                       .join(degree.select("id"), "id", "left_semi").groupBy("id").agg(F.first("set").alias("set")), "sets")
     sides = [sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among the pairs (a, b); alike pairs only reach the full sets."""
         alike = pairs.join(sides[0], "a").join(sides[1], "b").where(_near(num, den)).select("a", "b", "n_b")
-        return cut_lineage(_confirm(cut_lineage(alike, "alike"), sets, num, den), "links")
+        return _confirm(cut_lineage(alike, "alike"), sets, num, den)
 
     def placed(labels: DataFrame) -> DataFrame:
-        """Members with their component, and whether it is another than their bucket's head's."""
-        of_head = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("key", "head", F.coalesce("comp", "head").alias("head_comp"))
-        return (members.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-                .join(of_head, "key").withColumn("apart", F.col("comp") != F.col("head_comp")))
+        """Classes with their head, their component, and whether it is another than their head's."""
+        known = lookup.light(labels)
+        of_head = known.select(F.col("node").alias("head"), F.col("comp").alias("head_comp"))
+        return (headed.join(known.withColumnRenamed("node", "id"), "id", "left").join(of_head, "head", "left")
+                .select("head", "id", F.coalesce("comp", "id").alias("comp"), (F.coalesce("comp", "id") != F.coalesce("head_comp", "head")).alias("apart")))
 
-    stars = members.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    stars = headed.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     # classes of one document are linked by it
     several = named.groupBy("id").agg(F.min("print").alias("a"), F.max("print").alias("_top")).where("a < _top").select("id", "a")
-    one_document = named.join(several, "id").select("a", F.col("print").alias("b")).where("a <> b").distinct()
-    links = cut_lineage(confirmed(stars).union(one_document), "links")
-
-    # a class meets a head in up to all bands: one row of the two, before anything is dealt by head
-    group = cut_lineage(placed(components(links)).groupBy("head", "id").agg(F.first("comp").alias("comp"), F.max("apart").alias("apart")), "groups")
-    open_heads = group.groupBy("head").agg(F.count(F.lit(1)).alias("members"), F.max("apart").alias("open")).where("open")
-    group = lookup.attach(group, cut_lineage(open_heads, "open-heads"), ["head"], "members", how="inner").drop("open").join(sketches, "id")
-    labels = components(links.union(cut_lineage(_blocks(cut_lineage(group, "open-groups"), sets, num, den), "block_links")))
-
-    grouped = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").select("print", "first", "copies", F.coalesce("comp", "print").alias("comp"))
-    least = grouped.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    placed_class = lookup.attach(cut_lineage(grouped, "placed"), cut_lineage(least, "components"), ["comp"], "members").select("print", "component_id", "copies")
+    one_document = named.join(several, "id").select("a", F.col("print").alias("b")).where("a <> b")
+    labels = components(confirmed(stars).union(one_document))
+
+    group = cut_lineage(placed(labels).join(sketches, "id"), "groups")
+    apart_n = F.sum(F.when(F.col("apart"), F.col("n")))
+    open_heads = cut_lineage(group.groupBy("head").agg(
+        F.ceil(apart_n / BLOCK_SHINGLES).alias("rows"), F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("cols"), F.count(F.lit(1)).alias("members")).where("rows > 0"), "open-heads")
+    if not open_heads.isEmpty():
+        group = lookup.attach(group, open_heads, ["head"], "members", how="inner")
+        labels = joined(labels, _blocks(cut_lineage(group, "open-groups"), sets, num, den))
+
+    # a class without a link is its own component
+    grouped = cut_lineage(classes.select(F.col("print").alias("node"), "first", "copies").join(lookup.light(labels), "node", "left"), "placed")
+    least = grouped.where("comp IS NOT NULL").groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    placed_class = (lookup.attach(grouped, cut_lineage(least, "components"), ["comp"], "members")
+                    .select(F.col("node").alias("print"), F.coalesce("component_id", "first").alias("component_id"), "copies"))
     # empty rows and rows without an id wait for no class
     out = lookup.attach(signed.select("id", "n", "print"), cut_lineage(placed_class, "placed_classes"), ["print"], "copies")
     return (out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

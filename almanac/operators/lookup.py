@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 HOT = 1 << 14
 
 
+def light(table: DataFrame) -> DataFrame:
+    """A written table, marked to go to every task whole if it has ``HOT`` rows at most."""
+    return F.broadcast(table) if table.count() <= HOT else table
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], count: str, how: str = "left") -> DataFrame:
     """``df`` with the columns of ``table`` behind ``keys`` and ``count``.
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, decontam, lm, neardup, quality, secret_scan, substring, text
+from almanac.llm import bpe, decontam, graph, lm, neardup, quality, secret_scan, substring, text
 from almanac.llm.queries import BYTE_RANKS, TOKENIZER
 from tests.llm.conftest import BASE, DOCS, LONG
 
@@ -141,6 +141,29 @@ def test_near_duplicates_with_hot_groups(spark, monkeypatch, hot):
     assert {r.doc_id: r.component_id for r in out} == components(rows, 2)
 
 
+def test_near_duplicates_writes_few_tables(spark, monkeypatch):
+    """Every table that is written costs a task for each shuffle partition."""
+    names = []
+    for module in (neardup, graph):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, name, plain=module.cut_lineage: (names.append(name), plain(df, name))[1])
+    rows = [(1, BASE), (2, BASE), (3, BASE + " tail"), (4, "of no kin")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert len(names) <= 18, names  # 26 or more before
+
+
+@pytest.mark.parametrize("hot", [1, 1 << 14])
+def test_components_of_a_chain_and_after_more_edges(spark, monkeypatch, hot):
+    from almanac.operators import lookup
+    monkeypatch.setattr(lookup, "HOT", hot)
+    edges = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    labels = graph.components(edges([(k, k + 1) for k in range(40)] + [(50, 51), (60, 61), (60, 60)]))
+    assert {r.node: r.comp for r in labels.collect()} == {k: 0 for k in range(41)} | {50: 50, 51: 50, 60: 60, 61: 60}
+    more = graph.joined(labels, edges([(51, 40), (70, 71), (61, 72), (61, 60)]))
+    assert {r.node: r.comp for r in more.collect()} == {k: 0 for k in range(41)} | {50: 0, 51: 0, 60: 60, 61: 60, 72: 60, 70: 70, 71: 70}
+    assert graph.joined(labels, edges([(1, 2)])).count() == labels.count()
+
+
 def test_near_duplicates_of_a_large_edited_group(spark, monkeypatch):
     """Copies around the threshold: many are linked with the original only."""
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2000)
