@@ -311,6 +311,14 @@ def test_decontamination_finds_edited_copies_beside_exact_ones(spark):
 # -- 7: language model ---------------------------------------------------------------
 
 
+def test_whole_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(key)
+    monkeypatch.setattr(lm, "cut_lineage", lambda df, name, plain=lm.cut_lineage: (seen.setdefault(name, int(spark.conf.get(key))), plain(df, name))[1])
+    lm.score(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"), BYTE_RANKS)
+    assert seen["encoded"] == seen["scored"] == 512 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("head", [1 << 18, 40])
 def test_lm_base_scores_and_totals(spark, docs, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD", head)
