@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from almanac.llm.text import slices
-from almanac.session import cut_lineage
+from almanac.session import arrow_rows, cut_lineage
 
 HOT = 1 << 16  # a pair with more than 1 / HOT of all links is looked up, not joined
 SLICE_BYTES = 1 << 18  # text that is aligned at a time
 PENDING = 1 << 19  # pair sums that a task holds before it passes them on
+ARROW_ROWS = 512  # documents in an Arrow batch that goes to a worker
+SUM_ROWS = 1 << 13  # pair sums in an Arrow batch that comes back
 LONG_PIECE = 512  # a piece as long goes through the file's own library, whose time does not grow with its square
 
 
@@ -237,8 +239,10 @@ def _align(path_a: str, path_b: str):
         held, pending = [], 0
         names, kinds = [], []
 
-        def sums(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), k) for k in kinds), pa.array(keys), pa.array(n)], names)
+        def sums(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(n), SUM_ROWS):
+                some = n[k:k + SUM_ROWS]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), kind) for kind in kinds), pa.array(keys[k:k + SUM_ROWS]), pa.array(some)], names)
 
         for batch in batches:
             names = [*batch.schema.names[:2], *_FIELDS, "pair", "pair_n"]
@@ -256,12 +260,12 @@ def _align(path_a: str, path_b: str):
                     held = [add_counts(held)]
                     pending = 0
                     if len(held[0][0]) >= PENDING:
-                        yield sums(*held.pop())
+                        yield from sums(*held.pop())
         if kinds:
             used = np.flatnonzero(vector)
-            yield sums(used * size_b + both.same[used], vector[used])
+            yield from sums(used * size_b + both.same[used], vector[used])
             if held:
-                yield sums(*add_counts(held))
+                yield from sums(*add_counts(held))
 
     return run
 
@@ -305,14 +309,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     empty, or whose tokens do not give back their bytes, have no tokens.  Rows are told apart by a
     key of their own, so null and repeated ids, and repeated texts, are rows like any other;
     other columns are ignored.  Whole texts are encoded, a slice of ``SLICE_BYTES`` (or one longer
-    text) at a time.
+    text) at a time; batches of ``ARROW_ROWS`` documents and ``SUM_ROWS`` sums pass between Spark and its workers.
     """
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     lists = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("_id", src.schema["_id"].dataType)])
     for name, kind in _FIELDS.items():
         schema.add(name, lists if kind == _LISTS else T.StringType() if kind == pa.string() else T.LongType())
-    table = cut_lineage(src.mapInArrow(_align(path_a, path_b), schema.add("pair", "long").add("pair_n", "long")), "alignment")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        table = cut_lineage(src.mapInArrow(_align(path_a, path_b), schema.add("pair", "long").add("pair_n", "long")), "alignment")
     rows = table.where(F.col("row").isNotNull())
 
     counted = cut_lineage(table.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.sum("pair_n").alias("n")), "pair-counts")
@@ -332,8 +337,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     common = pairs.where(is_hot).orderBy("pair").toArrow()  # fewer rows than HOT
     hot = tuple(common.column(c).to_numpy().astype(np.int64) for c in ("pair", "n", "best"))
 
-    looked = cut_lineage(rows.where(F.col("n_a") > 0).select("row", "regular", "regular_n", "links", "links_n")
-                         .mapInArrow(_lookup((total, best), hot), "row long, n_best long, count_sum long, links array<long>, links_n array<long>"), "looked-up")
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        looked = cut_lineage(rows.where(F.col("n_a") > 0).select("row", "regular", "regular_n", "links", "links_n")
+                             .mapInArrow(_lookup((total, best), hot), "row long, n_best long, count_sum long, links array<long>, links_n array<long>"), "looked-up")
     left = looked.select("row", F.explode(F.arrays_zip("links", "links_n")).alias("x")).select("row", F.col("x.links").alias("pair"), F.col("x.links_n").alias("m"))
     rest = (left.join(pairs.where(~is_hot), "pair")
             .select("row", (F.col("m") * F.col("best").cast("long")).alias("n_best"), (F.col("m") * F.col("n")).alias("count_sum")))

@@ -239,6 +239,22 @@ def test_alignment_of_awkward_rows(spark):
     assert out.documents.collect() == out.scores.collect() == out.pairs.collect() == []
 
 
+def test_alignment_passes_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(key)
+    monkeypatch.setattr(align, "cut_lineage", lambda df, name, plain=align.cut_lineage: (seen.setdefault(name, int(spark.conf.get(key))), plain(df, name))[1])
+    align.align(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"), BYTE_BPE, PIECES)
+    assert seen["alignment"] == seen["looked-up"] == 512 and spark.conf.get(key) == before
+    monkeypatch.setattr(align, "SUM_ROWS", 500)
+    texts = [" ".join(f"w{17 * k + j}x{j}" for j in range(400)) for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], ["row", "_id", "_text"])
+    made = list(align._align(BYTE_BPE, PIECES)(iter([batch])))
+    sums = [b for b in made if b.column("row").null_count]
+    assert len(sums) > 1 and max(b.num_rows for b in sums) == 500
+    links = sum(sum(b.column(c).to_pylist()) for b in made if not b.column("row").null_count for c in ("n_a", "n_b")) - sum(sum(b.column("n_groups").to_pylist()) for b in made if not b.column("row").null_count)
+    assert sum(sum(b.column("pair_n").to_pylist()) for b in sums) == links
+
+
 @pytest.mark.parametrize("hot", [1, 50, align.HOT])
 def test_alignment_of_documents(spark, monkeypatch, hot):
     monkeypatch.setattr(align, "HOT", hot)  # nearly all pairs joined, some, none
