@@ -318,8 +318,9 @@ def grid_class_refit(spark, sf_dir):
 # --- cv_compare / model_comparison / learning_curve: M9, E20, M11 ----------------
 @register("cv_compare")
 def cv_compare(spark, sf_dir):
-    """Models compared on the same train/test-separated splits (long form)."""
-    d = md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES)
+    """Models compared on the same train/test-separated splits (long form).  The splits read
+    the orders several times (totals, order of the hashes, rows), so the aggregate is written once, and slim."""
+    d = cut_lineage(md.assemble(order_frame(spark, sf_dir), ORDER_FEATURES).select("o_orderkey", "fold", "label", "features"), "cv-orders")
     folds = cut_lineage(sp.cv_split(d, ["o_orderkey"], n_splits=3), "cv_folds")
     learners = {"lasso": lambda: md.lasso(0.01), "gbt": lambda: md.gbt_regressor(5, 3),
                 "poisson": lambda: md.poisson_glm(0.01)}

@@ -15,6 +15,7 @@ from almanac.operators import sampling as sp
 from almanac.operators import timeseries as ts
 from almanac.operators import transformers as tf
 from almanac.session import cut_lineage
+from tests.conftest import SF_SMALL
 
 
 def brute_auc(y, s):
@@ -220,3 +221,20 @@ def test_bootstrap_by_group_keeps_each_groups_size(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END g")
     n = {r.g: r["count"] for r in sp.weighted_bootstrap(df, ["id"], by=["g"]).groupBy("g").count().collect()}
     assert abs(n["a"] / 1000 - 1) < 0.15 and abs(n["b"] / 2000 - 1) < 0.1
+
+
+def test_cv_splits_read_the_orders_from_one_slim_table(spark, monkeypatch):
+    from almanac.plans import q_models as qm
+
+    class Split(Exception):
+        pass
+
+    def split(df, *_, **__):
+        raise Split(df.columns, df.inputFiles())
+
+    monkeypatch.setattr(sp, "cv_split", split)
+    with pytest.raises(Split) as found:
+        qm.cv_compare(spark, SF_SMALL)
+    columns, files = found.value.args
+    assert columns == ["o_orderkey", "fold", "label", "features"]
+    assert files and all("/cv-orders-" in f for f in files)
