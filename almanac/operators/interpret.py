@@ -156,18 +156,18 @@ def rescaled_softmax(scores: Mapping[str, Column], prior: Mapping[str, float] |
 def with_softmax(df: DataFrame, scores: Mapping[str, Column], prior: Mapping[str, float] | None, out: str = "yhat") -> DataFrame:
     """``df`` with the array ``out`` of ``rescaled_softmax`` over all targets, in the order of ``scores``.
 
-    The largest score, the numerators and their sum are columns of their own, and the numerators are made by functions over the
-    array: written out in one expression each would stand there dozens of times, in a generated method too long to be compiled."""
+    The largest score, the numerators and their sum are columns of their own: written out in one expression each would stand
+    there dozens of times, in a generated method too long to be compiled.  Functions over the array would be interpreted."""
     names = list(scores)
+    nom = [f"_nom_{k}" for k in range(len(names))]
     top = F.greatest(*[F.coalesce(s, F.lit(float("-inf"))) for s in scores.values()]) if len(names) > 1 else scores[names[0]]
-    ratios = F.array(*[F.lit(float(prior[t]) if prior else 1.0) for t in names])
-    d = df.withColumns({"_top": top, "_each": F.array(*scores.values())})
-    d = d.withColumn("_nom", F.zip_with("_each", ratios, lambda s, r: F.exp(s - F.col("_top")) * r))
-    den = F.col("_nom")[0]
-    for k in range(1, len(names)):
-        den = den + F.col("_nom")[k]
-    d = d.withColumn("_den", den).withColumn(out, F.transform("_nom", lambda x: x / F.col("_den")))
-    return d.drop("_top", "_each", "_nom", "_den")
+    d = df.withColumn("_top", top)
+    d = d.withColumns({n: F.exp(scores[t] - F.col("_top")) * F.lit(float(prior[t]) if prior else 1.0) for n, t in zip(nom, names, strict=True)})
+    den = F.col(nom[0])
+    for n in nom[1:]:
+        den = den + F.col(n)
+    d = d.withColumn("_den", den).withColumn(out, F.array(*[F.col(n) / F.col("_den") for n in nom]))
+    return d.drop("_top", *nom, "_den")
 
 
 def ledger(contrib: DataFrame, row_id: str, target_type: str = "REGR", prior: Mapping[str, float] | None = None, targets: Sequence[str] | None = None) -> DataFrame:

@@ -119,20 +119,22 @@ def global_row_number(df: DataFrame, order: Sequence[Column], by: Sequence[str]
     a whole group in one task, for composite (e.g. numeric then string) keys.
 
     The rows are range-partitioned on (by, order) - ties inside a group are
-    split by the later keys - and the partition id is written once with the
-    rows to the shared checkpoint folder, so every later use sees the same
-    assignment.  Per-(partition, group) counts give each partition's offset
-    (a window over at most ``n_parts`` rows per group); the rank is the
-    offset plus the row number inside the partition.  The order must be a
-    total order (unique keys) for ranks to be unique.
+    split by the later keys - and sorted, and their partition and place in it are
+    written once with the rows to the shared checkpoint folder, so every later use
+    sees the same assignment and no row is dealt again.  Per-(partition, group) counts
+    give each partition's offset (a window over at most ``n_parts`` rows per group); the rank is
+    the offset plus the place among the group's rows of the partition.  Ranks of
+    rows that the order does not tell apart are arbitrary.
     """
+    from almanac.operators.lookup import light
     from almanac.session import cut_lineage
     nb = n_parts or default_buckets(df)
-    ranged = df.repartitionByRange(nb, *[F.col(b) for b in by], *order).withColumn("__pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged, "ranged")
-    cnt = ranged.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__c"))
+    keys = [*[F.col(b) for b in by], *order]
+    ranged = df.repartitionByRange(nb, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged.withColumns({"__pid": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"), "ranged")
+    cnt = ranged.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"))
     w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select("__pid", *by, F.coalesce(F.sum("__c").over(w), F.lit(0)).alias("__off"))
-    rn = F.row_number().over(Window.partitionBy("__pid", *by).orderBy(*order))
-    return (ranged.join(off, ["__pid", *by]).withColumn(out, F.col("__off") + rn)
-            .drop("__pid", "__off"))
+    off = cnt.select("__pid", *by, (F.coalesce(F.sum("__c").over(w), F.lit(0)) - F.col("__first") + 1).alias("__off"))
+    off = light(cut_lineage(off, "offsets"))  # a row for each partition and group that lies in it
+    return (ranged.join(off, ["__pid", *by]).withColumn(out, F.col("__off") + F.col("__at"))
+            .drop("__pid", "__at", "__off"))

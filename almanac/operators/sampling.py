@@ -67,8 +67,8 @@ def undersample(df: DataFrame, target: str, n_max: int, keys: Sequence[str], see
     """
     w = Window.partitionBy(target).orderBy(hash_order(keys, seed), *keys)
     s = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_max).drop("_r")
-    before = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nb"))
-    after = s.groupBy(target).agg(F.count(F.lit(1)).alias("_na"))
+    before = cut_lineage(df.groupBy(target).agg(F.count(F.lit(1)).alias("_nb")), "classes")
+    after = cut_lineage(s.groupBy(target).agg(F.count(F.lit(1)).alias("_na")), "sampled_classes")  # read twice, made once
     tb, ta = before.select(F.sum("_nb")).scalar(), after.select(F.sum("_na")).scalar()
     shares = (before.join(after, target, "left")
               .select(F.col(target).alias("class"), (F.col("_nb") / tb).alias("b_all"),

@@ -451,13 +451,14 @@ class SparseMatrixModel(_Mod):
         for c in self.est.cate:
             own = self.levels.where(F.col("variable") == c).select(F.col("value").alias("_level"), F.col("position").alias(f"_at_{c}"), "n")
             out = lookup.attach(out.withColumn("_level", F.col(c).cast("string")), own, ["_level"], "n").drop("_level")
-        metr = [F.struct(F.lit(k).alias("i"), F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias("x")) for k, c in enumerate(self.est.metr)]
+        metr = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in self.est.metr]
         unknown = lambda c: F.raise_error(F.concat(F.lit(f"{c}: level not in the reference data: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("int")
-        cate = [F.struct(F.coalesce(F.col(f"_at_{c}"), unknown(c)).alias("i"), F.lit(1.0).alias("x")) for c in self.est.cate]
-        entries = F.filter(F.array(*metr, *cate), lambda e: e["x"] != 0.0)
-        vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"),
-                          F.transform("_entries", lambda e: e["i"]).alias("indices"), F.transform("_entries", lambda e: e["x"]).alias("values"))
-        out = out.withColumn("_entries", entries).select(*df.columns, vector.alias(self.est.output))
+        at = [F.when(x != 0.0, F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, x in enumerate(metr)]  # joined, since functions over an array are interpreted
+        values = [F.when(x != 0.0, F.array(x)).otherwise(F.array().cast("array<double>")) for x in metr]
+        at.append(F.array(*[F.coalesce(F.col(f"_at_{c}"), unknown(c)) for c in self.est.cate]).cast("array<int>"))
+        values.append(F.array(*[F.lit(1.0) for _ in self.est.cate]).cast("array<double>"))
+        vector = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"), F.concat(*at).alias("indices"), F.concat(*values).alias("values"))
+        out = out.select(*df.columns, vector.alias(self.est.output))
         return cut_lineage(out, "sparse", schema=T.StructType([*df.schema.fields, T.StructField(self.est.output, VectorUDT())]))
 
 
