@@ -67,12 +67,12 @@ def undersample(df: DataFrame, target: str, n_max: int, keys: Sequence[str], see
     """
     w = Window.partitionBy(target).orderBy(hash_order(keys, seed), *keys)
     s = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_max).drop("_r")
-    before = cut_lineage(df.groupBy(target).agg(F.count(F.lit(1)).alias("_nb")), "classes")
-    after = cut_lineage(s.groupBy(target).agg(F.count(F.lit(1)).alias("_na")), "sampled_classes")  # read twice, made once
-    tb, ta = before.select(F.sum("_nb")).scalar(), after.select(F.sum("_na")).scalar()
-    shares = (before.join(after, target, "left")
-              .select(F.col(target).alias("class"), (F.col("_nb") / tb).alias("b_all"),
-                      (F.coalesce(F.col("_na"), F.lit(0)) / ta).alias("b_sample")))
+    before = df.groupBy(target).agg(F.count(F.lit(1)).alias("_nb"))
+    after = s.groupBy(F.col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_na"))
+    every = Window.partitionBy()  # of one row per class, so that the rows are ranked once
+    both = before.join(after, F.col(target).eqNullSafe(F.col("_class")), "left").withColumns({"_tb": F.sum("_nb").over(every), "_ta": F.sum("_na").over(every)})
+    own = F.when(F.col(target).isNotNull(), F.col("_na"))
+    shares = both.select(F.col(target).alias("class"), (F.col("_nb") / F.col("_tb")).alias("b_all"), (F.coalesce(own, F.lit(0)) / F.col("_ta")).alias("b_sample"))
     return s, shares
 
 
